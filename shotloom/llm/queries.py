@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, licenses, mixing, packing, pii, quality, simhash, token_counts
+from . import exact_dedup, html_extract, langid, licenses, mixing, packing, pii, quality, simhash, token_counts
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_language_id, op5_license_scan, op6_quality_rules, op7_simhash, op8_pack, op9_token_counts, op10_pii)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_exact_dedup, op3_language_id, op4_html_extract, op5_license_scan, op6_quality_rules, op7_simhash, op8_pack, op9_token_counts, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
