@@ -57,6 +57,7 @@ def stream_state(slim: DataFrame, path: str, files_per_batch: int = 256) -> Data
         spark__sql__streaming__stateStore__providerClass="org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true",
         spark__sql__streaming__stateStore__rocksdb__maxMemoryUsageMB="200",
+        spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false",  # no megabytes set aside per partition
     ):
         state = (
             spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
