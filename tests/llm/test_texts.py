@@ -275,7 +275,7 @@ def check_pii(texts, rows):
 def test_pii(spark):
     texts = [
         None, "", "mail a.b+c@x-y.co.uk, or a@b", "1.2.3.4 256.1.1.1 1.2.3.4.5 0001.2.3.255 " + "9" * 4000 + ".1.1.1", "4111 1111 1111 1111 and 4111-1111-1111-1112", "+1 (826) 555-4081 190.137.210.99 +49 30 1234567",
-        "é😀 x@y.zz 4111111111111111", 'password = "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587"', "SSN 123-45-6789, IBAN DE89 3702 0400 4404 0532 0130 00", "call 826-555-4081", "x@y.zz " * 5000, "x@y.zz", "x@y.zz",
+        "é😀 x@y.zz 4111111111111111", 'password = "269b1cea0846965f2d3ecb5cdb87c0edc7a7a587"', "SSN 123-45-6789, IBAN DE89 3704 0044 0532 0130 00", "call 826-555-4081", "x@y.zz " * 5000, "x@y.zz", "x@y.zz",
     ]
     rows = pii.detect(documents(spark, texts)).collect()
     check_pii(texts, rows)
