@@ -777,3 +777,66 @@ def stream_sliding(spark, d):
     out, mark = workspace.folder(spark), workspace.folder(spark)
     live.latest_to(live.sliding(_event_stream(spark, d), "3 days", "1 day", "40 days"), out, mark).awaitTermination()
     return spark.read.parquet(out).select("shot_id", "signal", F.to_date("start").alias("start"), "n", r("mean").alias("mean"), "low", "high")
+
+
+# ---------------------------------------------------------------- roles and dimensions from the data
+
+ROLES = """seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS task, CASE WHEN ts < TIMESTAMP '2024-01-06' THEN 'input' ELSE 'output' END AS role, event_type AS signal FROM events WHERE ts < TIMESTAMP '2024-01-11'),
+ roles AS (SELECT *, CAST(row_number() OVER (PARTITION BY task, role ORDER BY signal) - 1 AS INTEGER) AS pos FROM seen)"""
+
+
+def _roles(spark, d):
+    """Each user as a task: what they do in the first five days are inputs, in the next five outputs."""
+    ev = views.read(spark, d, "events").where("ts < timestamp_ntz '2024-01-11'")
+    role = F.when(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"), "input").otherwise("output")
+    rows = ev.groupBy(F.col("user_id").cast("string").alias("task"), role.alias("role")).agg(F.array_sort(F.collect_set("event_type")).alias("signals"))
+    return rows.select("task", "role", F.posexplode("signals").alias("pos", "signal"))
+
+
+@query(f"WITH {ROLES} SELECT task, r.role, o.pos, signal FROM roles o JOIN roles i USING (task, signal), (SELECT unnest(['input', 'output']) AS role) r WHERE o.role = 'output' AND i.role = 'input'")
+def autoregressive_roles(spark, d):
+    return baselines.autoregressive(_roles(spark, d))
+
+
+@query(f"WITH {ROLES} SELECT task, role, pos, signal FROM roles WHERE role = 'output' UNION ALL SELECT DISTINCT task, 'input', 0, 'view' FROM roles WHERE role = 'output'")
+def mean_roles(spark, d):
+    return baselines.mean_choice(_roles(spark, d), "view")
+
+
+@query(f"WITH {ROLES} SELECT DISTINCT signal FROM roles")
+def requested_signals(spark, d):
+    return baselines.requested_signals(_roles(spark, d))
+
+
+@query(f"""WITH {ROLES}, lengths AS (SELECT task, CAST(2 + CAST(task AS BIGINT) % 4 AS DOUBLE) AS input_length, 2.5 AS output_length FROM (SELECT DISTINCT task FROM roles))
+ SELECT task, role, signal, CAST(CASE role WHEN 'input' THEN input_length ELSE output_length END AS DOUBLE) AS length_s, CAST(round_even(CASE role WHEN 'input' THEN input_length ELSE output_length END, 0) AS INTEGER) AS length_n FROM roles JOIN lengths USING (task)""")
+def task_window_lengths(spark, d):
+    rows = _roles(spark, d)
+    every = rows.select("task").distinct().select(
+        "task", (F.lit(2) + F.col("task").cast("long") % 4).cast("double").alias("input_length"), F.lit(2.5).cast("double").alias("output_length"), F.lit(0.0).alias("delta"), F.lit(1.0).alias("stride")
+    )
+    return windows.window_lengths(rows, every, views.event_meta(spark)).select("task", "role", "signal", "length_s", "length_n")
+
+
+@query(f"WITH {CATALOG} SELECT shot_id, signal FROM (SELECT DISTINCT shot_id FROM catalog_), (SELECT unnest(['web-view', 'app-error', 'app-none']) AS signal) EXCEPT SELECT shot_id, signal FROM catalog_")
+def missing_signals(spark, d):
+    return catalog.missing_pairs(_catalog(spark, d), ["web-view", "app-error", "app-none"])
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS channel_idx, 'line ' || l_linenumber AS channel_name FROM (SELECT DISTINCT l_linenumber FROM lineitem WHERE l_returnflag = 'R')")
+def channel_names(spark, d):
+    lines = views.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("signal"), (F.col("l_linenumber") - 1).alias("channel_idx"), F.concat(F.lit("line "), F.col("l_linenumber")).alias("channel_name")).distinct()
+    return scans.channel_names(lines, "R")
+
+
+@query("SELECT user_id AS signal, min(CASE WHEN event_type IN ('view', 'signup') THEN 'time_' || event_type END) FILTER (WHERE event_id = first_id) AS time_axis FROM (SELECT *, min(CASE WHEN event_type IN ('view', 'signup') THEN event_id END) OVER (PARTITION BY user_id) AS first_id FROM events) GROUP BY 1")
+def time_axis(spark, d):
+    ev = views.read(spark, d, "events")
+    axis = F.when(F.col("event_type").isin("view", "signup"), F.concat(F.lit("time_"), F.col("event_type"))).otherwise(F.col("event_type"))
+    return scans.time_axis(ev.select(F.col("user_id").alias("signal"), F.col("event_id").alias("pos"), axis.alias("axis")))
+
+
+@query(f"WITH {STATS} SELECT shot_id, variable, n_dim_shot FROM stats ORDER BY shot_id, variable LIMIT 50")
+def shot_stats_head(spark, d):
+    return _stats(spark, d).orderBy("shot_id", "variable").select("shot_id", "variable", "n_dim_shot").limit(50)
+

@@ -52,3 +52,9 @@ def valid_shot_ids(ids: DataFrame, column: str = "shot_id") -> DataFrame:
 
 def invalid_shot_ids(ids: DataFrame, column: str = "shot_id") -> DataFrame:
     return ids.where(~F.coalesce(F.col(column).cast("string").rlike("^[0-9]+$"), F.lit(False))).select(F.col(column).alias("shot_id"))
+
+
+def missing_pairs(catalog: DataFrame, required: list[str]) -> DataFrame:
+    """(shot_id, signal): required signals that a shot of the catalog lacks."""
+    wanted = catalog.select("shot_id").distinct().withColumn("signal", F.explode(F.array(*map(F.lit, dict.fromkeys(required)))))
+    return wanted.exceptAll(catalog.select("shot_id", "signal").distinct())
