@@ -22,7 +22,7 @@ def batch_ids(windows: DataFrame, size: int, seed: int | None = None) -> DataFra
         ranked = shuffle(windows, seed)
     else:
         keys = windows.select("shot_id", "window_index").distinct()
-        ranked = global_rank(keys, [F.col("window_index")], F.col("shot_id")).withColumnRenamed("_rank", "shuffle_rank")
+        ranked = global_rank(keys, [F.col("shot_id"), F.col("window_index")], F.floor(F.col("shot_id") / 100)).withColumnRenamed("_rank", "shuffle_rank")
     return ranked.select("shot_id", "window_index", F.floor(F.col("shuffle_rank") / size).alias("batch_id"))
 
 

@@ -19,7 +19,7 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # over the buckets, not the rows
     sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order)) - 1
-    return rows.withColumn("_inside", inside).join(F.broadcast(sizes), "_bucket").withColumn("_rank", F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
+    return rows.withColumn("_inside", inside).join(sizes, "_bucket").withColumn("_rank", F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
 
 
 def seeded_rank(shots: DataFrame, seed: int, id_col: str = "shot_id") -> DataFrame:
