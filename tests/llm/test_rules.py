@@ -113,3 +113,52 @@ def test_monotone():
         s = trees.scores(np.stack([grid, np.full(200, other)], axis=1))
         assert (np.diff(s) <= 1e-12).all()
     assert ((trees.scores(x) > 0.5) == (y > 0)).mean() > 0.85
+
+
+def plain_scan(texts):
+    """The template labels, said again: rarest words, one alignment at a time."""
+    index = licenses._postings()
+    docs = [WORD.findall((t or "").translate(LOWER)) for t in texts]
+    seen = Counter(w for d in docs for w in set(d) if w in index)
+    idf = {w: np.log((len(docs) + 2) / (seen[w] + 1)) + 1e-6 for w in index}
+    out = []
+    for d in docs:
+        known = sorted({w for w in d if w in index}, key=lambda w: (-idf[w], [-ord(c) for c in w]))[: licenses.TOP_WORDS]
+        said = f" {' '.join(d)} "
+        named = {}
+        for label, (_, phrases) in licenses.TEMPLATES.items():
+            posts = [(w, at) for w in known for name, at in index[w] if name == label]
+            shifts = {}
+            for i, w in enumerate(d):
+                for v, at in posts:
+                    if v == w:
+                        hits, got = shifts.get(i - at, (0, 0.0))
+                        shifts[i - at] = hits + 1, got + idf[w]
+            good = [got for hits, got in shifts.values() if hits >= licenses.LEAST_HITS]
+            if good and all(f" {p} " in said for p in phrases):
+                score = min(1.0, max(good) / sum(idf[w] for w, _ in posts))
+                if score >= licenses.LEAST_SCORE:
+                    named[label] = score
+        out.append(named)
+    return out
+
+
+def test_templates_against_plain_version(spark):
+    import random
+
+    r = random.Random(4)
+    texts = list(TEXTS)
+    for text, _ in licenses.TEMPLATES.values():
+        words = text.split()
+        texts.append(f"some prose before. {text.upper()}")
+        texts.append(" ".join(words[: len(words) // 2]))
+        texts.append(" ".join(w for w in words if r.random() > 0.1))
+        texts.append(" ".join("filler" if r.random() < 0.15 else w for w in words) + " the end of it")
+        texts.append(" ".join(r.sample(words, len(words))))
+    texts.append(" ".join(t for t, _ in licenses.TEMPLATES.values()))
+    want = plain_scan(texts)
+    for row in licenses.scan(documents(spark, texts)).collect():
+        base = set(filter(None, row.base_labels.split(",")))
+        assert row.labels == ",".join(sorted(base | set(want[row.doc_id])))
+        assert row.score == pytest.approx(1.0 if base else max(want[row.doc_id].values(), default=0.0))
+    assert sum(map(bool, want)) > 12
