@@ -247,7 +247,10 @@ def training_pages(pages: list[str], seed: int = 11) -> list[tuple[Sequence, np.
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> Labeller:
-    some = pages.select(F.col(html_col).alias("html"), F.col(id_col).alias("id")).where("html is not null").orderBy(F.xxhash64("id"), "id", F.xxhash64("html")).limit(sample)
+    rows = pages.select(F.col(html_col).alias("html"), F.col(id_col).alias("id")).where("html is not null")
+    share = 2.0 * sample / max(1, rows.count())
+    place = F.pmod(F.xxhash64(F.lit("pages"), "id"), F.lit(1_000_000)) / 1_000_000
+    some = rows.where(place < share).orderBy(place, "id", F.xxhash64("html")).limit(sample)  # few rows reach the sort, whatever the table's size
     return Labeller().train(training_pages([row.html for row in some.collect()]))  # ``sample`` pages at most
 
 
