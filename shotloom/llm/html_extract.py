@@ -198,6 +198,12 @@ def weak_labels(blocks: list[Block]) -> np.ndarray | None:
     return np.array(y, np.float32) if found else None
 
 
+def plain_labels(blocks: list[Block]) -> np.ndarray:
+    """Labels where no page has telling names of content: long texts that are not links and not in boilerplate."""
+    boiler = set(BOILERPLATE_NAMES)
+    return np.array([float(len(b.text) >= 60 and b.link < 0.3 and not any(e.tag in BOILERPLATE_TAGS or boiler & set(e.names) for e in b.path)) for b in blocks], np.float32)
+
+
 def _dress(r: np.random.Generator, tags: list[str], names: list[str], named: float) -> Element:
     """A container of one kind under some name."""
     if r.random() > named:
@@ -209,7 +215,8 @@ def _dress(r: np.random.Generator, tags: list[str], names: list[str], named: flo
 def training_pages(pages: list[str], seed: int = 11) -> list[tuple[Sequence, np.ndarray]]:
     """Labelled sequences: each page as it is, and re-dressed."""
     r = np.random.default_rng(seed)
-    labelled = [(b, y) for b in map(read_blocks, pages) if b and (y := weak_labels(b)) is not None]
+    read = [b for b in map(read_blocks, pages) if b]
+    labelled = [(b, y) for b in read if (y := weak_labels(b)) is not None] or [(b, plain_labels(b)) for b in read]
     texts = [b.text for blocks, _ in labelled for b in blocks]
     short = [t for t in texts if len(t) < 80] or texts
     out = []

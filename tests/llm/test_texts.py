@@ -210,6 +210,15 @@ def test_fit_without_pages(spark):
     assert len(html_extract.extract(bare).collect()) == 1
 
 
+def test_pages_without_telling_names():
+    """Pages of bare div elements: long texts are content, short linked ones are not."""
+    texts = [f"Paragraph {i} of some text that goes on for a while, and then on, until it ends at last." for i in range(40)]
+    page = lambda i: f"<body><div><a>Home {i}</a></div><div><p>{texts[i]}</p><p>{texts[-i]}</p></div><div><a>About</a></div></body>"
+    model = html_extract.Labeller().train(html_extract.training_pages([page(i) for i in range(1, 40)]))
+    blocks = html_blocks.read_blocks(page(7))
+    assert [bool(p >= 0.5) for p in model.scores([html_extract.Sequence(blocks)])[0]] == [False, True, True, False]
+
+
 def test_blocks():
     b = html_blocks.read_blocks("<div CLASS='postBody side-bar' hidden>a&nbsp; b<i>c</i><p>x<p>y</div><!-- <p>no</p> -->z")
     assert [x.text for x in b] == ["a bc", "x", "y", "z"]
