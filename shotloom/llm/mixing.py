@@ -79,7 +79,8 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: flo
         .select("key", "weight", "blocks", "passes", "rest")
     )
 
-    dealt = slim.join(plan.select("key", "blocks", "weight"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", ROW[1]), "blocks")).drop("blocks")
+    who = F.coalesce("doc_id", ROW[1])  # the same documents give the same mixture, wherever their rows lie
+    dealt = slim.join(plan.select("key", "blocks", "weight"), "key").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), who), "blocks")).drop("blocks")
     dealt = materialize(dealt)
     blocks = dealt.groupBy("key", "block").agg(F.sum("n_tokens").alias("size")).join(plan.select("key", "passes", "rest"), "key")
     blocks = blocks.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("passes"))))
@@ -92,7 +93,7 @@ def mix(docs: DataFrame, target_entropy: float = TARGET_ENTROPY, max_epochs: flo
     columns = ["doc_id", *ROW, "source", "n_tokens", "weight", "epoch", "block", "block_rank"]
     whole = dealt.join(taken.where("left = size"), ["key", "block"]).select(columns)
     edge = dealt.join(taken.where("left < size"), ["key", "block"])
-    inside = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", ROW[1]), *ROW).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "block", "epoch").orderBy(F.xxhash64(F.lit(seed + 1), who), *ROW).rowsBetween(Window.unboundedPreceding, -1)
     edge = edge.withColumn("before", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).where("before < left").select(columns)
     return whole.unionByName(edge)
 
