@@ -171,8 +171,10 @@ class Trees:
 
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Trees:
     """Trees from at most ``sample`` labelled documents, chosen by a hash of their ids."""
-    some = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").dropDuplicates(["doc_id"])
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    share = 2.0 * sample / max(1, known.count())
+    place = F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) / 1_000_000
+    some = known.where(place < share).dropDuplicates(["doc_id"]).orderBy(place, "doc_id").limit(sample)  # few rows reach the sort, whatever the table's size
     rows = stats.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("y", *FEATURES).toPandas()  # ``sample`` rows at most
     return Trees().grow(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float), list(FEATURES.values()))
 
