@@ -54,6 +54,15 @@ def r(x: Column | str, digits: int = 6) -> Column:
     return F.round(x + F.lit(OFF) if digits == 6 else x, digits)
 
 
+def by_size(x: str) -> Column:
+    """Six digits, or none for large values, of which a double holds no more."""
+    return F.when(F.col(x) > 1e6, F.round(F.col(x), 0)).otherwise(r(x))
+
+
+def by_size_sql(x: str) -> str:
+    return f"CASE WHEN {x} > 1e6 THEN round({x}, 0) ELSE round({x}, 6) END"
+
+
 # ---------------------------------------------------------------- statistics
 
 MEAS = """meas AS (SELECT l_suppkey AS shot_id, u.variable, u.value FROM lineitem, LATERAL (VALUES ('quantity', l_quantity), ('extendedprice', l_extendedprice),
@@ -85,14 +94,14 @@ def _manual(spark, d):
     return stats.flags_to_outliers(flags, FLAGGED)
 
 
-@query(f"WITH {STATS} SELECT shot_id, variable, n_dim_shot, n_nans_shot, round(mean, 6) AS mean, round(variance, 4) AS variance, min, max, round(median, 6) AS median FROM stats")
+@query(f"WITH {STATS} SELECT shot_id, variable, n_dim_shot, n_nans_shot, round(mean, 6) AS mean, {by_size_sql('variance')} AS variance, min, max, round(median, 6) AS median FROM stats")
 def shot_signal_stats(spark, d):
-    return _stats(spark, d).select("shot_id", "variable", "n_dim_shot", "n_nans_shot", r("mean").alias("mean"), r("variance", 4).alias("variance"), "min", "max", r("median").alias("median"))
+    return _stats(spark, d).select("shot_id", "variable", "n_dim_shot", "n_nans_shot", r("mean").alias("mean"), by_size("variance").alias("variance"), "min", "max", r("median").alias("median"))
 
 
-@query(f"WITH {POOL} SELECT variable, round(g, 6) AS global_mean, round(v, 4) AS global_variance FROM pool2")
+@query(f"WITH {POOL} SELECT variable, round(g, 6) AS global_mean, {by_size_sql('v')} AS global_variance FROM pool2")
 def pooled_stats(spark, d):
-    return stats.pooled(_stats(spark, d)).select("variable", r("global_mean").alias("global_mean"), r("global_variance", 4).alias("global_variance"))
+    return stats.pooled(_stats(spark, d)).select("variable", r("global_mean").alias("global_mean"), by_size("global_variance").alias("global_variance"))
 
 
 @query(f"WITH {POOL} SELECT shot_id, variable, round(z, 6) AS z FROM z")
@@ -703,12 +712,12 @@ def summary_from_shots_csv(spark, d):
     return _rounded(metrics.summary("shots", tables.read_metrics(spark, path, "shots")), "task", "n_shots")
 
 
-@query(f"WITH {STATS} SELECT variable, count(*) AS n, round(sum(mean), 4) AS total FROM stats GROUP BY 1")
+@query(f"WITH {STATS} SELECT variable, count(*) AS n, round(sum(mean), 2) AS total FROM stats GROUP BY 1")
 def shot_stats_csv(spark, d):
     path = workspace.folder(spark)
     tables.write_csv(_stats(spark, d), path)
     back = spark.read.option("header", True).csv(path)
-    return back.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum(names.number(F.col("mean"))), 4).alias("total"))
+    return back.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum(names.number(F.col("mean"))), 2).alias("total"))
 
 
 @query(f"WITH {ORDER} SELECT split, count(*) AS n FROM split GROUP BY 1")
