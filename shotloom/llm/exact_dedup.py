@@ -45,7 +45,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dig
     return _keyed(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {ROW[0]} string, {ROW[1]} long, digest string, n_bytes long")
 
 
-def stream_state(slim: DataFrame, path: str, files_per_batch: int = 256) -> DataFrame:
+def stream_state(slim: DataFrame, path: str, files_per_batch: int = 4096) -> DataFrame:
     """Stream the slim table at ``path`` through the keyed state; return each digest's last state.
 
     Updates are appended per micro-batch (a replayed batch overwrites itself); both values only grow, so the
@@ -93,7 +93,7 @@ def _texts(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[bytes]
     return _keyed(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {ROW[0]} string, {ROW[1]} long, digest string, n_bytes long, salt int, norm binary")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, files_per_batch: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, files_per_batch: int = 4096) -> DataFrame:
     """One row per document: doc_id, locator, digest, keep_id, group_size, kept."""
     spark = docs.sparkSession
     path = shared_dir(spark)
