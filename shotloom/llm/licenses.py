@@ -1,10 +1,11 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 The index lists, for each telling word of the license templates, the templates and the places where it stands.  A
-document's license words are found with their places; those with the highest inverse document frequency (counted over
-all documents) are looked up in the index; postings that agree on the relative position (place in the document less
-place in the template) support one alignment of one template; and a template is reported if an alignment has enough
-support and the template's mandatory key phrases stand in the document.  Three plain phrases are counted beside that.
+document's license words are found with their places, and all of them are looked up in the index, for the templates
+whose mandatory key phrases stand in the document; postings that agree on the relative position (place in the document
+less place in the template) support one alignment of one template; and a template is reported if an alignment has
+enough support, in hits and in inverse document frequency (counted over all documents).  Three plain phrases are counted
+beside that.
 
 One pass reads the texts; what follows works on license words only.
 
@@ -25,7 +26,7 @@ from .common import materialize
 
 #: Words over lower-cased text; on text of any case the letters A-Z belong to them too.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TOP_WORDS = 12
+TOP_WORDS = None  # of a document's index words, how many are looked up: all, so that no notice crowds out another
 LEAST_HITS = 4
 LEAST_SCORE = 0.6
 
@@ -103,16 +104,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     n = max(1, slim.count())
     seen = {r.w: r.n for r in slim.select(F.explode(distinct).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     weight = {w: math.log((n + 2) / (seen.get(w, 0) + 1)) + 1e-6 for w in index}
-    of = F.create_map(*(x for w in sorted(weight) for x in (F.lit(w), F.lit(weight[w]))))
-    ranked = F.reverse(F.array_sort(F.transform(F.filter(distinct, lambda w: F.map_contains_key(of, w)), lambda w: F.struct(F.element_at(of, w).alias("idf"), w.alias("w")))))
-    rare = slim.where(F.size("proven") > 0).withColumn("top", F.transform(F.slice(ranked, 1, TOP_WORDS), lambda x: x["w"]))
-    rare = rare.select("row", "proven", "top", F.explode("lic").alias("x")).where(F.array_contains("top", F.col("x.w")))
+    some = slim.where(F.size("proven") > 0).select("row", "proven", F.explode("lic").alias("x"))
     postings = spark.createDataFrame([(w, label, at, weight[w]) for w, all_ in sorted(index.items()) for label, at in all_], "w string, label string, at int, idf double")
     # at most one row per posting: a table of fixed size
-    met = rare.select("row", "proven", F.col("x.w").alias("w"), F.col("x.i").alias("i")).join(F.broadcast(postings), "w")
-    aligned = met.groupBy("row", "label", (F.col("i") - F.col("at")).alias("shift")).agg(F.count("*").alias("hits"), F.sum("idf").alias("got"), F.first("proven").alias("proven"))
+    met = some.select("row", "proven", F.col("x.w").alias("w"), F.col("x.i").alias("i")).join(F.broadcast(postings), "w").where(F.array_contains("proven", F.col("label")))
+    aligned = met.groupBy("row", "label", (F.col("i") - F.col("at")).alias("shift")).agg(F.count("*").alias("hits"), F.sum("idf").alias("got"))
     could = met.select("row", "label", "w", "at", "idf").distinct().groupBy("row", "label").agg(F.sum("idf").alias("could"))
-    best = aligned.where((F.col("hits") >= LEAST_HITS) & F.array_contains("proven", F.col("label"))).groupBy("row", "label").agg(F.max("got").alias("got"))
+    best = aligned.where(F.col("hits") >= LEAST_HITS).groupBy("row", "label").agg(F.max("got").alias("got"))
     named = best.join(could, ["row", "label"]).withColumn("score", F.least(F.lit(1.0), F.col("got") / F.col("could"))).where(F.col("score") >= LEAST_SCORE)
     named = named.groupBy("row").agg(F.collect_set("label").alias("named"), F.max("score").alias("score"))
 
