@@ -27,7 +27,7 @@ from .html_blocks import Block, Element, read_blocks
 SAMPLE = 400  # pages that the labeller is trained on, at most
 PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 4096, 1024, 16, 8, 8, 16
 EPOCHS, BATCH, RATE = 7, 32, 0.01
-MOST_TRAINED = 120  # blocks of a training sequence; labelling reads all
+MOST_TRAINED = 120  # blocks of a training window; windows reach the end of a page, labelling reads it in one
 
 UPPER = bytes(range(65, 91))
 
@@ -50,8 +50,8 @@ def _tokens(block: Block) -> list[str]:
 
 def _measures(block: Block, at: int, n: int) -> list[float]:
     t = block.text
-    size, head = len(t), t[:200].encode("utf-8", "replace")
-    share = lambda chars: 1 - len(head.translate(None, chars)) / len(head)
+    size, raw = len(t), t.encode("utf-8", "replace")
+    share = lambda chars: 1 - len(raw.translate(None, chars)) / len(raw)
     return [np.log1p(size) / 6, block.link, float(t[-1] in ".!?…\"”"), at / max(1, n - 1), share(b"0123456789"), share(UPPER), float("©" in t), min(n, 100) / 100]
 
 
@@ -67,6 +67,15 @@ class Sequence:
     def __len__(self) -> int:
         return len(self.paths)
 
+    def windows(self, most: int) -> list[tuple["Sequence", slice]]:
+        """All blocks in even windows of ``most`` at most; the measures stay those of the whole page."""
+        out, edges = [], np.linspace(0, len(self), -(-len(self) // most) + 1).astype(int)
+        for part in map(slice, edges[:-1], edges[1:]):
+            w = Sequence([])
+            w.paths, w.words, w.measures = self.paths[part], self.words[part], self.measures[part]
+            out.append((w, part))
+        return out
+
 
 def _sums(table: np.ndarray, ids: list[np.ndarray], mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum (halved) or mean of the learned vectors of each block's ids; the ids and weights that it is made of."""
@@ -213,7 +222,7 @@ def _dress(r: np.random.Generator, tags: list[str], names: list[str], named: flo
 
 
 def training_pages(pages: list[str], seed: int = 11) -> list[tuple[Sequence, np.ndarray]]:
-    """Labelled sequences: each page as it is, and re-dressed."""
+    """Labelled sequences: each page as it is, and re-dressed, from its first block to its last."""
     r = np.random.default_rng(seed)
     read = [b for b in map(read_blocks, pages) if b]
     labelled = [(b, y) for b in read if (y := weak_labels(b)) is not None] or [(b, plain_labels(b)) for b in read]
@@ -250,7 +259,7 @@ def training_pages(pages: list[str], seed: int = 11) -> list[tuple[Sequence, np.
                 at = int(r.integers(0, len(seq) + 1))
                 seq[at:at] = [(b, 0.0) for b in group(inside)]
             out.append(([b for b, _ in seq], np.array([t for _, t in seq], np.float32)))
-    return [(Sequence(b[:MOST_TRAINED]), y[:MOST_TRAINED]) for b, y in out if b]
+    return [(w, y[part]) for b, y in out if b for w, part in Sequence(b).windows(MOST_TRAINED)]
 
 
 def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> Labeller:

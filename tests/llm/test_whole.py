@@ -1,6 +1,6 @@
 """Nothing is left out: cases that a cut of words, blocks or labels would lose."""
 
-from shotloom.llm import licenses
+from shotloom.llm import html_blocks, html_extract, licenses
 
 
 def test_every_notice_of_a_file_is_named(spark):
@@ -12,3 +12,24 @@ def test_every_notice_of_a_file_is_named(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for row in licenses.scan(docs).collect():
         assert want[row.doc_id] <= set(row.labels.split(",")), (row.doc_id, row.labels)
+
+
+def test_digits_and_capitals_count_to_the_end_of_a_block():
+    block = html_blocks.Block([], "a" * 200 + "7" * 100 + "B" * 100, 0.0)
+    measures = html_extract._measures(block, 0, 1)
+    assert measures[4:6] == [0.25, 0.25]
+
+
+def test_training_reaches_the_end_of_a_page():
+    body = "".join(f"<p>Paragraph {k} of a long article.</p>" for k in range(301))
+    got = html_extract.training_pages([f"<html><body><article>{body}</article><footer><p>The footer.</p></footer></body></html>"])
+    page = []
+    for s, y in got:  # the page as it is comes first
+        page.append((s, y))
+        if sum(len(s) for s, _ in page) >= 302:
+            break
+    assert sum(len(s) for s, _ in page) == 302
+    assert all(len(s) == len(y) <= html_extract.MOST_TRAINED for s, y in got)
+    assert [float(y.sum()) for _, y in page] == [len(y) for _, y in page[:-1]] + [len(page[-1][1]) - 1]
+    places = [float(x) for s, _ in page for x in s.measures[:, 3]]
+    assert places == sorted(places) and (places[0], places[-1]) == (0, 1) and places.count(1.0) == 1
