@@ -1,7 +1,10 @@
 """Leaf text blocks of a web page, with their paths of elements.
 
 A forgiving reader: unknown and inline elements do not break a block, missing end tags are implied, raw-text elements
-are skipped whole.  Character references are decoded, white space inside a block becomes one space."""
+are skipped whole.  Text of formulas and fallback content of objects and media are inline text; a head needs no end tag,
+as what may stand in it is skipped by itself.  A skipped element that does not end inside its parent is read as if its
+start tag were not there, so that nothing after it is lost.  Character references are decoded, white space inside a
+block becomes one space."""
 
 from __future__ import annotations
 
@@ -12,7 +15,7 @@ from dataclasses import dataclass, field
 #: Element names by what they do to text.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 BREAK = {"hr"}
-SKIP = set("script style template noscript svg math iframe object canvas audio video textarea title head".split())
+SKIP = set("script style template noscript svg annotation annotation-xml iframe textarea title".split())
 RAW = set("script style textarea title iframe noscript".split())
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
 FENCES = set("ul ol dl table div section article main aside body nav header footer form blockquote".split())
@@ -55,6 +58,8 @@ def read_blocks(page: str | None) -> list[Block]:
     parts: list[tuple[str, bool]] = []
     page = page or ""
     at, links, skipping = 0, 0, ""
+    begun, inner = 0, []  # where the skipped content begins, and the blocks open in it
+    kept: dict[str, int] = {}  # how far start tags of a skipped element count as not there
 
     def flush() -> None:
         if not parts:
@@ -66,8 +71,12 @@ def read_blocks(page: str | None) -> list[Block]:
             blocks.append(Block(list(stack), text, linked / max(1, len(raw))))
         parts.clear()
 
-    depth = 0
-    for m in TAG.finditer(page):
+    depth, tags = 0, TAG.finditer(page)
+    while (m := next(tags, None)) or skipping:
+        if m is None:  # the skipped element never ends: back to where it began
+            kept[skipping], skipping = len(page), ""
+            at, tags = begun, TAG.finditer(page, begun)
+            continue
         if m.start() < at:
             continue  # inside raw text that was passed over
         if m.start() > at and not skipping:
@@ -78,23 +87,25 @@ def read_blocks(page: str | None) -> list[Block]:
             continue
         if skipping:
             if tag == skipping:
-                depth += -1 if m[1] else 1
-            elif skipping == "head" and tag == "body":
-                depth = 0
-            if tag in RAW and not m[1]:
+                depth += -1 if m[1] else 0 if m[3].endswith("/") else 1
+                skipping = skipping if depth else ""
+            elif tag in RAW and not m[1]:
                 at = _after(page, at, tag)
-            if depth > 0:
-                continue
-            skipping = ""
-            if tag != "body":
-                continue
+            elif m[1] and tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            elif m[1] and any(e.tag == tag for e in stack) or (skipping == "svg" and tag in BLOCK and not m[1] and not inner):
+                kept[skipping], skipping = m.end(), ""  # its parent ends, or a drawing meets a block
+                at, tags = begun, TAG.finditer(page, begun)
+            elif not m[1] and not m[3].endswith("/") and (tag in BLOCK or tag in ("foreignobject", "desc")):
+                inner.append(tag)
+            continue
         if tag in SKIP:
             if m[1]:
                 continue
             if tag in RAW:
                 at = _after(page, at, tag)
-            elif not m[3].endswith("/"):
-                skipping, depth = tag, 1
+            elif not m[3].endswith("/") and m.start() >= kept.get(tag, 0):
+                skipping, depth, begun, inner = tag, 1, at, []
             continue
         if tag == "a":
             links = 0 if m[1] else 1
@@ -121,8 +132,7 @@ def read_blocks(page: str | None) -> list[Block]:
                         del stack[k:]
                         break
                 stack.append(Element(tag, _names(m[3])))
-    if not skipping:
-        parts.append((page[at:], links > 0))
+    parts.append((page[at:], links > 0))
     flush()
     return blocks
 

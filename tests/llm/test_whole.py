@@ -1,5 +1,7 @@
 """Nothing is left out: cases that a cut of words, blocks or labels would lose."""
 
+import pytest
+
 from shotloom.llm import html_blocks, html_extract, licenses
 
 
@@ -33,3 +35,23 @@ def test_training_reaches_the_end_of_a_page():
     assert [float(y.sum()) for _, y in page] == [len(y) for _, y in page[:-1]] + [len(page[-1][1]) - 1]
     places = [float(x) for s, _ in page for x in s.measures[:, 3]]
     assert places == sorted(places) and (places[0], places[-1]) == (0, 1) and places.count(1.0) == 1
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<html><head><title>t</title><meta charset=x><p>one<p>two", ["one", "two"]),
+        ("<html><head><style>a</style><body><p>one</body></html>", ["one"]),
+        ("<head><template><p>no</p></template><script>x</script></head><p>one", ["one"]),
+        *((f"<div><p>one<{t}>two</div><p>three</p>", ["onetwo", "three"]) for t in "object svg math canvas audio video template".split()),
+        ("<div><svg><path d=x><text>two</text><p>three</p></div><p>four", ["two", "three", "four"]),
+        ("<svg><path d=x>one", ["one"]),
+        ("<template>one<p>two", ["one", "two"]),
+        ("<p>a <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></math> b", ["a x=1 b"]),
+        ("<p>a <object data=x>fallback</object> b", ["a fallback b"]),
+        ("<div>a<template><div><li>no</div></template>b<svg><foreignObject><p>no</p></foreignObject></svg>c</div>", ["abc"]),
+        ("<div>a<svg><svg>no</svg>no</svg>b<svg/>c</div><div>d<svg>e</div><div>f<svg>no</svg>g</div>", ["abc", "de", "fg"]),
+    ],
+)
+def test_unclosed_elements_lose_no_text(page, want):
+    assert [b.text for b in html_blocks.read_blocks(page)] == want
