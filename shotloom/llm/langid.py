@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 500  # documents of a language that the weights are trained on, about
-LANGUAGES = 300  # the most frequent labels that are learned
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 UNKNOWN = "und"
 
@@ -150,7 +149,7 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
     df, n = document_frequencies(rows)
     idf = np.log((n + 1) / (df + 1)) + 1
-    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()}
+    sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # every label is learned
     model = Model(sorted(sizes), idf)
     if not sizes:
         return model

@@ -2,7 +2,7 @@
 
 import pytest
 
-from shotloom.llm import html_blocks, html_extract, licenses
+from shotloom.llm import html_blocks, html_extract, langid, licenses
 
 
 def test_every_notice_of_a_file_is_named(spark):
@@ -55,3 +55,9 @@ def test_training_reaches_the_end_of_a_page():
 )
 def test_unclosed_elements_lose_no_text(page, want):
     assert [b.text for b in html_blocks.read_blocks(page)] == want
+
+
+def test_every_label_is_learned(spark):
+    labels = [f"l{k:03}" for k in range(302)]
+    rows = [(k, f"word{chr(0x4E00 + k) * 3}", x) for k, x in enumerate(labels)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == labels
