@@ -1,18 +1,22 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds of joins."""
+"""Connected components of a link table, by alternating large-star and small-star rounds of joins.
+
+Defined results: links of a node to itself and null ends are left out; repeated links count once; an empty table gives
+an empty one; only the first two columns are read, whatever their names.  A hub that many nodes link to is joined by
+broadcast (see common.join_hot), so none of its links goes to one task."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_hot, materialize
 
 
-def _star(edges: DataFrame, small: bool) -> DataFrame:
-    """Link neighbours to the least of them.  edges: (u, v) with u > v."""
+def _star(edges: DataFrame, small: bool, n_edges: int) -> DataFrame:
+    """Link neighbours to the least of them.  edges: (u, v) with u > v, written."""
     back = edges if small else edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = back.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = back.join(least, "u")
+    least = back.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+    linked = join_hot(back, least, ["u"], "n", 2 * n_edges)
     if small:
         out = linked.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(linked.select("u", F.col("m").alias("v")))
     else:
@@ -29,7 +33,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
     for _ in range(most_rounds):
-        edges = materialize(_star(materialize(_star(edges, small=False)), small=True))
+        edges = materialize(_star(materialize(_star(edges, False, before[0])), True, before[0]))
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -6,8 +6,13 @@ changes a count by one.  A comparison is numpy exclusive-or and bit counts over
 the four 16-bit quarters, where bounds on these counts skip most sub-tile pairs; the rest are compared in full, so
 no link is lost.  Of the links between two tiles a spanning forest leaves the task, never all pairs.
 
-Defined results: a null text counts as empty; texts without words share the fingerprint zero and link like any other;
-repeated rows share their group; a null doc_id takes part but never names a group that has another id.
+Pairs of tiles are found by their names alone and dealt out before a tile's fingerprints join them.  A fingerprint that
+many documents share is one entry of a tile, and its documents are joined by broadcast (see common.join_hot).
+
+Defined results: a null text counts as empty; texts without words share the fingerprint zero and link like any other; a
+text of any length is read whole, its shingles counted in parts; rows that repeat, or tie on doc_id, share their group,
+and the one at the least locator stays; a null doc_id takes part but never names a group that has another id; an empty
+table gives an empty one; columns other than id and text are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, materialize, settings, utf8, with_row_key
+from .common import ROW, join_hot, located, materialize, settings, utf8, whole_rows, with_row_key
 from .components import components
 
 RADIUS = 3
@@ -49,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle) for t in b.pop("text")], dtype="<u8")
             yield b.assign(fp=fp.view("<i8"))
 
-    keyed = with_row_key(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
+    keyed = with_row_key(located(docs), doc_id=F.col(id_col).cast("long"), text=F.col(text_col))
     return keyed.mapInPandas(run, f"doc_id long, {ROW[0]} string, {ROW[1]} long, fp long")
 
 
@@ -126,13 +131,15 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
 
     steps = [(p, q) for p in range(radius + 1) for q in range(-radius, radius + 1) if p + abs(q) <= radius and (p > 0 or q >= 0)]
     step = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in steps)))
-    near = tiles.select("a", "b", "k", "x", step.alias("s")).select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("k").alias("k0"), "x", (F.col("a") + F.col("s.p")).alias("a"), (F.col("b") + F.col("s.q")).alias("b"))
-    other = tiles.select("a", "b", "k", F.col("x").alias("y"))
+    near = tiles.select("a", "b", "k", step.alias("s")).select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("k").alias("k0"), (F.col("a") + F.col("s.p")).alias("a"), (F.col("b") + F.col("s.q")).alias("b"))
     same_cell = (F.col("a0") == F.col("a")) & (F.col("b0") == F.col("b"))
-    pairs = near.join(other, ["a", "b"]).where(~same_cell | (F.col("k0") <= F.col("k")))
+    pairs = near.join(tiles.select("a", "b", "k"), ["a", "b"]).where(~same_cell | (F.col("k0") <= F.col("k")))
     pairs = pairs.withColumn("same", same_cell & (F.col("k0") == F.col("k")))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = pairs.repartition(n, "a0", "b0", "k0", "a", "b", "k").select("x", F.when(~F.col("same"), F.col("y")).alias("y"))
+    pairs = materialize(pairs.repartition(n, "a0", "b0", "k0", "a", "b", "k"))  # names of tiles, spread evenly
+    one = tiles.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("k").alias("k0"), "x")
+    two = tiles.select("a", "b", "k", F.col("x").alias("y"))
+    pairs = pairs.join(one, ["a0", "b0", "k0"]).join(two, ["a", "b", "k"]).select("x", F.when(~F.col("same"), F.col("y")).alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -153,18 +160,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: doc_id, locator, fp, component_id, first (the row that stays when one of a group does)."""
     slim = materialize(fingerprints(docs, id_col, text_col, shingle))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW))
-    distinct = materialize(slim.groupBy("fp").agg(least.alias("least")))
+    distinct = materialize(slim.groupBy("fp").agg(least.alias("least"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), radius, tile))
     member = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     member = materialize(member)
-    first = member.groupBy("root").agg(F.min("least").alias("head"))
-    of = materialize(member.select("fp", "root").join(first, "root").select("fp", "head"))
+    groups = materialize(member.groupBy("root").agg(F.min("least").alias("head"), F.count("*").alias("size")))
+    of = materialize(join_hot(member.select("fp", "n", "root"), groups, ["root"], "size", distinct.count()).select("fp", "n", "head"))
     here = F.struct("doc_id", *ROW)
     head = F.struct("head.doc_id", *(f"head.{c}" for c in ROW))
-    return slim.join(of, "fp").select("doc_id", *ROW, "fp", F.col("head.doc_id").alias("component_id"), here.eqNullSafe(head).alias("first"))
+    every = join_hot(slim, of, ["fp"], "n", slim.count())
+    return every.select("doc_id", *ROW, "fp", F.col("head.doc_id").alias("component_id"), here.eqNullSafe(head).alias("first"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: that of the smallest doc_id."""
-    stay = near_groups(docs, id_col, text_col, radius).where("first").select(*ROW)
-    return with_row_key(docs).join(stay, list(ROW), "left_semi").drop(*ROW)
+    """``docs`` with one row of each near-duplicate group, that of the smallest doc_id; all columns stay."""
+    docs = located(docs)
+    gone = near_groups(docs, id_col, text_col, radius).where("not first").select(*ROW)
+    return whole_rows(docs).join(gone, list(ROW), "left_anti").select("whole.*")

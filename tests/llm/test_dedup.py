@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from shotloom.llm import components, exact_dedup, mixing, simhash
+from shotloom.llm import common, components, exact_dedup, mixing, simhash
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 SCHEMA = "doc_id long, text string, source string, digest string, fp int, keep_id string"
@@ -61,6 +61,52 @@ def test_exact_over_micro_batches(spark, tmp_path):
     check_exact(rows, exact_dedup.exact_groups(spark.read.parquet(str(tmp_path / "d")), files_per_batch=1).collect())
 
 
+def test_exact_second_stream_hits_the_first(spark, tmp_path):
+    """A state that lasts: what a later call brings is held against what earlier calls left."""
+    first, second = [(i, f"text {i % 5}", "s") for i in range(20)], [(100 + i, f"Text {i}", "s") for i in range(8)]
+    docs = []
+    for k, rows in enumerate((first, second)):
+        documents(spark, rows).repartition(3).write.parquet(str(tmp_path / f"d{k}"))
+        docs.append(spark.read.parquet(str(tmp_path / f"d{k}")))
+    state = str(tmp_path / "state")
+    check_exact(first, exact_dedup.exact_groups(docs[0], state_path=state, files_per_batch=1).collect())
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs[1], state_path=state, earlier=docs[0], files_per_batch=1).collect()}
+    assert got == {100 + i: (100 + i, 5 if i < 5 else 1, True) for i in range(8)}
+    assert len(list((tmp_path / "state" / "updates").iterdir())) > 4  # micro-batches of both calls
+
+
+def test_exact_clash_with_an_earlier_load(spark, tmp_path):
+    old, new = documents(spark, [(1, "aa", "s"), (2, "bb", "s")]), documents(spark, [(3, "AA", "s"), (4, "cc", "s")])
+    state, digest = str(tmp_path / "state"), lambda b: str(len(b))
+    old.write.parquet(str(tmp_path / "old"))
+    old = spark.read.parquet(str(tmp_path / "old"))
+    exact_dedup.exact_groups(old, digest=digest, state_path=state)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(new, digest=digest, state_path=state, earlier=old).collect()}
+    assert got == {3: (3, 2), 4: (4, 1)}
+
+
+def test_only_hits_are_compared(spark):
+    docs = documents(spark, ROWS)
+    hit = docs.select(F.sha2(F.lit("same text"), 256).alias("digest")).distinct()
+    rows = exact_dedup._texts(docs, exact_dedup._mask(hit), "doc_id", "text", exact_dedup.sha256_hex).collect()
+    assert {r.doc_id for r in rows} == {5, 7, 9} and all(bytes(r.norm) == b"same text" for r in rows)
+
+
+def test_hot_keys_are_joined_whole(spark):
+    left = spark.range(40_000).select(F.when(F.col("id") < 25_000, 0).otherwise(F.col("id") % 100).alias("k"), "id")
+    right = left.groupBy("k").agg(F.count("*").alias("n"))
+    out = common.join_hot(left, right, ["k"], "n", 40_000)
+    assert out.count() == 40_000 and out.select("id").distinct().count() == 40_000
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(1, "a b", "s", 7, "x", "m"), (2, "A b", "s", 8, "y", "n"), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __llm_row long, whole string, _metadata string")
+    for keep in (exact_dedup.keep_first_of_equal, simhash.keep_one_of_each, mixing.mixed_documents):
+        out = keep(docs)
+        assert out.columns == docs.columns and {tuple(r) for r in out.collect()} <= set(rows) and out.count() >= 2
+
+
 def test_exact_empty(spark):
     empty = documents(spark, ROWS).limit(0)
     assert exact_dedup.exact_groups(empty).collect() == []
@@ -189,7 +235,7 @@ def test_mixing(spark):
     docs, rows = sources(spark)
     tokens = Counter()
     for _, t, s in rows:
-        tokens[s] += len(t.split())
+        tokens[s] += max(len(t.split()), -(-len(t) // 8))
     out = mixing.mix(docs, target_entropy=0.7, max_epochs=100.0, block_tokens=500).collect()
     total = sum(tokens.values())
     p = {s: n / total for s, n in tokens.items()}
@@ -230,6 +276,28 @@ def test_mixing_limits(spark):
     assert Counter(r.doc_id for r in mixing.mix(odd).collect()) == Counter([1, 1, None])
 
 
+def test_mixing_keeps_the_limit_for_any_budget(spark):
+    docs, rows = sources(spark)
+    tokens = Counter()
+    for _, t, s in rows:
+        tokens[s] += max(len(t.split()), -(-len(t) // 8))
+    total = sum(tokens.values())
+    for budget in (total // 2, total, int(1.6 * total), 2 * total, 5 * total):
+        out = mixing.mix(docs, max_epochs=2.0, budget_tokens=budget).collect()
+        copies, weight = Counter(r.doc_id for r in out), {r.source: r.weight for r in out}
+        assert max(copies.values()) <= 2
+        assert sum(r.n_tokens for r in out) == pytest.approx(min(budget, 2 * total), rel=0.01)
+        if budget < 2 * total:
+            assert all(w * budget <= 2 * tokens[s] * (1 + 1e-6) for s, w in weight.items())
+
+
+def test_mixing_counts_texts_without_spaces(spark):
+    docs = documents(spark, [(1, "日本語" * 800, "ja"), (2, "word " * 900, "en"), (3, "", "en"), (4, "x " * 100_000, "long")])
+    assert {r.doc_id: r.n_tokens for r in mixing.mix(docs).collect()} == {1: 900, 2: 900, 3: 1, 4: 100_000}
+    own = mixing.mix(docs, n_tokens=F.length("text")).collect()
+    assert {r.doc_id: r.n_tokens for r in own} == {1: 2400, 2: 4500, 3: 1, 4: 200_000}
+
+
 def test_mixing_hot_source_is_whole(spark):
     rows = [(i, "a b c", "one" if i % 3 else f"s{i % 5}") for i in range(999)]
     out = mixing.mix(documents(spark, rows)).select("doc_id").distinct()
