@@ -5,8 +5,10 @@ loss, histogram splits), with monotonic constraints: more symbols, repeated line
 score.  The trees become flat numpy node arrays, and scoring walks all documents of a batch down all trees at once.
 
 Defined results: a null or empty text has no words and fails the base rule; a text of any length is read whole;
-repeated rows are scored each; labels that are null or belong to no document are not used; without labels of both kinds
-the trees are empty and the base rule alone decides; an empty table gives an empty one; other columns are not read.
+repeated rows are scored each; labels that are null or belong to no document are not used, nor are those of an id whose
+labels contradict each other; of texts that share an id the one of the least statistics is learned from; documents that
+tie in a tree fall to the left; without labels of both kinds the trees are empty and the base rule alone decides; an
+empty table gives an empty one; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from .common import materialize, utf8
 
 SAMPLE = 6000  # labelled documents that trees are grown on, at most
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, RIDGE = 60, 3, 0.15, 32, 20, 1.0
-KEEP = 0.35
+KEEP = 0.35  # least score that stays: a good document that is dropped is lost, so odds of about two to one must speak against it
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: Model features and the sign of what they may do to the score (0: free).
@@ -172,10 +174,12 @@ class Trees:
 def train(stats: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", label_col: str = "quality") -> Trees:
     """Trees from at most ``sample`` labelled documents, chosen by a hash of their ids."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
+    known = known.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
     share = 2.0 * sample / max(1, known.count())
     place = F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000)) / 1_000_000
-    some = known.where(place < share).dropDuplicates(["doc_id"]).orderBy(place, "doc_id").limit(sample)  # few rows reach the sort, whatever the table's size
-    rows = stats.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").select("y", *FEATURES).toPandas()  # ``sample`` rows at most
+    some = known.where(place < share).orderBy(place, "doc_id").limit(sample)  # few rows reach the sort, whatever the table's size
+    each = stats.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("y").alias("y"), F.min(F.struct(*FEATURES)).alias("x"))
+    rows = each.orderBy("doc_id").select("y", "x.*").toPandas()  # ``sample`` rows at most
     return Trees().grow(rows[list(FEATURES)].to_numpy(float), rows["y"].to_numpy(float), list(FEATURES.values()))
 
 

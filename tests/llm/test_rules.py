@@ -95,6 +95,19 @@ def test_quality(spark):
     assert quality.quality(docs.limit(0), labels).collect() == []
 
 
+def test_labels_of_repeated_ids(spark):
+    """The same trees whatever the order of rows: contradicting labels go, one text of an id is learned from."""
+    docs = [(i % 150, ("good plain words of prose here " if i % 2 else "## $$ ## %% && ") * (3 + i % 7) + str(i)) for i in range(400)]
+    labels = [(i, i % 2) for i in range(150)] + [(i, 1 - i % 2) for i in range(0, 150, 10)] + [(3, 1)] * 5
+    stats = quality.document_statistics(spark.createDataFrame(docs, "doc_id long, text string"))
+    grown = []
+    for part in (docs, docs[::-1]):
+        stats = quality.document_statistics(spark.createDataFrame(part, "doc_id long, text string"))
+        trees = quality.train(stats, spark.createDataFrame(labels if part is docs else labels[::-1], "doc_id long, quality int"))
+        grown.append((trees.base, trees.threshold.tolist(), trees.value.tolist()))
+    assert grown[0] == grown[1] and len(grown[0][1]) > 1
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
