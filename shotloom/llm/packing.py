@@ -3,21 +3,27 @@
 A document's token ids (from the tokenizers library, then the end id) give a hashed vector: each id has a pseudo-random
 position in DIMS dimensions, and the document lies at their mean.  The Hilbert index of that point is the sort key.
 Documents are range-partitioned by it (copies of one text spread by a hash), sorted, and laid end to end: each run of
-4096 ids is a sequence, so neighbours on the curve share sequences.  What is left at the end of a partition is cut into
-sequences whose lengths are powers of two, which need no padding.
+4096 ids is a sequence, so neighbours on the curve share sequences.  The number of partitions follows from the number of
+ids (see partitions()), not from a setting.  What is left at the end of a partition, less than a sequence, is laid end to
+end with what MERGED neighbouring partitions leave, and so on; only the last rest of all is cut into sequences whose
+lengths are powers of two, which need no padding.
 
-Tokenizing works on words, or on chunks between spaces or line feeds, which this tokenizer never joins; their ids are
-cached in each worker up to CACHE entries, new ones are encoded by the library, many to a call.
+Tokenizing works on words, or on chunks between spaces or line feeds, which this tokenizer never joins; the ids of those
+up to CACHED_LENGTH characters are kept in each worker, up to about CACHE_BYTES; new ones are encoded by the library, many to a
+call.
 
 Defined results: a null or empty text is the end id alone; a text of any length is cut into as many pieces as it takes;
-repeated rows are packed separately; an empty table gives no pieces; other columns are not read.
+repeated rows are packed separately, and rows that tie on the curve lie in order of a hash and their doc_id; an empty
+table gives no pieces; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -29,7 +35,9 @@ from .common import materialize, tokenizer_path
 LENGTH = 4096
 END_ID = 2
 DIMS, BITS = 3, 16
-CACHE = 900_000
+CACHE_BYTES = 200_000_000
+CACHED_LENGTH, ENTRY = 64, 200  # longest kept word; bytes of a dictionary entry beside the characters and ids
+MERGED = 64  # partitions whose rests are laid end to end in the next step
 #: Characters whose lower case and splits are the same everywhere; no apostrophe or angle bracket (contractions, special strings).
 PLAIN = re.compile("[ \n!-&(-;=?-~ß-öø-ÿÀ-ÖØ-Þœ]*")
 WORDS = re.compile("[a-zß-öø-ÿœ]+|[0-9]|[^ \na-z0-9ß-öø-ÿœ]+")
@@ -37,8 +45,14 @@ WORDS = re.compile("[a-zß-öø-ÿœ]+|[0-9]|[^ \na-z0-9ß-öø-ÿœ]+")
 _state: dict[str, tuple] = {}
 
 
+class Kept(dict):
+    """Ids of parts of texts; ``held`` is about how many bytes they take."""
+
+    held = 0
+
+
 def _tokenizer(path: str):
-    """(tokenizer, ids of words, ids of chunks, positions of ids) of this worker."""
+    """(tokenizer, kept ids of words, kept ids of chunks, positions of ids) of this worker."""
     if path not in _state:
         from tokenizers import Tokenizer
 
@@ -47,11 +61,11 @@ def _tokenizer(path: str):
         if n > 65536:
             raise ValueError("ids do not fit in 16 bits")
         positions = np.random.default_rng(7).standard_normal((n, DIMS)).astype(np.float32)
-        _state[path] = (t, {}, {}, positions)
+        _state[path] = (t, Kept(), Kept(), positions)
     return _state[path]
 
 
-def _library(tokenizer, cache: dict[str, bytes], chunks: list[str]) -> None:
+def _library(tokenizer, cache: Kept, chunks: list[str]) -> None:
     """Encode chunks, many to a call; offsets tell which chunk an id belongs to."""
     for at in range(0, len(chunks), 1000):
         some = chunks[at : at + 1000]
@@ -65,14 +79,30 @@ def _library(tokenizer, cache: dict[str, bytes], chunks: list[str]) -> None:
             lo = hi
 
 
-def _ids(tokenizer, cache: dict[str, bytes], texts: list[list[str]]) -> list[bytes]:
-    """Ids of texts that are lists of parts; new parts are encoded and kept."""
-    new = set().union(*texts).difference(cache)
-    if len(cache) + len(new) > CACHE:
-        cache.clear()
-        new = set().union(*texts)
-    _library(tokenizer, cache, list(new))
-    return [b"".join(map(cache.__getitem__, t)) for t in texts]
+def _ids(tokenizer, kept: Kept, texts: list[list[str]]) -> list[bytes]:
+    """Ids of texts that are lists of parts; new parts are encoded, and short ones kept."""
+    out: list[bytes | None] = []
+    late = []
+    for k, parts in enumerate(texts):
+        try:
+            out.append(b"".join(map(kept.__getitem__, parts)))
+        except KeyError:  # a new part
+            out.append(None)
+            late.append(k)
+    if late:
+        new = list(set().union(*(texts[k] for k in late)).difference(kept))
+        _library(tokenizer, kept, new)
+        for k in late:
+            out[k] = b"".join(map(kept.__getitem__, texts[k]))
+        for c in new:
+            if len(c) > CACHED_LENGTH:
+                del kept[c]
+            else:
+                kept.held += ENTRY + 2 * len(c)
+        if kept.held > CACHE_BYTES:
+            kept.clear()
+            kept.held = 0
+    return out
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
@@ -135,57 +165,88 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, key long, salt long, ids binary")
 
 
-def _pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    from pyspark import TaskContext
-
-    sequence = TaskContext.get().partitionId() << 40
-    rows: list[tuple] = []
-    held: list[tuple] = []  # pieces of the open sequence: (doc_id, start, ids, doc_tokens)
-    filled = 0
-
-    def close(size: int) -> None:
-        """Emit the first ``size`` ids that are held as one sequence."""
-        nonlocal sequence, filled
-        offset = 0
-        while offset < size:
-            doc, start, ids, n = held[0]
-            take = min(len(ids), size - offset)
-            rows.append((doc, start, take, zlib.crc32(ids[:take].astype("<u4").tobytes()), n, sequence, offset))
-            if take < len(ids):
-                held[0] = (doc, start + take, ids[take:], n)
-            else:
-                held.pop(0)
-            offset += take
-        sequence += 1
-        filled -= size
-
-    def frame() -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]).astype({"doc_id": "Int64"})
-        rows.clear()
-        return out
-
-    for b in batches:
-        for doc, data in zip(b["doc_id"], b["ids"], strict=True):
-            ids = np.frombuffer(data, "<u2")
-            at = 0
-            while at < len(ids):
-                take = min(LENGTH - filled, len(ids) - at)
-                held.append((None if pd.isna(doc) else int(doc), at, ids[at : at + take], len(ids)))
-                at, filled = at + take, filled + take
-                if filled == LENGTH:
-                    close(LENGTH)
+def partitions(n_ids: int) -> int:
+    """Into how many partitions so many ids go: a million ids each in small tables; partitions grow with the fourth root of
+    the table, so that 10^13 ids make 170,000 partitions of some 60 million (120 MB)."""
+    return max(1, math.ceil((n_ids / 2**20) ** 0.75))
+
+
+PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, part long, rest binary"
+
+
+def _layer(step: int, last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Lay runs of ids (doc_id, start, ids, doc_tokens) end to end; the rest of a partition goes on as runs, in column
+    ``rest``, or, in the last step, as sequences of lengths that are powers of two."""
+
+    def lay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        sequence = (step << 56) + (part << 32)
+        rows: list[tuple] = []
+        held: list[tuple] = []  # pieces of the open sequence: (doc_id, start, ids, doc_tokens)
+        filled = 0
+
+        def close(size: int) -> None:
+            """Emit the first ``size`` ids that are held as one sequence."""
+            nonlocal sequence, filled
+            offset = 0
+            while offset < size:
+                doc, start, ids, n = held[0]
+                take = min(len(ids), size - offset)
+                rows.append((doc, start, take, zlib.crc32(ids[:take].astype("<u4").tobytes()), n, sequence, offset, part, None))
+                if take < len(ids):
+                    held[0] = (doc, start + take, ids[take:], n)
+                else:
+                    held.pop(0)
+                offset += take
+            sequence += 1
+            filled -= size
+
+        def frame() -> pd.DataFrame:
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in PIECE.split(", ")]).astype({"doc_id": "Int64", "sequence_id": "Int64"})
+            rows.clear()
+            return out
+
+        for b in batches:
+            for doc, first, data, n in zip(b["doc_id"], b["start"], b["ids"], b["doc_tokens"], strict=True):
+                ids = np.frombuffer(data, "<u2")
+                at = 0
+                while at < len(ids):
+                    take = min(LENGTH - filled, len(ids) - at)
+                    held.append((None if pd.isna(doc) else int(doc), int(first) + at, ids[at : at + take], int(n)))
+                    at, filled = at + take, filled + take
+                    if filled == LENGTH:
+                        close(LENGTH)
+            if rows:
+                yield frame()
+        if last:
+            for bit in range(LENGTH.bit_length() - 1, -1, -1):
+                if filled & (1 << bit):
+                    close(1 << bit)
+        else:
+            for offset, (doc, start, ids, n) in enumerate(held):
+                rows.append((doc, start, len(ids), 0, n, None, offset, part, ids.tobytes()))
         if rows:
             yield frame()
-    for bit in range(LENGTH.bit_length() - 1, -1, -1):
-        if filled & (1 << bit):
-            close(1 << bit)
-    if rows:
-        yield frame()
+
+    return lay
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ready = materialize(tokenized(docs, tokenizer, id_col, text_col))
-    sorted_ = ready.repartitionByRange(n, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
-    return sorted_.select("doc_id", "ids").mapInPandas(_pieces, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    n = partitions((ready.agg(F.sum(F.octet_length("ids"))).first()[0] or 0) // 2)
+    runs = ready.repartitionByRange(n, "key", "salt").sortWithinPartitions("key", "salt", "doc_id")
+    runs = runs.select("doc_id", F.lit(0).cast("long").alias("start"), "ids", F.expr("octet_length(ids) div 2").alias("doc_tokens"))
+    done, step = [], 0
+    while True:
+        laid = runs.mapInPandas(_layer(step, n == 1), PIECE)
+        if n > 1:
+            laid = materialize(laid)
+        done.append(laid.where("rest is null").drop("part", "rest"))
+        if n == 1:
+            return reduce(DataFrame.unionAll, done)
+        n, step = -(-n // MERGED), step + 1
+        rests = laid.where("rest is not null").repartitionByRange(n, "part").sortWithinPartitions("part", "offset")  # less than LENGTH ids of each partition
+        runs = rests.select("doc_id", "start", F.col("rest").alias("ids"), "doc_tokens")
