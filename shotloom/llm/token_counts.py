@@ -4,12 +4,17 @@ The texts of a batch fall into pre-tokens (a run of spaces and what follows it),
 crosses.  Pre-tokens that the worker has not met yet become one ragged numpy array of symbols.  In each round every
 sequence's lowest-rank adjacent pair (the leftmost among equals) is merged at once, pairs around a merge get new
 ranks, and sequences without a pair that merges leave with their number of symbols.  Characters that are no piece
-count one token per UTF-8 byte.  Counts of pre-tokens are kept up to CACHE entries per worker.
+count one token per UTF-8 byte.
 
-Runs of over LONG symbols without a space would take a round per merge: they are merged one by one from a heap.
+A sequence of over INDEXED symbols takes all its pairs of the lowest rank in one round: overlapping pairs go to the left
+one, and the round ends after the first merge that makes a pair of a still lower rank, as one merge after the other would.
+Its places are indexed by rank, so a round costs what it merges, not what the sequence holds.
 
-Defined results: a null or empty text has no tokens; texts of any length are counted whole; repeated rows are counted
-each; an empty table gives an empty one; other columns are not read.
+Counts of pre-tokens of up to CACHED_LENGTH characters are kept up to about CACHE_BYTES per worker.
+
+Defined results: a null or empty text has no tokens; texts of any length, and runs of any length without a space, are
+counted whole; pairs that tie in rank merge from the left; repeated rows are counted each; an empty table gives an empty
+one; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -26,8 +31,9 @@ from pyspark.sql import functions as F
 from .common import tokenizer_path, utf8
 
 LIMIT = 4096
-CACHE = 800_000
-LONG = 2048
+CACHE_BYTES = 160_000_000
+CACHED_LENGTH, ENTRY = 64, 160  # longest kept pre-token; bytes of a dictionary entry beside the characters
+INDEXED = 512
 NONE = np.int32(2**31 - 1)
 SPACE = "▁"
 
@@ -71,6 +77,7 @@ class Merges:
         for k, i in pairs.values():
             self.into[k] = i
         self.cache: dict[str, int] = {}
+        self.cached = 0  # bytes, about
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = np.where((left < 0) | (right < 0), -1, left * self.size + right)
@@ -88,11 +95,11 @@ class Merges:
         sym, extra = self.symbols(texts)
         seq = np.repeat(np.arange(len(texts)), lens)
         counts = np.bincount(seq, extra, len(texts)).astype(np.int64)
-        long = lens > LONG
+        long = lens > INDEXED
         if long.any():
             ends = np.cumsum(lens)
             for k in np.flatnonzero(long).tolist():
-                counts[k] += self.one_by_one(sym[ends[k] - lens[k] : ends[k]].tolist())
+                counts[k] += self.by_rank(sym[ends[k] - lens[k] : ends[k]])
             sym, seq = sym[~long[seq]], seq[~long[seq]]
         # rank[i]: of the pair (i, i + 1)
         rank = np.full(len(sym), NONE, np.int32)
@@ -123,43 +130,87 @@ class Merges:
                 rank[touched] = np.where((seq[touched] == seq[right]) & (touched != right), self.rank(sym[touched], sym[right]), NONE)
         return counts.tolist()
 
-    def one_by_one(self, sym: list[int]) -> int:
+    def by_rank(self, sym: np.ndarray) -> int:
+        """Tokens of one sequence; each round merges the pairs of its lowest rank, found by an index from ranks to places."""
         n = len(sym)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        a = np.array(sym, np.int64)
-        first = self.rank(a[:-1], a[1:]) if n > 1 else np.empty(0, np.int32)
-        heap = [(int(r), i, sym[i], sym[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        while heap:
-            r, i, x, y = heapq.heappop(heap)
-            j = after[i]
-            if sym[i] != x or j < 0 or sym[j] != y:
-                continue
-            sym[i], sym[j] = int(self.into[r]), -2
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for p in (before[i], i):
-                q = after[p] if p >= 0 else -1
-                if q >= 0 and sym[p] >= 0 and sym[q] >= 0:
-                    r = int(self.rank(np.array([sym[p]]), np.array([sym[q]]))[0])
-                    if r != NONE:
-                        heapq.heappush(heap, (r, p, sym[p], sym[q]))
-        return int(sum(self.weight[s] for s in sym if s >= 0))
+        sym = np.append(sym, -1)  # the end, which merges with nothing
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        places: dict[int, list[np.ndarray]] = {}
+        chunk: dict[int, int] = {}  # how many places of a rank are tried in a round, after one that ended early
+        ranks: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            rank = self.rank(sym[at], sym[after[at]])
+            at, rank = at[rank != NONE], rank[rank != NONE]
+            if not len(at):
+                return
+            order = np.argsort(rank, kind="stable")
+            at, rank = at[order], rank[order]
+            edge = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+            for r, part in zip(rank[edge].tolist(), np.split(at, edge[1:]), strict=True):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].append(part)
+
+        note(np.arange(n))
+        while ranks:
+            r = heapq.heappop(ranks)
+            parts = places.pop(r)
+            every = parts[0] if len(parts) == 1 else np.unique(np.concatenate(parts))
+            most = chunk.pop(r, n)
+            every, rest = every[:most], every[most:]
+            every = every[sym[every] >= 0]
+            at = every[self.rank(sym[every], sym[after[every]]) == r]
+            right = after[at]
+            follows = np.r_[False, right[:-1] == at[1:]]  # shares a symbol with the pair before it
+            run = np.arange(len(at)) - np.maximum.accumulate(np.where(follows, 0, np.arange(len(at)))) if len(at) else at
+            at, right = at[run % 2 == 0], right[run % 2 == 0]
+            if len(at):
+                new = self.into[r]
+                beyond = after[right]
+                left = np.where(np.r_[False, beyond[:-1] == at[1:]], new, np.where(before[at] >= 0, sym[before[at]], -1))
+                whole = np.full(len(at), new)
+                lower = np.minimum(self.rank(left, whole), self.rank(whole, sym[beyond])) < r
+                if lower.any():
+                    end = int(lower.argmax()) + 1
+                    rest = np.concatenate([every[every > at[end - 1]], rest])
+                    at, right, beyond = at[:end], right[:end], beyond[:end]
+                    chunk[r] = 64
+                elif len(rest):
+                    chunk[r] = 2 * most
+                sym[at], sym[right] = new, -2
+                after[at] = beyond
+                before[beyond] = at
+                note(np.unique(np.concatenate([at, before[at][before[at] >= 0]])))
+            elif len(rest):
+                chunk[r] = 2 * most
+            if len(rest):
+                if r not in places:
+                    places[r] = []
+                    heapq.heappush(ranks, r)
+                places[r].insert(0, rest)
+        left = sym[:n]
+        return int(self.weight[left[left >= 0]].sum())
 
     def count_texts(self, texts: list[str | None]) -> list[int]:
         out = []
         for at in range(0, len(texts), 256):
             split = [pre_tokens(t) for t in texts[at : at + 256]]
-            new = set().union(*split).difference(self.cache)
-            if new:
-                if len(self.cache) + len(new) > CACHE:
-                    self.cache.clear()
-                    new = set().union(*split)
-                some = list(new)
-                for k in range(0, len(some), 200_000):
-                    self.cache.update(zip(some[k : k + 200_000], self.count([c if c.startswith(SPACE) else SPACE + c for c in some[k : k + 200_000]]), strict=True))
+            new = list(set().union(*split).difference(self.cache))
+            counted: dict[str, int] = {}
+            for k in range(0, len(new), 200_000):
+                counted.update(zip(new[k : k + 200_000], self.count([c if c.startswith(SPACE) else SPACE + c for c in new[k : k + 200_000]]), strict=True))
+            self.cache.update(counted)
             out += [sum(map(self.cache.__getitem__, s)) for s in split]
+            for c in counted:
+                if len(c) > CACHED_LENGTH:
+                    del self.cache[c]
+                else:
+                    self.cached += ENTRY + 2 * len(c)
+            if self.cached > CACHE_BYTES:
+                self.cache.clear()
+                self.cached = 0
         return out
 
 

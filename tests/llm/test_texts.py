@@ -48,19 +48,34 @@ def test_token_counts_of_table(spark):
     assert got == dict(zip(texts, map(len, sp.encode(list(texts.values()))), strict=True))
 
 
-def test_merges_by_heap_and_by_round_agree():
+def test_rounds_and_indexed_rounds_agree(monkeypatch):
     merges = token_counts.Merges(tokenizer_path("piece_bpe_32k.model"))
-    texts = ["▁" + "".join(R.choice("abcdeinrst") for _ in range(R.randint(1, 300))) for _ in range(100)]
-    assert merges.count(texts) == [merges.one_by_one(merges.symbols([t])[0].tolist()) for t in texts]
+    alphabets = ["abcdeinrst", "ab", "the", "-=", "日本語a", "sssi"]
+    texts = ["▁" + "".join(R.choice(alphabets[k % 6]) for _ in range(R.randint(1, 400))) for k in range(120)]
+    monkeypatch.setattr(token_counts, "INDEXED", 10**9)
+    want = merges.count(texts)
+    monkeypatch.setattr(token_counts, "INDEXED", 0)
+    assert merges.count(texts) == want
+
+
+@pytest.mark.parametrize("unit", ["base64", "a", "ab", "-=", "日本", "thethere"])
+def test_runs_of_a_million_characters(unit):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    text = "".join(R.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000)) if unit == "base64" else unit * (1_000_000 // len(unit))
+    merges = token_counts.Merges(tokenizer_path("piece_bpe_32k.model"))
+    assert merges.count_texts([text, "a b"]) == [len(x) for x in sp.encode([text, "a b"])]
+    assert all(len(c) <= token_counts.CACHED_LENGTH for c in merges.cache)
 
 
 def test_cache_overflow(monkeypatch):
     merges = token_counts.Merges(tokenizer_path("piece_bpe_32k.model"))
     texts = [f"w{i} common word{i % 7}" for i in range(1000)]
     want = merges.count_texts(texts)
-    monkeypatch.setattr(token_counts, "CACHE", 50)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 50)
     merges.cache.clear()
-    assert merges.count_texts(texts) == want
+    assert merges.count_texts(texts) == want and not merges.cache
 
 
 def check_pieces(texts, pieces):
@@ -97,6 +112,29 @@ def test_packing(spark):
     assert packing.pack(documents(spark, ODD).limit(0)).collect() == []
 
 
+def test_rests_are_merged(spark, monkeypatch):
+    """Many partitions, few short sequences: only the last rest of all is cut at powers of two."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    monkeypatch.setattr(packing, "partitions", lambda n: 70)
+    monkeypatch.setattr(packing, "MERGED", 4)
+    pieces = packing.pack(docs).collect()
+    check_pieces({r.doc_id: r.text for r in docs.collect()}, pieces)
+    size = defaultdict(int)
+    for p in pieces:
+        size[p.sequence_id] += p.length
+    assert sum(n < 4096 for n in size.values()) <= 12
+
+
+def test_packing_cache_overflow(monkeypatch):
+    path = tokenizer_path("word_bpe_49k.json")
+    texts = [f"w{i} common word{i % 7} é\n x" + "y" * 100 for i in range(600)]
+    packing._state.clear()
+    want = packing.encode_texts(texts, path)
+    monkeypatch.setattr(packing, "CACHE_BYTES", 50)
+    packing._state.clear()
+    assert packing.encode_texts(texts, path) == want and not packing._state[path][1]
+
+
 def test_packing_of_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check_pieces({r.doc_id: r.text for r in docs.collect()}, packing.pack(docs).collect())
