@@ -5,11 +5,15 @@ tokens, the mean of those of its hashed words, and a few plain measures.  A bidi
 sequence, so that each block is labelled in the context of its document, and the blocks labelled as content are joined.
 
 The labeller is trained here, on a bounded sample of the given pages.  Labels come from telling element names (weak
-supervision); sampled pages are also re-dressed: their containers get other names of the same kind, and boilerplate
-groups with text of other pages are put around and into the article, so that names and context decide, not one layout.
+supervision); sampled pages are also re-dressed: their containers get other names of the same kind, names that say nothing
+or none at all, and boilerplate groups are put around and into the article, worded as menus, notices, adverts and comments
+are.  So names, wording and context decide, not one layout.  Pages are read, re-dressed and turned into numbers inside
+tasks; only numbers of at most WINDOWS windows of MOST_TRAINED blocks reach the driver.  A labeller can be saved and used
+again (save, load).
 
 Defined results: a null or empty page, or one without content, gives empty text; pages of any length are read whole;
-repeated rows are extracted each; an empty table gives an empty one; other columns are not read.
+repeated rows are extracted each, and pages that share an id, or have none, are sampled by their place; a block that ties at
+one half is content; an empty table gives an empty one; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,11 +26,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ROW, located, with_row_key
 from .html_blocks import Block, Element, read_blocks
 
-SAMPLE = 400  # pages that the labeller is trained on, at most
-PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 4096, 1024, 16, 8, 8, 16
-EPOCHS, BATCH, RATE = 7, 32, 0.01
+SAMPLE = 400  # pages that the labeller is trained on, about
+WINDOWS = 2400  # windows of blocks, of these pages as they are and re-dressed, that it is trained on, at most
+PATHS, WORDS, PATH_DIM, WORD_DIM, MEASURES, HIDDEN = 4096, 16384, 16, 8, 8, 16
+EPOCHS, BATCH, RATE = 8, 32, 0.01
 MOST_TRAINED = 120  # blocks of a training window; windows reach the end of a page, labelling reads it in one
 
 UPPER = bytes(range(65, 91))
@@ -35,16 +41,36 @@ UPPER = bytes(range(65, 91))
 BOILERPLATE_TAGS = "nav header footer aside form menu dialog search fieldset".split()
 BOILERPLATE_NAMES = "ad ads advert advertisement advertising banner sponsor sponsored promo promotion sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs topbar masthead header footer foot copyright legal cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login register search form related recommended recommendations trending popular share sharing social comment comments respond replies disqus discussion widget pagination pager toolbar hidden disclaimer tags skip toc".split()
 LEAVES = [[Element(t) for t in x.split()] for x in ("p", "p", "ul li", "ol li", "h1", "h2", "h3", "blockquote p", "blockquote", "div", "table tr td", "table tbody tr td", "figure figcaption", "pre", "dl dd", "section p", "div p")]
+#: Wording of boilerplate.
+WORDING = [
+    "Home", "About us", "About", "Contact", "Contact us", "Contact us | Privacy", "Imprint", "Privacy policy", "Privacy", "Terms of service", "Terms of use", "Terms and conditions", "Sitemap", "Help", "FAQ", "Careers", "Jobs", "Press", "Blog", "News", "Shop",
+    "Products", "Services", "Categories", "Archive", "Archives", "Tags", "Menu", "Search", "Search this site", "Login", "Log in", "Sign in", "Sign up", "Register", "My account", "Cart", "Checkout", "Skip to content", "Back to top", "Top", "Next", "Previous",
+    "Next page", "Previous page", "Older posts", "Newer posts", "Page 1 of 12", "1 2 3 4 5", "Read more", "Continue reading", "Learn more", "Show more", "Load more", "See all", "Related articles", "Related posts", "You may also like", "More from this author",
+    "Most read", "Most popular", "Popular posts", "Recent posts", "Recent comments", "Trending now", "Recommended for you", "Share", "Share this", "Share this post", "Share this article", "Share on Facebook", "Share on Twitter", "Tweet", "Pin it", "Follow us",
+    "Follow us on social media", "Like us on Facebook", "Email this", "Print this page", "Subscribe", "Subscribe now", "Subscribe to our newsletter", "Sign up for our newsletter", "Enter your email address", "Get the latest news in your inbox", "Unsubscribe at any time",
+    "Advertisement", "Sponsored", "Sponsored content", "Sponsored links", "Promoted", "Ads by our partners", "Buy now", "Shop now", "Order today", "Limited offer: save 20% today", "Free shipping on all orders", "Click here", "Download our app", "Try it for free",
+    "We use cookies", "We use cookies to improve your experience", "This site uses cookies", "This website uses cookies to ensure you get the best experience", "By continuing to use this site you agree to our use of cookies", "Accept", "Accept all", "Accept cookies",
+    "Reject all", "Cookie settings", "Manage preferences", "Got it", "Close", "Please enable JavaScript", "Your browser is out of date", "Please upgrade your browser", "© 2024 Example Inc. All rights reserved.", "Copyright 2023", "All rights reserved", "Powered by WordPress",
+    "Theme by example", "Made with love", "Comments", "3 comments", "Leave a comment", "Leave a reply", "Post a comment", "Add a comment", "Reply", "Report", "Like", "Great article, thanks for sharing!", "Thanks for this post, I really liked it", "I disagree with the author",
+    "First comment!", "Anonymous says:", "2 hours ago", "said on Monday at 10:15", "Filed under: news", "Posted in", "Tagged with", "Written by", "About the author", "Startseite", "Impressum", "Datenschutz", "Über uns", "Kontakt", "Anmelden", "Weiterlesen", "Wir verwenden Cookies",
+    "Alle Rechte vorbehalten", "Accueil", "Mentions légales", "Nous contacter", "Lire la suite", "Nous utilisons des cookies", "Tous droits réservés", "Inicio", "Contacto", "Leer más", "Utilizamos cookies", "Todos los derechos reservados",
+]
 CONTENT_TAGS = "article main".split()
 CONTENT_NAMES = "article content main post entry story body text page document blog news single".split()
 
 
-def _tokens(block: Block) -> list[str]:
+def _hashed(token: str) -> int:
+    return zlib.crc32(token.encode("utf-8", "replace")) % PATHS
+
+
+def _path_ids(block: Block) -> list[int]:
+    """Hashed tag-path tokens: tags and names of all elements, and the tag of the last."""
     out = []
     for e in block.path:
-        out.append(f"<{e.tag}")
-        out += [f".{w}" for w in e.names]
-    out.append(f"={block.path[-1].tag}" if block.path else "=")
+        if e.ids is None:
+            e.ids = [_hashed(f"<{e.tag}"), *(_hashed(f".{w}") for w in e.names)]
+        out += e.ids
+    out.append(_hashed(f"={block.path[-1].tag}" if block.path else "="))
     return out
 
 
@@ -59,9 +85,8 @@ class Sequence:
     """A page's blocks as numbers."""
 
     def __init__(self, blocks: list[Block]):
-        hashed = lambda t: zlib.crc32(t.encode("utf-8", "replace")) % PATHS
-        self.paths = [np.array([hashed(t) for t in _tokens(b)], np.int64) for b in blocks]
-        self.words = [np.array([zlib.crc32(w) % WORDS for w in b.text.encode("utf-8", "replace").lower().split()] or [0], np.int64) for b in blocks]
+        self.paths = [np.array(_path_ids(b), np.int32) for b in blocks]
+        self.words = [np.array([zlib.crc32(w) % WORDS for w in b.text.encode("utf-8", "replace").lower().split()] or [0], np.int32) for b in blocks]
         self.measures = np.array([_measures(b, k, len(blocks)) for k, b in enumerate(blocks)], np.float32).reshape(-1, MEASURES)
 
     def __len__(self) -> int:
@@ -76,6 +101,18 @@ class Sequence:
             out.append((w, part))
         return out
 
+    def row(self) -> dict[str, np.ndarray]:
+        """Flat arrays of numbers, from which from_row makes the sequence again."""
+        n = lambda ids: np.array([len(x) for x in ids], np.int32)
+        return {"paths": np.concatenate(self.paths), "path_n": n(self.paths), "words": np.concatenate(self.words), "word_n": n(self.words), "measures": self.measures.ravel()}
+
+    @staticmethod
+    def from_row(paths: np.ndarray, path_n: np.ndarray, words: np.ndarray, word_n: np.ndarray, measures: np.ndarray) -> "Sequence":
+        s = Sequence([])
+        s.paths, s.words = np.split(np.asarray(paths, np.int32), np.cumsum(path_n)[:-1]), np.split(np.asarray(words, np.int32), np.cumsum(word_n)[:-1])
+        s.measures = np.asarray(measures, np.float32).reshape(-1, MEASURES)
+        return s
+
 
 def _sums(table: np.ndarray, ids: list[np.ndarray], mean: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sum (halved) or mean of the learned vectors of each block's ids; the ids and weights that it is made of."""
@@ -94,11 +131,21 @@ class Labeller:
         r = np.random.default_rng(seed)
         d = PATH_DIM + WORD_DIM + MEASURES
         f = lambda *s, scale: (r.standard_normal(s) * scale).astype(np.float32)
-        self.p = {"path": f(PATHS, PATH_DIM, scale=0.3), "word": f(WORDS, WORD_DIM, scale=0.1), "out": f(2 * HIDDEN + d, 1, scale=0.1), "bias": np.zeros(1, np.float32)}
+        self.p = {"path": f(PATHS, PATH_DIM, scale=0.3), "word": f(WORDS, WORD_DIM, scale=0.05), "out": f(2 * HIDDEN + d, 1, scale=0.1), "bias": np.zeros(1, np.float32)}
         for side in "fb":
             self.p[f"w{side}"] = f(d + HIDDEN, 4 * HIDDEN, scale=0.2)
             self.p[f"b{side}"] = np.repeat(np.array([0, 1, 0, 0], np.float32), HIDDEN)
 
+    def save(self, path: str) -> None:
+        np.savez(path, **self.p)
+
+    @staticmethod
+    def load(path: str) -> "Labeller":
+        out = Labeller()
+        with np.load(path) as data:
+            out.p = dict(data)
+        return out
+
     def _inputs(self, some: list[Sequence]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         lens = np.array([len(s) for s in some])
         paths, words = _sums(self.p["path"], [x for s in some for x in s.paths], False), _sums(self.p["word"], [x for s in some for x in s.words], True)
@@ -183,8 +230,10 @@ class Labeller:
         m, v, k = {n: 0.0 for n in self.p}, {n: 0.0 for n in self.p}, 0
         for epoch in range(epochs):
             order = r.permutation(len(pages))
-            for at in range(0, len(order), BATCH):
-                part = [pages[i] for i in order[at : at + BATCH]]
+            order = np.concatenate([sorted(x, key=lambda i: len(pages[i][0])) for x in np.array_split(order, max(1, len(order) // (8 * BATCH)))]).astype(int) if len(order) else order
+            batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]  # of like lengths, so few steps are padding
+            for k_batch in r.permutation(len(batches)):
+                part = [pages[i] for i in batches[k_batch]]
                 g = self._gradients([s for s, _ in part], [y for _, y in part])
                 k += 1
                 rate = RATE * (1 - 0.8 * epoch / epochs)
@@ -221,53 +270,104 @@ def _dress(r: np.random.Generator, tags: list[str], names: list[str], named: flo
     return Element(str(r.choice(["div", "section", "div", "ul" if names is BOILERPLATE_NAMES else "div"])), [first] if r.random() < 0.5 else [first, str(r.choice(names))])
 
 
-def training_pages(pages: list[str], seed: int = 11) -> list[tuple[Sequence, np.ndarray]]:
-    """Labelled sequences: each page as it is, and re-dressed, from its first block to its last."""
-    r = np.random.default_rng(seed)
-    read = [b for b in map(read_blocks, pages) if b]
-    labelled = [(b, y) for b in read if (y := weak_labels(b)) is not None] or [(b, plain_labels(b)) for b in read]
-    texts = [b.text for blocks, _ in labelled for b in blocks]
-    short = [t for t in texts if len(t) < 80] or texts
-    out = []
+def _mute(r: np.random.Generator) -> list[Element]:
+    """Containers that say nothing: bare elements, table cells, or made-up names."""
+    kind = r.random()
+    if kind < 0.4:
+        return [Element(str(r.choice(["div", "div", "span", "section", "td", "center"])))]
+    if kind < 0.6:
+        return [Element(t) for t in (("table", "tbody", "tr", "td") if r.random() < 0.5 else ("table", "tr", "td"))]
+    return [Element("div", ["".join(chr(97 + int(c)) for c in r.integers(0, 26, int(r.integers(1, 7)))) for _ in range(int(r.integers(1, 3)))])]
 
-    def group(base: list[Element], plain: bool = False) -> list[Block]:
-        if plain:  # no telling name: only short linked texts tell
-            return [Block([*base, Element("div")], short[r.integers(len(short))], 1.0) for _ in range(r.integers(1, 4))]
+
+def redressed(blocks: list[Block], y: np.ndarray, r: np.random.Generator) -> tuple[list[Block], np.ndarray]:
+    """A page in another layout: its content in other containers, with groups of boilerplate around and inside."""
+    texts = [b.text for b in blocks]
+    short = [t for t in texts if len(t) < 80] or texts
+    mute = r.random() < 0.35  # no telling names: wording, links and places must do
+    pick = lambda some: some[int(r.integers(len(some)))]
+
+    def worded() -> str:
+        t = pick(WORDING)
+        if r.random() < 0.3:
+            t = f"{t} {pick([' | ', '· ', '- ', ''])}{pick(WORDING)}"
+        return f"{t} {' '.join(pick(texts).split()[: int(r.integers(1, 12))])}" if r.random() < 0.25 else t
+
+    def group(base: list[Element], inside: bool) -> list[Block]:
+        if mute:  # no telling name
+            path = [*base, *_mute(r)]
+            return [Block([*path, *(LEAVES[r.integers(len(LEAVES))] if r.random() < 0.5 else [])], t, float(link)) for t, link in ((worded(), r.random() < (0.3 if inside else 0.6)) if inside or r.random() < 0.85 else (pick(short), True) for _ in range(r.integers(1, 6)))]
         shell = [Element("div", [str(r.choice(["wrapper", "row", "inner", "box", "container"]))])] * int(r.random() < 0.3)
-        path = [*base, *shell, _dress(r, BOILERPLATE_TAGS, BOILERPLATE_NAMES, 0.7)]
+        path = [*base, *shell, _dress(r, BOILERPLATE_TAGS, BOILERPLATE_NAMES, 0.55)]
+        if r.random() < 0.25:  # named after what it stands in, too
+            path.append(Element("div", [pick(CONTENT_NAMES), pick(BOILERPLATE_NAMES)]))
         leaf = LEAVES[r.integers(len(LEAVES))] if r.random() < 0.8 else []
-        pool, link = (short, float(r.random() < 0.6)) if r.random() < 0.6 else (texts, 0.0)
-        return [Block([*path, *leaf], pool[r.integers(len(pool))], link) for _ in range(r.integers(1, 7))]
-
-    for blocks, y in labelled:
-        out.append((blocks, y))
-        for _ in range(3):
-            body = [e for e in blocks[0].path if e.tag in ("html", "body")]
-            if r.random() < 0.3:
-                body = [*body, Element("div", [str(r.choice(["page", "site", "wrapper", "container", "layout"]))])]
-            plain = r.random() < 0.2
-            inside = [*body, Element("div") if plain else _dress(r, CONTENT_TAGS, CONTENT_NAMES, 0.5)]
-            if r.random() < 0.3 and not plain:
-                inside.append(_dress(r, CONTENT_TAGS, CONTENT_NAMES, 0.7))
-            own = []
-            for b, good in zip(blocks, y, strict=True):
-                if good:  # now and then as a list, a quotation, a table or plain text
-                    leaf = b.path[-1:] if r.random() < 0.6 else LEAVES[r.integers(len(LEAVES))]
-                    own.append(Block([*inside, *leaf], b.text, float(r.random()) if r.random() < 0.1 else b.link))
-            seq = [(b, 0.0) for _ in range(r.integers(0, 3)) for b in group(body, plain)] + [(b, 1.0) for b in own] + [(b, 0.0) for _ in range(r.integers(0, 4)) for b in group(body, plain)]
-            for _ in range(0 if plain else r.integers(0, 3)):  # inside the article
-                at = int(r.integers(0, len(seq) + 1))
-                seq[at:at] = [(b, 0.0) for b in group(inside)]
-            out.append(([b for b, _ in seq], np.array([t for _, t in seq], np.float32)))
-    return [(w, y[part]) for b, y in out if b for w, part in Sequence(b).windows(MOST_TRAINED)]
-
-
-def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE) -> Labeller:
-    rows = pages.select(F.col(html_col).alias("html"), F.col(id_col).alias("id")).where("html is not null")
-    share = 2.0 * sample / max(1, rows.count())
-    place = F.pmod(F.xxhash64(F.lit("pages"), "id"), F.lit(1_000_000)) / 1_000_000
-    some = rows.where(place < share).orderBy(place, "id", F.xxhash64("html")).limit(sample)  # few rows reach the sort, whatever the table's size
-    return Labeller().train(training_pages([row.html for row in some.collect()]))  # ``sample`` pages at most
+        kind = r.random()
+        make = worded if kind < 0.45 else (lambda: pick(short)) if kind < 0.6 else (lambda: pick(pick(texts).split() or ["-"])) if kind < 0.75 else (lambda: pick(texts))
+        link = float(r.random() < 0.6) if kind < 0.75 else 0.0
+        return [Block([*path, *leaf], make(), link) for _ in range(r.integers(1, 7))]
+
+    body = [e for e in blocks[0].path if e.tag in ("html", "body")]
+    if r.random() < 0.3:
+        body = [*body, Element("div", [str(r.choice(["page", "site", "wrapper", "container", "layout"]))])]
+    inside = [*body, *_mute(r)] if mute else [*body, _dress(r, CONTENT_TAGS, CONTENT_NAMES, 0.5)]
+    if r.random() < 0.3 and not mute:
+        inside.append(_dress(r, CONTENT_TAGS, CONTENT_NAMES, 0.7))
+    own = []
+    for b, good in zip(blocks, y, strict=True):
+        if good:  # now and then as a list, a quotation, a table or plain text
+            leaf = b.path[-1:] if r.random() < 0.6 else LEAVES[r.integers(len(LEAVES))]
+            own.append(Block([*inside, *leaf], b.text, float(r.random()) if r.random() < 0.1 else b.link))
+    seq = [(b, 0.0) for _ in range(r.integers(0, 3)) for b in group(body, False)] + [(b, 1.0) for b in own] + [(b, 0.0) for _ in range(r.integers(0, 4)) for b in group(body, False)]
+    for _ in range(r.integers(0, 3)):  # inside the article
+        at = int(r.integers(0, len(seq) + 1))
+        seq[at:at] = [(b, 0.0) for b in group(inside, True)]
+    return [b for b, _ in seq], np.array([t for _, t in seq], np.float32)
+
+
+def training_windows(page: str | None, seed: int = 11) -> list[tuple[Sequence, np.ndarray, bool]]:
+    """Labelled windows of a page as it is and re-dressed, and whether its labels come from telling names."""
+    blocks = read_blocks(page)
+    if not blocks:
+        return []
+    y = weak_labels(blocks)
+    named = y is not None
+    if y is None:
+        y = plain_labels(blocks)
+    r = np.random.default_rng([seed, zlib.crc32((page or "").encode("utf-8", "replace"))])
+    out = [(blocks, y), (blocks, y), *(redressed(blocks, y, r) for _ in range(3))]  # twice as it is: this layout is known to occur
+    return [(w, t[part], named) for b, t in out if b for w, part in Sequence(b).windows(MOST_TRAINED)]
+
+
+def training_pages(pages: list[str]) -> list[tuple[Sequence, np.ndarray]]:
+    """Labelled windows; pages without telling names count only if no page has any."""
+    every = [x for page in pages for x in training_windows(page)]
+    some = any(named for _, _, named in every)
+    return [(s, y) for s, y, named in every if named or not some]
+
+
+def fit(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", sample: int = SAMPLE, windows: int = WINDOWS) -> Labeller:
+    """A labeller trained on about ``sample`` pages, chosen by a hash of id, page and place."""
+    rows = with_row_key(located(pages), html=F.col(html_col), id=F.col(id_col)).where("html is not null and html <> ''")
+    share = sample / max(1, rows.count())
+    place = F.pmod(F.xxhash64(F.lit("pages"), "id", "html", *ROW), F.lit(1_000_000)) / 1_000_000
+    some = rows.where(place < share).select("html", place.alias("place"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for page, at in zip(b["html"], b["place"], strict=True):
+                got = [{"place": at, "part": k, "named": named, "y": y, **w.row()} for k, (w, y, named) in enumerate(training_windows(page))]
+                if got:
+                    yield pd.DataFrame(got)
+
+    schema = "place double, part int, named boolean, y array<float>, paths array<int>, path_n array<int>, words array<int>, word_n array<int>, measures array<float>"
+    made = some.mapInPandas(run, schema)
+    mixed = F.xxhash64(F.lit("windows"), "place", "part")  # whole pages where they fit, a fair draw where they do not
+    got = made.orderBy(F.desc("named"), mixed, "place", "part").limit(windows).toPandas()  # ``windows`` rows of numbers at most
+    if got["named"].any():
+        got = got[got["named"].to_numpy(bool)]
+    names = ["paths", "path_n", "words", "word_n", "measures"]
+    return Labeller().train([(Sequence.from_row(*(r[c] for c in names)), np.asarray(r["y"], np.float32)) for r in got.to_dict("records")])
 
 
 def extract(pages: DataFrame, labeller: Labeller | None = None, html_col: str = "html", id_col: str = "page_id", url_col: str = "url", sample: int = SAMPLE) -> DataFrame:
