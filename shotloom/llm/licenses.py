@@ -1,17 +1,17 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
 The index lists, for each telling word of the license templates, the templates and the places where it stands.  A
-document's license words are found with their places, and all of them are looked up in the index, for the templates
-whose mandatory key phrases stand in the document; postings that agree on the relative position (place in the document
-less place in the template) support one alignment of one template; and a template is reported if an alignment has
-enough support, in hits and in inverse document frequency (counted over all documents).  Three plain phrases are counted
-beside that.
+document's license words are found with their places, and all of them are looked up in the index; postings that agree on
+the relative position (place in the document less place in the template) support one alignment of one template.  Only of
+templates with an aligned place are the mandatory key phrases then looked for, and a template is reported if an alignment
+has enough support, in hits and in inverse document frequency (counted over all documents).  Three plain phrases are
+counted beside that.
 
 One pass reads the texts; what follows works on license words only.
 
 Defined results: a null or empty text has no words, empty label lists, null first and last places and score 0; texts of
-any length are scanned whole; repeated rows are scanned each; an empty table gives an empty one; other columns are not
-read.
+any length are scanned whole; repeated rows are scanned each; templates and alignments that tie are all reported, in order
+of their names; an empty table gives an empty one; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -94,9 +94,17 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"))
     found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     one = words.select("doc_id", "words", found.alias("lic"))
+    # postings as label:shift, sorted: a shift that LEAST_HITS postings agree on stands so many times in a row
+    posted = F.create_map(*(x for w, all_ in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(label).alias("label"), F.lit(at).alias("at")) for label, at in all_)))))
+    shifts = F.transform("lic", lambda x: F.transform(F.coalesce(F.try_element_at(posted, x["w"]), F.array().cast("array<struct<label:string,at:int>>")), lambda p: F.concat(p["label"], F.lit(":"), x["i"] - p["at"])))
+    one = one.withColumn("shifts", F.when(F.size("lic") >= LEAST_HITS, F.sort_array(F.flatten(shifts))))
+    rows = F.sequence(F.lit(0), F.size("shifts") - LEAST_HITS)
+    agreed = F.filter(rows, lambda j: F.get("shifts", j) == F.get("shifts", j + (LEAST_HITS - 1)))
+    labels = F.array_distinct(F.transform(agreed, lambda j: F.substring_index(F.get("shifts", j), ":", 1)))
+    one = one.withColumn("aligned", F.when(F.size("shifts") >= LEAST_HITS, labels).otherwise(F.array().cast("array<string>")))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    proven = [F.when(F.forall(F.array(*(F.lit(f" {p} ") for p in phrases)), lambda p: F.contains(joined, p)), F.lit(label)) for label, (_, phrases) in TEMPLATES.items()]
-    proven = F.when(F.size("lic") >= LEAST_HITS, F.array_compact(F.array(*proven))).otherwise(F.array().cast("array<string>"))
+    mandatory = F.create_map(*(x for label, (_, phrases) in TEMPLATES.items() for x in (F.lit(label), F.array(*(F.lit(f" {p} ") for p in phrases)))))
+    proven = F.when(F.size("aligned") > 0, F.filter("aligned", lambda t: F.forall(F.element_at(mandatory, t), lambda p: F.contains(joined, p)))).otherwise(F.col("aligned"))
     slim = materialize(one.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "lic", proven.alias("proven")))
 
     # document frequency of the index words, a few hundred numbers
@@ -119,5 +127,28 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     all_labels = F.concat(base_labels, F.coalesce("named", F.array().cast("array<string>")))
     return base.join(named, "row", "left").select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
-        _listed(base_labels).alias("base_labels"), _listed(all_labels).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.coalesce("score", F.lit(0.0))).alias("score"),
+        _listed(base_labels).alias("base_labels"), _listed(all_labels).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(F.round(F.coalesce("score", F.lit(0.0)), 6)).alias("score"),
     )
+
+
+def oracle_sql() -> str:
+    """The same rows in SQL."""
+    postings = ", ".join(f"('{w}', '{label}', {at})" for w, all_ in sorted(_postings().items()) for label, at in all_)
+    mandatory = ", ".join(f"('{label}', ' {p} ')" for label, (_, phrases) in TEMPLATES.items() for p in phrases)
+    follows = lambda p: " AND ".join(f"lead(w, {k}) OVER o = '{x}'" if k else f"w = '{x}'" for k, x in enumerate(p.split()))
+    plain = " ".join(f"WHEN {follows(p)} THEN '{label}'" for p, label in PHRASES.items())
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+ said AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS i FROM docs WHERE len(words) > 0),
+ postings AS (SELECT * FROM (VALUES {postings}) v(w, label, place)), mandatory AS (SELECT * FROM (VALUES {mandatory}) v(label, phrase)),
+ seen AS (SELECT w, count(DISTINCT r) AS n FROM said SEMI JOIN postings USING (w) GROUP BY 1),
+ weights AS (SELECT w, ln(((SELECT count(*) FROM docs) + 2.0) / (coalesce(n, 0) + 1)) + 1e-6 AS idf FROM (SELECT DISTINCT w FROM postings) LEFT JOIN seen USING (w)),
+ met AS (SELECT r, label, w, i, place, idf FROM said JOIN postings USING (w) JOIN weights USING (w)),
+ aligned AS (SELECT r, label, sum(idf) AS got FROM met GROUP BY r, label, i - place HAVING count(*) >= {LEAST_HITS}),
+ proven AS (SELECT r, label, max(got) AS got FROM aligned JOIN docs USING (r) JOIN mandatory USING (label) GROUP BY r, label HAVING bool_and(contains(' ' || array_to_string(words, ' ') || ' ', phrase))),
+ could AS (SELECT r, label, sum(idf) AS could FROM (SELECT DISTINCT r, label, w, place, idf FROM met) GROUP BY ALL),
+ named AS (SELECT r, list(label) AS labels, max(least(1.0, got / could)) AS score FROM proven JOIN could USING (r, label) WHERE least(1.0, got / could) >= {LEAST_SCORE} GROUP BY 1),
+ places AS (SELECT * FROM (SELECT r, i, CASE {plain} END AS label FROM said WINDOW o AS (PARTITION BY r ORDER BY i)) WHERE label IS NOT NULL),
+ base AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(label) AS labels FROM places GROUP BY 1)
+ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(list_sort(list_distinct(base.labels)), ','), '') AS base_labels,
+ coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(named.labels, [])))), ','), '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE round(coalesce(named.score, 0), 6) END::DOUBLE AS score
+ FROM docs LEFT JOIN base USING (r) LEFT JOIN named USING (r)"""

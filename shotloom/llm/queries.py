@@ -63,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": """WITH n AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
  SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256 FROM n WINDOW w AS (PARTITION BY norm)""",
+        "op5_license_scan": licenses.oracle_sql(),
     }

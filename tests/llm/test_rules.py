@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from oracle import compare
 
 from shotloom.llm import licenses, quality
 
@@ -175,3 +176,9 @@ def test_templates_against_plain_version(spark):
         assert row.labels == ",".join(sorted(base | set(want[row.doc_id])))
         assert row.score == pytest.approx(1.0 if base else max(want[row.doc_id].values(), default=0.0))
     assert sum(map(bool, want)) > 12
+
+
+def test_templates_against_sql(spark, tmp_path):
+    texts = [*TEXTS, *(f"before {t.upper()} after" for t, _ in licenses.TEMPLATES.values()), " ".join(t for t, _ in licenses.TEMPLATES.values()), "KMIT License mit license é mit License"]
+    documents(spark, texts).drop("words", "score").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    assert compare(licenses.scan(spark.read.parquet(str(tmp_path / "documents.parquet"))), licenses.oracle_sql(), str(tmp_path)) == len(texts)
