@@ -3,12 +3,13 @@
 Letters are lower-cased, everything else becomes a gap, and the 1- to 3-grams of a whole text are hashed to BUCKETS
 features.  Document frequencies are counted over all documents that may be learned from.  The weights are trained with
 follow-the-regularised-leader and elastic-net penalties (so most stay zero) on a bounded sample, the same number of
-documents for each language at most; a part of the sample that is not trained on then gives the temperature that
-calibrates the scores.
+documents for each language at most, and SAMPLE in all; a part of the sample that is not trained on then gives the
+temperature that calibrates the scores.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned
-from; texts of any length are read whole; repeated rows are predicted each; an empty table gives an empty one; columns
-other than id, text and label are not read.
+from; texts of any length are read whole; languages that tie go to the one that comes first by name; repeated rows are
+learned from and predicted each; a label of any name is learned, whatever their number; an empty table gives an empty one;
+columns other than id, text and label are not read, and those of a filtered table stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 500  # documents of a language that the weights are trained on, about
+SAMPLE = 50_000  # documents that they are trained on, about: with over a hundred languages, fewer of each
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
 UNKNOWN = "und"
 
@@ -154,7 +156,8 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
     if not sizes:
         return model
     # a share of each language by a hash of the id, so that about per_language rows come, whatever the table's size
-    share = F.create_map(*(x for k in model.languages for x in (F.lit(k), F.lit(min(1.0, 1.25 * per_language / sizes[k])))))
+    each = min(per_language, SAMPLE / len(sizes))
+    share = F.create_map(*(x for k in model.languages for x in (F.lit(k), F.lit(min(1.0, 1.25 * each / sizes[k])))))
     place = F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1_000_000)) / 1_000_000
     some = rows.where(place < F.element_at(share, F.col("label")))
 
@@ -175,16 +178,16 @@ def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_la
     return model
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score; names of its own columns must not clash with these."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS weights per language, whatever the data
+def predicted(model: Model, text: Column, spark: SparkSession) -> Column:
+    """A struct of lang_pred and score."""
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS weights per language, whatever the data
 
     @F.pandas_udf("lang_pred string, score double")
     def label(texts: pd.Series) -> pd.DataFrame:
         out = [shared.value.predict(t) for t in texts]
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.withColumn("__llm_lang", label(F.col(text_col)))
+    return label(text)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -194,12 +197,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 def identify(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row; learned from the rows that are not held out."""
     model = fit(docs.where(~held_out(id_col)), text_col, label_col, per_language, id_col)
-    out = predict(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), model)
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "__llm_lang.lang_pred", "__llm_lang.score")
+    out = docs.select(F.col(id_col).cast("long").alias("doc_id"), predicted(model, F.col(text_col), docs.sparkSession).alias("is"))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "is.lang_pred", "is.score")
 
 
 def keep_known(docs: DataFrame, least_score: float = 0.5, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
     """``docs`` without texts that are in no known language, or whose language is not clear."""
     model = fit(docs.where(~held_out(id_col)), text_col, label_col, per_language, id_col)
-    known = (F.col("__llm_lang.lang_pred") != UNKNOWN) & (F.col("__llm_lang.score") >= least_score)
-    return predict(docs, model, text_col).where(known).drop("__llm_lang")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"), predicted(model, F.col(text_col), docs.sparkSession).alias("is"))
+    return whole.where((F.col("is.lang_pred") != UNKNOWN) & (F.col("is.score") >= least_score)).select("whole.*")

@@ -191,6 +191,104 @@ def test_language_id_odd(spark):
     assert langid.identify(documents(spark, texts).limit(0)).collect() == []
 
 
+def plain_identify(rows):
+    """Language identification said again: dictionaries, loops and the formulas of the method."""
+    import math
+
+    def grams(text):
+        """Counts of 1- to 3-grams over letters and single gaps, under the operator's hash."""
+        s = []
+        for c in f"\0{text or ''}\0":
+            c = (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else "\0"
+            if not (c == "\0" and s and s[-1] == "\0"):
+                s.append(c)
+        if not any(c != "\0" for c in s):
+            return None
+        out = {}
+        for k in (1, 2, 3):
+            for i in range(len(s) - k + 1):
+                x = [ord(c) for c in s[i : i + k]]
+                code = x[0] + 1 if k == 1 else (x[0] << 21) + x[1] + 2 if k == 2 else ((x[0] << 42) ^ (x[1] << 21)) + x[2] + 3
+                at = (code * 0x9E3779B97F4A7C15 % 2**64) >> 49
+                out[at] = out.get(at, 0) + 1
+        return out
+
+    taught = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2 and y is not None]
+    counted = [(grams(t), y) for _, t, y in taught]
+    counted = [(g, y) for g, y in counted if g]
+    df = defaultdict(int)
+    for g, _ in counted:
+        for at in g:
+            df[at] += 1
+    idf = lambda at: float(np.float32(math.log((len(counted) + 1) / (df[at] + 1)) + 1))
+    learn_idf = lambda at: math.log((len(counted) + 1) / (df[at] + 1)) + 1
+
+    def vector(g, weigh):
+        x = {at: (1 + math.log(n)) * weigh(at) for at, n in sorted(g.items())}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {at: v / size for at, v in x.items()}
+
+    languages = sorted({y for _, _, y in taught})
+    key = lambda x: (x[1], bytes(np.array(sorted(x[0]), np.int32)), bytes(np.array([x[0][at] for at in sorted(x[0])], np.int32)))
+    sample = [(vector(g, learn_idf), languages.index(y)) for g, y in sorted(counted, key=key)]
+    train, aside = [s for k, s in enumerate(sample) if k % 5 != 4], [s for k, s in enumerate(sample) if k % 5 == 4]
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(at, c):
+        zz = z[at, c]
+        return 0.0 if abs(zz) <= langid.L1 else -(zz - math.copysign(langid.L1, zz)) / ((langid.BETA + math.sqrt(n[at, c])) / langid.ALPHA + langid.L2)
+
+    def softmax(s):
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    order = np.random.default_rng(5)
+    for _ in range(langid.EPOCHS):
+        for i in order.permutation(len(train)):
+            x, y = train[i]
+            w = {(at, c): weight(at, c) for at in x for c in range(len(languages))}
+            p = softmax([sum(v * w[at, c] for at, v in x.items()) for c in range(len(languages))])
+            for at, v in x.items():
+                for c in range(len(languages)):
+                    g = v * (p[c] - (c == y))
+                    sigma = (math.sqrt(n[at, c] + g * g) - math.sqrt(n[at, c])) / langid.ALPHA
+                    z[at, c] += g - sigma * w[at, c]
+                    n[at, c] += g * g
+    score = lambda x: [sum(v * weight(at, c) for at, v in x.items()) for c in range(len(languages))]
+    sides = [(score(x), y) for x, y in aside]
+    loss = lambda t: -sum(math.log(softmax([v / t for v in s])[y]) for s, y in sides)
+    best = min((loss(math.exp(k / 200)), math.exp(k / 200)) for k in range(int(200 * math.log(0.02)), int(200 * math.log(20)) + 1))[1]
+    out = {}
+    for i, t, _ in rows:
+        g = grams(t)
+        p = softmax([v / best for v in score(vector(g, idf))]) if g else None
+        out[i] = (languages[p.index(max(p))], max(p)) if p else ("und", 0.0)
+    return out
+
+
+def test_language_id_against_plain_version(spark):
+    r = random.Random(9)
+    words = {"en": "the house and people of town water".split(), "fr": "la maison et les gens de ville eau".split(), "tr": "İstanbul ev su ve şehir IŞIK".split()}
+    rows = [(i, " ".join(r.choice(words[y]) for _ in range(r.randint(1, 12))), y) for i, y in ((i, r.choice("en fr tr".split())) for i in range(60))]
+    rows += [(100, None, "en"), (101, "", "fr"), (102, "12 +!", None), (103, "la maison", None), (104, "x" * 3000, None), (105, "the the", "en"), (105, "the the", "en")]
+    got = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    want = plain_identify(rows)
+    assert len(got) == len(rows)
+    for g in got:
+        assert g.lang_pred == want[g.doc_id][0] and g.score == pytest.approx(want[g.doc_id][1], abs=0.01), g
+    assert len({g.lang_pred for g in got}) == 4
+
+
+def test_language_id_odd_rows(spark):
+    """Ties, repeated rows, a very long text, clashing columns."""
+    rows = [(i, "ab ab", "x" if i % 2 else "y", 1, "c") for i in range(40)] + [(7, "ab ab", "x", 1, "c")] * 3 + [(99, "ab " * 300_000, None, 1, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, `is` int, whole string")
+    out = langid.identify(docs).collect()
+    assert len(out) == len(rows) and len({r.lang_pred for r in out}) == 1
+    kept = langid.keep_known(docs, least_score=0.0)
+    assert kept.columns == docs.columns and kept.count() == len(rows)
+
+
 def test_calibration_does_not_change_the_choice():
     m = langid.Model(["a", "b"], np.ones(langid.BUCKETS))
     r = np.random.default_rng(0)
