@@ -126,14 +126,23 @@ def test_rests_are_merged(spark, monkeypatch):
     assert sum(n < 4096 for n in size.values()) <= 12
 
 
-def test_packing_cache_overflow(monkeypatch):
+def test_kept_words(monkeypatch):
+    """Against the library: words of all lengths, full tables, words that want one slot."""
+    from tokenizers import Tokenizer
+
     path = tokenizer_path("word_bpe_49k.json")
-    texts = [f"w{i} common word{i % 7} é\n x" + "y" * 100 for i in range(600)]
-    packing._state.clear()
-    want = packing.encode_texts(texts, path)
-    monkeypatch.setattr(packing, "CACHE_BYTES", 50)
+    t = Tokenizer.from_file(path)
+    r = random.Random(2)
+    words = ["".join(r.choice("abcdefghijœßé") for _ in range(r.randint(1, 20))) for _ in range(900)] + ["y" * 15, "y" * 16, "y" * 17, "z" * 70, "A1b22", "--", "x.y", "ŒUVRE"]
+    texts = [" ".join(r.choice(words) + r.choice(["", ".", "\n", "12"]) for _ in range(r.randint(0, 40))) for _ in range(1200)] + ["", " ", "\n", "日本 word", "it's"]
+    want = [np.array([*e.ids, 2], "<u2").tobytes() for e in t.encode_batch(texts, add_special_tokens=False)]
+    for slots, pooled, cache in ((1 << 21, 1 << 25, 10**8), (1 << 12, 1 << 25, 50), (1 << 11, 1000, 50), (1 << 7, 100, 50)):
+        monkeypatch.setattr(packing, "SLOTS", slots)
+        monkeypatch.setattr(packing, "POOLED", pooled)
+        monkeypatch.setattr(packing, "CACHE_BYTES", cache)
+        packing._state.clear()
+        assert packing.encode_texts(texts, path) == want
     packing._state.clear()
-    assert packing.encode_texts(texts, path) == want and not packing._state[path][1]
 
 
 def test_packing_of_table(spark):
