@@ -6,7 +6,7 @@ of that document and the number of copies.  The stream advances by micro-batches
 looks its digests up in the state that the earlier ones left; with a lasting ``state_path`` a later call looks up what
 earlier calls left.  Rows of one digest are combined before they are shuffled, so a digest that a third of all
 documents share costs one row per task.  Every digest hit is then checked on the full bytes: only texts whose digest
-was hit are shuffled, spread by a salt; should two different texts ever share a digest, they are regrouped by their bytes.
+was hit are read again, and copies are combined before they are shuffled; should two different texts ever share a digest, they are regrouped by their bytes.
 
 Defined results: a null text counts as empty; of equal texts the largest doc_id stays (a null doc_id is the smallest;
 rows that repeat a doc_id and text, or tie as nulls: the one at the greatest locator); a text of any length is hashed
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import ROW, join_hot, located, materialize, settings, shared_dir, utf8, whole_rows, with_row_key
 
-SALTS = 32
 KEY = ["digest", "n_bytes"]
 WAVES = 2  # of tasks whose files make a micro-batch, where no number of files is given
 MASK_BITS = 24  # places of the table of hit digests that every task gets (2 MB): beyond as many hits it lets all texts pass
@@ -113,8 +112,7 @@ def _mask(hits: DataFrame) -> np.ndarray:
 
 
 def _texts(docs: DataFrame, mask: np.ndarray, id_col: str, text_col: str, digest: Callable[[bytes], str]) -> DataFrame:
-    """As digests(), for texts whose digest may have been hit, with the normalised bytes and a salt that spreads the
-    copies of one text."""
+    """As digests(), for texts whose digest may have been hit, with the normalised bytes."""
     shared = docs.sparkSession.sparkContext.broadcast(mask)  # 2 MB, whatever the data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,11 +121,10 @@ def _texts(docs: DataFrame, mask: np.ndarray, id_col: str, text_col: str, digest
             norm = [utf8(t).lower() for t in b.pop("text")]
             key = [digest(x) for x in norm]
             place = np.array([_place(k) for k in key], np.int64)
-            salt = [(i * 31 + r) % SALTS for i, r in enumerate(b[ROW[1]])]
-            out = b.assign(digest=key, n_bytes=[len(x) for x in norm], salt=salt, norm=norm)
+            out = b.assign(digest=key, n_bytes=[len(x) for x in norm], norm=norm)
             yield out[(bits[place >> 3] >> (7 - (place & 7)) & 1).astype(bool)]
 
-    return _normal(located(docs), id_col, text_col).mapInPandas(run, f"doc_id long, {ROW[0]} string, {ROW[1]} long, digest string, n_bytes long, salt int, norm binary")
+    return _normal(located(docs), id_col, text_col).mapInPandas(run, f"doc_id long, {ROW[0]} string, {ROW[1]} long, digest string, n_bytes long, norm binary")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[bytes], str] = sha256_hex, files_per_batch: int | None = None, state_path: str | None = None, earlier: DataFrame | None = None) -> DataFrame:
@@ -146,9 +143,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     hits = _texts(docs, mask, id_col, text_col, digest)
     if earlier is not None:
         hits = hits.unionAll(_texts(earlier, mask, id_col, text_col, digest))
-    salted = hit.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    part = hits.join(salted, [*KEY, "salt"], "left_semi").groupBy(*KEY, "salt").agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))
-    ends = part.groupBy(*KEY).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    ends = hits.groupBy(*KEY).agg(F.min("norm").alias("lo"), F.max("norm").alias("hi"))  # copies are combined before the shuffle
     clash = materialize(ends.where(F.col("lo") != F.col("hi")).select(*KEY))
 
     plain = join_hot(slim, state, KEY, "group_size", slim.count())
