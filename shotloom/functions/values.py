@@ -75,14 +75,6 @@ def any_present(v: Column) -> Column:
     return F.exists(v, lambda x: x.isNotNull())
 
 
-def all_missing(series: Column) -> Column:
-    return F.forall(series, lambda v: F.forall(v, lambda x: x.isNull()))
-
-
-def any_missing(series: Column) -> Column:
-    return F.exists(series, lambda v: F.exists(v, lambda x: x.isNull()))
-
-
 def mean_of(values: Column, f: Callable[[Column], Column] = lambda x: x) -> Column:
     """Mean of f(x) over the values that are there; NULL without any."""
     start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))

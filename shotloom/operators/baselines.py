@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.values import index_range, let
+
 
 def requested_signals(task_signals: DataFrame) -> DataFrame:
     """Signals of all roles, each once, in order of role and place."""
@@ -35,25 +37,44 @@ def mean_choice(task_signals: DataFrame, dummy: str) -> DataFrame:
 
 
 def forward_fill(series: Column) -> Column:
-    """Missing entries of an array take the last value before them; leading ones stay missing."""
-    step = lambda acc, x: F.struct(F.coalesce(x, acc["last"]).alias("last"), F.concat(acc["out"], F.array(F.coalesce(x, acc["last"]))).alias("out"))
-    start = F.struct(F.lit(None).cast("double").alias("last"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(series, start, step, lambda acc: acc["out"])
+    """Missing entries of an array take the last value before them; leading ones stay missing.
+
+    Each value that is there is repeated up to the place of the next one, so the work is in proportion to the array."""
+    there = F.filter(F.transform(series, lambda x, i: F.when(x.isNotNull(), i)), lambda i: i.isNotNull())
+    n = F.size(series)
+
+    def fill(at: Column) -> Column:
+        runs = F.transform(at, lambda i, k: F.array_repeat(F.get(series, i), F.coalesce(F.get(at, k + 1), n) - i))
+        return F.concat(F.array_repeat(F.lit(None).cast("double"), F.coalesce(F.get(at, F.lit(0)), n)), F.flatten(runs))
+
+    return let(there, fill)
 
 
 def channel(values: Column, c: Column | int) -> Column:
     return F.transform(values, lambda v: F.get(v, F.lit(c) if isinstance(c, int) else c))
 
 
-def last_present(values: Column, channels: int = 1) -> Column:
-    """Per channel, the last value of a window that is there."""
-    return F.array(*(F.try_element_at(F.filter(channel(values, c), lambda x: x.isNotNull()), F.lit(-1)) for c in range(channels)))
+def last_present(values: Column, first: Column, end: Column, channels: Column, mean: Column) -> Column:
+    """Per channel, the last value between two indices that is there, or else the signal's mean."""
+    inside = F.slice(values, first + 1, F.greatest(F.lit(0), end - first))
+
+    def one(c: Column) -> Column:
+        newest = F.when(end > first, F.get(F.get(values, end - 1), c))  # there in most windows: the others are searched
+        return F.coalesce(newest, F.try_element_at(F.filter(channel(inside, c), lambda x: x.isNotNull()), F.lit(-1)), mean)
+
+    return F.transform(index_range(F.lit(0), channels), one)
+
+
+def mean_vector(values: Column, first: Column, end: Column, channels: Column, mean: Column) -> Column:
+    """The signal's mean for every channel."""
+    return F.array_repeat(mean, channels)
 
 
-def persistence(windows: DataFrame, meta: DataFrame, n_out: Column | int, channels: int = 1) -> DataFrame:
-    """(shot_id, window_index, signal, prediction): the last input value repeated, or else the signal's mean."""
+def persistence(windows: DataFrame, meta: DataFrame, n_out: Column | int) -> DataFrame:
+    """(shot_id, window_index, signal, prediction) from written windows: each channel's last input value repeated, or else the
+    signal's mean."""
     rows = windows.where("role = 'input'").join(F.broadcast(meta.select("signal", "mean")), "signal", "left")
-    vector = F.transform(last_present(F.col("values"), channels), lambda x: F.coalesce(x, F.col("mean")))
+    vector = last_present(F.col("values"), F.lit(0), F.size("values"), F.size(F.get("values", F.lit(0))), F.col("mean"))
     return rows.select("shot_id", "window_index", "signal", F.array_repeat(vector, n_out).alias("prediction"))
 
 

@@ -12,7 +12,7 @@ def shuffle(windows: DataFrame, seed: int = 42) -> DataFrame:
     """Windows in a seeded order, as column shuffle_rank (0-based)."""
     keys = windows.select("shot_id", "window_index").distinct()
     key = seeded(F.concat_ws("-", "shot_id", "window_index"), seed)
-    ranked = global_rank(keys, [key, F.col("shot_id"), F.col("window_index")], F.substring(key, 1, 3))
+    ranked = global_rank(keys, [key, F.col("shot_id"), F.col("window_index")], F.substring(key, 1, 4))
     return ranked.select("shot_id", "window_index", F.col("_rank").cast("long").alias("shuffle_rank"))
 
 
@@ -22,7 +22,7 @@ def batch_ids(windows: DataFrame, size: int, seed: int | None = None) -> DataFra
         ranked = shuffle(windows, seed)
     else:
         keys = windows.select("shot_id", "window_index").distinct()
-        ranked = global_rank(keys, [F.col("shot_id"), F.col("window_index")], F.floor(F.col("shot_id") / 100)).withColumnRenamed("_rank", "shuffle_rank")
+        ranked = global_rank(keys, [F.col("shot_id"), F.col("window_index")], F.floor(F.col("shot_id") / 4096)).withColumnRenamed("_rank", "shuffle_rank")
     return ranked.select("shot_id", "window_index", F.floor(F.col("shuffle_rank") / size).alias("batch_id"))
 
 

@@ -5,21 +5,48 @@ errors are averaged over windows only; from shots on the errors themselves are."
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names
-from ..functions.values import mean_of
+from ..functions.values import index_range, let, mean_of
 from ..schema import METRICS
 
 
+def steady_errors(values: Column, first: Column, end: Column, n: Column, vector: Column) -> Column:
+    """Sums of squared and absolute errors of a forecast of one value per channel over [first, end) of a series of n samples
+    (edge samples repeat), the number of values that are there, and of all; an error if the channels do not match."""
+    sums = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("size"), F.lit(0.0).alias("n"), F.lit(0.0).alias("of"))
+    add = lambda a, d: F.struct(
+        F.when(d.isNull(), a["square"]).otherwise(a["square"] + d * d).alias("square"), F.when(d.isNull(), a["size"]).otherwise(a["size"] + F.abs(d)).alias("size"),
+        F.when(d.isNull(), a["n"]).otherwise(a["n"] + 1.0).alias("n"), (a["of"] + 1.0).alias("of"),
+    )
+
+    def over(p: Column) -> Column:
+        def sample(acc: Column, i: Column) -> Column:
+            v = F.get(values, F.least(F.greatest(i, F.lit(0)), n - 1))
+            d = F.when(F.size(v) == F.size(p), F.zip_with(v, p, lambda y, q: y - q)).otherwise(F.raise_error(F.lit("target and forecast differ in channels")).cast("array<double>"))
+            return F.aggregate(d, acc, add)
+
+        return F.aggregate(index_range(first, end), sums, sample)
+
+    return let(vector, over)
+
+
+def from_sums(sums: DataFrame) -> DataFrame:
+    """Window metrics from sums of errors."""
+    mean = lambda c: F.try_divide(F.col(c), F.col("n"))
+    return sums.select("shot_id", "window_index", "feature_name", F.sqrt(mean("square")).alias("RMSE"), mean("size").alias("MAE"), F.try_divide(F.col("of") - F.col("n"), F.col("of")).alias("nan_fraction"))
+
+
 def window_metrics(targets: DataFrame, predictions: DataFrame) -> DataFrame:
     """RMSE, MAE and share of missing targets of each (shot, window, feature), over channels x time.
 
-    targets: (shot_id, window_index, signal, values); predictions: (…, prediction).  Features without either are skipped."""
+    targets: (shot_id, window_index, signal, values); predictions: (…, prediction).  Features without either are skipped;
+    a prediction of another size than its target is an error."""
     both = targets.join(predictions, ["shot_id", "window_index", "signal"])
     flat = both.select("shot_id", "window_index", F.col("signal").alias("feature_name"), F.flatten("values").alias("y"), F.flatten("prediction").alias("p"))
-    d = F.zip_with("y", "p", lambda y, p: y - p)
+    d = F.when(F.size("y") == F.size("p"), F.zip_with("y", "p", lambda y, p: y - p)).otherwise(F.raise_error(F.lit("target and prediction differ in size")).cast("array<double>"))
     missing = F.size(F.filter("y", lambda x: x.isNull()))
     return flat.select(
         "shot_id", "window_index", "feature_name", F.sqrt(mean_of(d, lambda x: x * x)).alias("RMSE"), mean_of(d, F.abs).alias("MAE"),

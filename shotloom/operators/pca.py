@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.ml.feature import PCA, PCAModel, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -46,7 +49,17 @@ def reconstruct(rows: DataFrame, k: int = 5) -> DataFrame:
     """(shot_id, t_idx, restored): rows rebuilt from their k scores."""
     data, model = fit(rows, k)
     mean = [float(v) for v in rows.agg(*(F.avg(F.get("values", F.lit(i))).alias(str(i)) for i in range(model.pc.numRows))).first()]
-    pc = [[float(model.pc[i, j]) for j in range(model.pc.numCols)] for i in range(model.pc.numRows)]  # channels x k
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), kind)
+    pc = constant(model.pc.toArray().tolist(), "array<array<double>>")  # channels x k
     scored = model.transform(data).select("shot_id", "t_idx", vector_to_array("scores").alias("s"))
-    each = [sum((F.get("s", F.lit(j)) * F.lit(pc[i][j]) for j in range(len(pc[i]))), F.lit(mean[i])) for i in range(len(pc))]
-    return scored.select("shot_id", "t_idx", F.array(*each).alias("restored"))
+    dot = lambda w: F.aggregate(F.zip_with(w, "s", lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v)
+    return scored.select("shot_id", "t_idx", F.zip_with(F.transform(pc, dot), constant(mean, "array<double>"), lambda x, m: x + m).alias("restored"))
+
+
+def trace(rows: DataFrame, k: int) -> DataFrame:
+    """(trace, components, ratio): sum of the sample variances of k components' scores, k, and the share of the variance that the
+    model says they explain."""
+    data, model = fit(rows, k)
+    scores = model.transform(data).select(vector_to_array("scores").alias("s"))
+    total = reduce(lambda a, b: a + b, (F.var_samp(F.get("s", F.lit(j))) for j in range(k)))
+    return scores.agg(total.alias("trace"), F.lit(k).cast("long").alias("components"), F.lit(float(sum(model.explainedVariance))).alias("ratio"))

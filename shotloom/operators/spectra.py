@@ -26,11 +26,13 @@ def stft(waves: DataFrame, support: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
             for r in b.itertuples(index=False):
-                wave = np.array([np.nan if v is None else v for v in (() if r.wave is None else r.wave)], dtype=float)
-                for k, p in enumerate(power_frames(wave, support)):
-                    out.append((r.shot_id, r.signal, r.channel, k, r.t0 + ((k + 1) * support - 1) * r.dt, [None if np.isnan(v) else float(v) for v in p]))
-            yield pd.DataFrame(out, columns=["shot_id", "signal", "channel", "frame", "time", "power"])
+                power = power_frames(np.array([] if r.wave is None else r.wave, dtype=float), support)  # None becomes NaN
+                if not len(power):
+                    continue
+                k = np.arange(len(power))
+                at = r.t0 + ((k + 1) * support - 1) * r.dt
+                rows = [x.tolist() if clear else [None if np.isnan(v) else v for v in x.tolist()] for x, clear in zip(power, ~np.isnan(power).any(axis=1), strict=True)]
+                yield pd.DataFrame({"shot_id": r.shot_id, "signal": r.signal, "channel": r.channel, "frame": k, "time": at, "power": rows})
 
     return waves.select("shot_id", "signal", "channel", "t0", "dt", "wave").mapInPandas(run, "shot_id long, signal string, channel int, frame int, time double, power array<double>")

@@ -5,6 +5,8 @@ hash's leading digits as buckets, so that no single task has to order the whole
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame
 
 def seeded_rank(shots: DataFrame, seed: int, id_col: str = "shot_id") -> DataFrame:
     key = seeded(F.col(id_col), seed)
-    return global_rank(shots, [key, F.col(id_col)], F.substring(key, 1, 3))
+    return global_rank(shots, [key, F.col(id_col)], F.substring(key, 1, 4))
 
 
 def split_random(shots: DataFrame, fraction: float = 0.1, seed: int = 42) -> DataFrame:
@@ -54,21 +56,33 @@ def kfold_flags(splits: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return rows.select("shot_id", "test", *flags)
 
 
-def head_per_split(splits: DataFrame, most: int | None = None, per_split: dict[str, int] | None = None, seed: int | None = None) -> DataFrame:
-    """The first shots of each split, by id or in a seeded order; a split's own limit wins; none or <= 0 means all."""
-    limits = {s: n for s, n in (per_split or {}).items() if n is not None}
-    limit = F.lit(most if most and most > 0 else None).cast("long")
-    for s, n in limits.items():
-        limit = F.when(F.col("split") == s, F.lit(n if n > 0 else None).cast("long")).otherwise(limit)
+def members(rows: DataFrame, splits: DataFrame, split: str) -> DataFrame:
+    """Rows of the shots that belong to a split."""
+    return rows.join(splits.where(F.col("split") == split).select("shot_id"), "shot_id", "left_semi")
+
+
+def head_per_split(splits: DataFrame, most: int | None = None, per_split: dict[str, int] | None = None, seed: int | None = None, names: tuple[str, ...] = ("train", "val", "test")) -> DataFrame:
+    """The first shots of each named split, by id or in a seeded order; a split's own limit wins; none or <= 0 means all.
+
+    Each split is a limit of its own, so a task keeps as many rows as are wanted and never sorts a whole split."""
     order = [seeded(F.col("shot_id"), seed), F.col("shot_id")] if seed is not None else [F.col("shot_id")]
-    ranked = splits.withColumn("_rank", F.row_number().over(Window.partitionBy("split").orderBy(*order)))
-    return ranked.where(limit.isNull() | (F.col("_rank") <= limit)).drop("_rank")
+    parts = []
+    for name in names:
+        rows, own = splits.where(F.col("split") == name), (per_split or {}).get(name)
+        limit = most if own is None else own
+        parts.append(rows.orderBy(*order).limit(limit) if limit and limit > 0 else rows)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def split_temporal(shots: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """(shot_id, split) by time: the earliest for train, the latest for test.  shots: (shot_id, time)."""
+    """(shot_id, split) by time: the earliest for train, the latest for test.  shots: (shot_id, time).
+
+    Ranks are taken inside seconds or, where all times of an hour are equal, inside ranges of ids, so a campaign that fills a day does not go to one task."""
     n = shots.agg(F.count("*").alias("_n"))
-    ranked = global_rank(shots.select("shot_id", "time"), [F.col("time"), F.col("shot_id")], F.date_trunc("month", F.col("time"))).join(F.broadcast(n))  # one row
+    at_hour = F.date_trunc("hour", F.col("time"))  # inside an hour ids come before minutes only if all its times are equal
+    spread = shots.select("shot_id", "time").join(shots.groupBy(at_hour.alias("_hour")).agg((F.min("time") == F.max("time")).alias("_flat")), at_hour == F.col("_hour")).drop("_hour")
+    bucket = F.struct(at_hour.alias("hour"), F.when(F.col("_flat"), F.floor(F.col("shot_id") / 4096)).otherwise(F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 1_000_000)).alias("part"))
+    ranked = global_rank(spread, [F.col("time"), F.col("shot_id")], bucket).join(F.broadcast(n))  # one row
     at = F.col("_rank") / F.col("_n")
     return ranked.select("shot_id", F.when(at < train, "train").when(at < train + val, "val").otherwise("test").alias("split"))
 

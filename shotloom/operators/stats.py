@@ -8,24 +8,24 @@ from pyspark.sql import functions as F
 from .clean import is_outlier
 
 
-def shot_stats(cells: DataFrame) -> DataFrame:
+def shot_stats(cells: DataFrame, median: bool = True) -> DataFrame:
     """Statistics of each (shot, variable) over cells (shot_id, variable, value); missing cells count only as such.
 
-    The exact median comes from ranks in sorted groups: one shuffle and a sort that can spill, where the median
-    aggregate would keep a map of all values of a group in memory."""
-    x = F.col("value")
-    group = Window.partitionBy("shot_id", "variable")
-    ranked = cells.withColumn("_k", F.row_number().over(group.orderBy(x.asc_nulls_last()))).withColumn("_n", F.count(x).over(group))
-    middle = F.when((F.col("_k") == F.floor((F.col("_n") + 1) / 2)) | (F.col("_k") == F.floor((F.col("_n") + 2) / 2)), x)
-    return ranked.groupBy("shot_id", "variable").agg(
-        F.count("*").alias("n_dim_shot"), F.count_if(x.isNull()).alias("n_nans_shot"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"),
-        F.min(x).alias("min"), F.max(x).alias("max"), F.avg(middle).alias("median"),
+    All but the median are combined before the shuffle.  The exact median comes from counts of distinct values, which are
+    combined before the shuffle too, cumulated in order of the value; leave it out where it is not needed."""
+    x, keys = F.col("value"), ["shot_id", "variable"]
+    plain = cells.groupBy(*keys).agg(
+        F.count("*").alias("n_dim_shot"), F.count_if(x.isNull()).alias("n_nans_shot"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max")
     )
-
-
-def sample_cells(samples: DataFrame) -> DataFrame:
-    """Every channel of every sample as a cell."""
-    return samples.select("shot_id", F.col("signal").alias("variable"), F.explode("values").alias("value"))
+    if not median:
+        return plain
+    group = Window.partitionBy(*keys)
+    counts = cells.where(x.isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("_n"))
+    counts = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("value")), "_all": F.sum("_n").over(group)})
+    inside = lambda k: ((F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))).cast("int")
+    hits = inside(F.floor((F.col("_all") + 1) / 2)) + inside(F.floor((F.col("_all") + 2) / 2))
+    middle = counts.where(hits > 0).groupBy(*keys).agg((F.sum(x * hits) / 2).alias("median"))
+    return plain.join(middle, keys, "left")
 
 
 def pooled(stats: DataFrame) -> DataFrame:

@@ -3,31 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import sample_count
 from ..operators import baselines, metrics, windows
-from ..operators.windows import Roles
+from ..operators.windows import signals_of
 
 #: A predictor takes (windows, meta, task) and gives (shot_id, window_index, signal, prediction).
 Predictor = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 
-def make_windows(samples: DataFrame, meta: DataFrame, task: dict, channels: int = 1, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Windows of a task; ``filled`` screens them (False: sparse, True: filled, None: not at all); ``custom`` maps them
-    and may drop some."""
-    roles: Roles = task["roles"]
-    wanted = samples.where(F.col("signal").isin(windows.signals_of(roles, "input", "actuator", "output")))
-    packed = windows.pack(wanted, meta)
-    cut = windows.cuts(windows.shot_range(packed, roles), task)
-    out = windows.slices(packed, roles, cut, task, meta, channels)
-    if filled is not None:
-        out = windows.screen(out, filled)
+@dataclass(frozen=True)
+class Steady:
+    """A forecast that does not change inside a window: one value per channel, as an expression of the signal's values, the
+    first index and the end of its input slice (inside the series; the end is the first index if it is empty), its number
+    of channels and its mean.  It is scored where the series is, without writing windows."""
+
+    vector: Callable[[Column, Column, Column, Column, Column], Column]
+    needs_input: bool  # only outputs that are inputs too can be told
+
+
+persist = Steady(baselines.last_present, True)
+mean = Steady(baselines.mean_vector, False)
+
+
+def _fit(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None) -> DataFrame:
+    shots = windows.shot_series(samples, meta, signals_of(task["roles"], "input", "actuator", "output"))
+    return windows.fit_windows(shots, task, filled, every_output=filled is not None)
+
+
+def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Windows of a task; ``filled`` screens them (False: sparse, True: filled, as in test mode; None: not at all);
+    ``custom`` maps them and may drop some."""
+    out = windows.slices(_fit(samples, meta, task, filled), task["roles"], task, meta)
     return custom(out) if custom else out
 
 
+def window_ranges(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None) -> DataFrame:
+    """Windows of a task as index ranges."""
+    return windows.window_bounds(_fit(samples, meta, task, filled), task["roles"], task, meta)
+
+
 def autoregressive_task(task: dict) -> dict | None:
     """The persistence variant: outputs that are inputs too, no actuators, markovian; None if there are none."""
     both = [s for s in windows.signals_of(task["roles"], "output") if s in windows.signals_of(task["roles"], "input")]
@@ -39,17 +57,35 @@ def mean_task(task: dict, dummy: str) -> dict:
     return task | {"roles": [("input", dummy), *(("output", s) for s in windows.signals_of(task["roles"], "output"))]}
 
 
-def persist(made: DataFrame, meta: DataFrame, task: dict, channels: int = 1) -> DataFrame:
-    with_dt = made.join(F.broadcast(meta.select("signal", "dt")), "signal")
-    return baselines.persistence(with_dt, meta, sample_count(task["output_length"], F.col("dt")), channels)
+def _steady(samples: DataFrame, meta: DataFrame, task: dict, how: Steady, filled: bool | None) -> DataFrame:
+    """Window metrics of a steady forecast, in the shot-keyed stage."""
+    inputs, outputs = signals_of(task["roles"], "input"), signals_of(task["roles"], "output")
+    told = [("output", s) for s in outputs if s in inputs or not how.needs_input]
+    rows = windows.role_rows(_fit(samples, meta, task, filled), told, meta)
+    rows = rows.join(F.broadcast(meta.select("signal", "mean")), "signal", "left")
+    values, n = F.col("of.values"), F.size("of.values")
 
+    def one(w: Column) -> Column:
+        t = windows.cut_time(w, task)
+        lo, hi = windows.bounds("input", t, F.col("of.t0"), F.col("dt"), task)
+        a, b = windows.clipped(lo, n), windows.clipped(hi - 1, n) + 1
+        vector = how.vector(values, a, F.when(hi > lo, b).otherwise(a), F.size(F.get(values, F.lit(0))), F.col("mean"))
+        first, end = windows.bounds("output", t, F.col("of.t0"), F.col("dt"), task)
+        nominal = F.greatest(F.lit(0), windows.sample_count(task["output_length"], F.col("dt"))) * F.col("width")
+        scored = metrics.steady_errors(values, first, end, n, vector)
+        none = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("size"), F.lit(0.0).alias("n"), nominal.cast("double").alias("of"))
+        return F.struct(w.alias("window_index"), F.when(F.col("of").isNull(), none).otherwise(scored).alias("e"))
 
-def mean(made: DataFrame, meta: DataFrame, task: dict) -> DataFrame:
-    return baselines.mean_forecast(made, meta)
+    each = rows.select("shot_id", F.col("signal").alias("feature_name"), F.explode(F.transform("windows", one)).alias("w"))
+    return metrics.from_sums(each.select("shot_id", "w.window_index", "feature_name", "w.e.*"))
 
 
-def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor, filled: bool | None = False) -> DataFrame:
+def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor | Steady, filled: bool | None = False) -> DataFrame:
     """Window metrics of a predictor on a task."""
-    made = make_windows(samples, meta, task, filled=filled)
-    targets = made.where("role = 'output'").select("shot_id", "window_index", "signal", "values")
-    return metrics.window_metrics(targets, predict(made, meta, task)).select(F.lit(name).alias("task"), "*")
+    if isinstance(predict, Steady):
+        out = _steady(samples, meta, task, predict, filled)
+    else:
+        made = make_windows(samples, meta, task, filled=filled)
+        targets = made.where("role = 'output'").select("shot_id", "window_index", "signal", "values")
+        out = metrics.window_metrics(targets, predict(made, meta, task))
+    return out.select(F.lit(name).alias("task"), "*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values
+from ..operators import spectra
 from . import tasks
 
 #: Steps of each family of signals, in order; spectra are made first, from packed waves.
@@ -28,7 +29,7 @@ def plan_table(meta: DataFrame, members: dict[str, list[str]] = MEMBERS) -> Data
 
 
 def apply_plan(samples: DataFrame, meta: DataFrame, members: dict[str, list[str]] = MEMBERS, scale: bool = True, fill: bool = False, points: int = 170) -> DataFrame:
-    """Sample rows through their signals' plans (spectra excepted, see operators.spectra).  One scan: the families are
+    """Sample rows through their signals' plans (spectra excepted, see apply_spectra).  One scan: the families are
     branches of one expression."""
     rows = samples.join(F.broadcast(meta.select("signal", "mean", "std")), "signal", "left")
     v = F.col("values")
@@ -38,3 +39,11 @@ def apply_plan(samples: DataFrame, meta: DataFrame, members: dict[str, list[str]
     if fill:
         out = out.when(kind == "filled", values.zero_fill(scaled(v)))
     return rows.withColumn("values", out.otherwise(scaled(v))).select(samples.columns)
+
+
+def apply_spectra(waves: DataFrame, meta: DataFrame, members: dict[str, list[str]] = MEMBERS, scale: bool = True, support: int = 512) -> DataFrame:
+    """Spectra of the waves that the plan makes spectra of, standardised with statistics of spectrum space: (shot_id, signal,
+    channel, frame, time, values).  meta: (signal, mean, std) over spectra."""
+    wanted = waves.where(family(F.col("signal"), members) == "probe")
+    rows = spectra.stft(wanted, support).withColumnRenamed("power", "values")
+    return apply_plan(rows, meta, {}) if scale else rows

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DAYS = 30
+#: Signals of several channels that embeddings are read as: first number, channels, sampling interval.
+CHANNELS = {"wide": (0, 4, 0.5), "pair": (4, 2, 0.5), "trio": (6, 3, 1.0)}
 EVENT_SIGNALS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -60,3 +62,24 @@ def order_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scalar(values: str | Column = "values") -> Column:
     return F.get(F.col(values) if isinstance(values, str) else values, F.lit(0))
+
+
+def channel_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples of several channels: the embeddings of a label in order of time, every half second; every fourth channel
+    value is missing, and shots whose id divides by three lack the signal trio."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("shot_id"), "vec_id", F.col("embedding").cast("array<double>").alias("x"), k.alias("k"))
+    each = []
+    for s, (first, n, dt) in CHANNELS.items():
+        step = int(dt / 0.5)
+        values = F.transform(F.slice("x", first + 1, n), lambda x, c: F.when((F.col("vec_id") + c) % 4 != 0, x))
+        here = (F.col("k") % step == 0) & (F.lit(s != "trio") | (F.col("shot_id") % 3 != 0))
+        each.append(F.when(here, F.struct(F.lit(s).alias("signal"), F.floor(F.col("k") / step).cast("int").alias("t_idx"), (F.floor(F.col("k") / step) * F.lit(dt)).alias("time"), values.alias("values"))))
+    return rows.select("shot_id", F.explode(F.array_compact(F.array(*each))).alias("r")).select("shot_id", "r.*")
+
+
+def channel_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signal_meta of channel_samples."""
+    shapes = spark.createDataFrame([(s, dt, [n]) for s, (_, n, dt) in CHANNELS.items()], "signal string, dt double, values_shape array<int>")
+    cells = channel_samples(spark, sf_dir).select("signal", F.explode("values").alias("x"))
+    return shapes.join(cells.groupBy("signal").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")), "signal")

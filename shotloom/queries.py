@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, values
@@ -20,47 +21,21 @@ ORACLES: dict[str, str] = {}
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-#: Added before rounding on both sides: averages of prices often lie halfway between two roundings, where the last bit
-#: of a sum, and so the order of its terms, would decide.
-OFF = 1.2345e-8
-
-
-def off_ties(sql: str) -> str:
-    """``sql`` with OFF added to the first argument of each round(…, 6)."""
-    out, at = [], 0
-    while (k := sql.find("round(", at)) >= 0:
-        depth, end = 1, k + 6
-        while depth:
-            depth += {"(": 1, ")": -1}.get(sql[end], 0)
-            end += 1
-        inner = off_ties(sql[k + 6 : end - 1])
-        out += [sql[at:k], "round(", f"({inner[:-3]}) + {OFF}, 6" if inner.endswith(", 6") else inner, ")"]
-        at = end
-    return "".join(out) + sql[at:]
-
-
 def query(sql: str | None = None) -> Callable[[Query], Query]:
     def register(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = off_ties(sql)
+            ORACLES[f.__name__] = sql
         return f
 
     return register
 
 
-def r(x: Column | str, digits: int = 6) -> Column:
+def r(x: Column | str) -> Column:
+    """Results have the precision of 32-bit numbers, like the training data: the order in which a sum is taken decides
+    later digits."""
     x = F.col(x) if isinstance(x, str) else x
-    return F.round(x + F.lit(OFF) if digits == 6 else x, digits)
-
-
-def by_size(x: str) -> Column:
-    """Six digits, or none for large values, of which a double holds no more."""
-    return F.when(F.col(x) > 1e6, F.round(F.col(x), 0)).otherwise(r(x))
-
-
-def by_size_sql(x: str) -> str:
-    return f"CASE WHEN {x} > 1e6 THEN round({x}, 0) ELSE round({x}, 6) END"
+    return F.round(x, 9).cast("float").cast("double")
 
 
 # ---------------------------------------------------------------- statistics
@@ -80,8 +55,8 @@ FLAGGED = {"flag_a": ["quantity", "tax"], "flag_b": ["discount"]}
 MANUAL = """manual AS (SELECT DISTINCT s_suppkey AS shot_id, unnest(CASE WHEN s_suppkey % 10 = 3 THEN ['quantity', 'tax'] ELSE [] END || CASE WHEN s_suppkey % 15 = 3 THEN ['discount'] ELSE [] END) AS signal FROM supplier)"""
 
 
-def _stats(spark, d):
-    return stats.shot_stats(views.order_cells(spark, d))
+def _stats(spark, d, median=False):
+    return stats.shot_stats(views.order_cells(spark, d), median)
 
 
 def _zout(spark, d):
@@ -94,23 +69,23 @@ def _manual(spark, d):
     return stats.flags_to_outliers(flags, FLAGGED)
 
 
-@query(f"WITH {STATS} SELECT shot_id, variable, n_dim_shot, n_nans_shot, round(mean, 6) AS mean, {by_size_sql('variance')} AS variance, min, max, round(median, 6) AS median FROM stats")
+@query(f"WITH {STATS} SELECT shot_id, variable, n_dim_shot, n_nans_shot, CAST(CAST(round(mean, 9) AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(round(variance, 9) AS FLOAT) AS DOUBLE) AS variance, min, max, CAST(CAST(round(median, 9) AS FLOAT) AS DOUBLE) AS median FROM stats")
 def shot_signal_stats(spark, d):
-    return _stats(spark, d).select("shot_id", "variable", "n_dim_shot", "n_nans_shot", r("mean").alias("mean"), by_size("variance").alias("variance"), "min", "max", r("median").alias("median"))
+    return _stats(spark, d, True).select("shot_id", "variable", "n_dim_shot", "n_nans_shot", r("mean").alias("mean"), r("variance").alias("variance"), "min", "max", r("median").alias("median"))
 
 
-@query(f"WITH {POOL} SELECT variable, round(g, 6) AS global_mean, {by_size_sql('v')} AS global_variance FROM pool2")
+@query(f"WITH {POOL} SELECT variable, CAST(CAST(round(g, 9) AS FLOAT) AS DOUBLE) AS global_mean, CAST(CAST(round(v, 9) AS FLOAT) AS DOUBLE) AS global_variance FROM pool2")
 def pooled_stats(spark, d):
-    return stats.pooled(_stats(spark, d)).select("variable", r("global_mean").alias("global_mean"), by_size("global_variance").alias("global_variance"))
+    return stats.pooled(_stats(spark, d)).select("variable", r("global_mean").alias("global_mean"), r("global_variance").alias("global_variance"))
 
 
-@query(f"WITH {POOL} SELECT shot_id, variable, round(z, 6) AS z FROM z")
+@query(f"WITH {POOL} SELECT shot_id, variable, CAST(CAST(round(z, 9) AS FLOAT) AS DOUBLE) AS z FROM z")
 def shot_zscores(spark, d):
     s = _stats(spark, d)
     return stats.zscores(s, stats.pooled(s)).select("shot_id", "variable", r("z").alias("z"))
 
 
-@query(f"WITH {STAGE2} SELECT variable, round(mean, 6) AS mean, round(std, 6) AS std FROM k2")
+@query(f"WITH {STAGE2} SELECT variable, CAST(CAST(round(mean, 9) AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(round(std, 9) AS FLOAT) AS DOUBLE) AS std FROM k2")
 def pooled_stats_two_stage(spark, d):
     return stats.two_stage(_stats(spark, d), 0.05).select("variable", r("mean").alias("mean"), r("std").alias("std"))
 
@@ -148,11 +123,11 @@ def _sig(spark, d):
     return views.event_samples(spark, d)
 
 
-@query(f"""WITH {SIG}, shots AS (SELECT DISTINCT shot_id FROM sig WHERE shot_id % 3 = 0), pairs AS (SELECT shot_id, signal FROM shots, (SELECT unnest(['view', 'click', 'absent']) AS signal))
- SELECT shot_id, signal, t_idx, CASE WHEN shot_id % 5 = 0 AND signal = 'view' THEN NULL ELSE round(value, 6) END AS value FROM pairs LEFT JOIN sig USING (shot_id, signal)""")
+@query(f"""WITH {SIG}, shots AS (SELECT DISTINCT shot_id FROM sig), pairs AS (SELECT shot_id, signal FROM shots, (SELECT unnest(['view', 'click', 'absent']) AS signal))
+ SELECT shot_id, signal, t_idx, CASE WHEN shot_id % 5 = 0 AND signal = 'view' THEN NULL ELSE CAST(CAST(round(value, 9) AS FLOAT) AS DOUBLE) END AS value FROM pairs LEFT JOIN sig USING (shot_id, signal)""")
 def outlier_blanked_scan(spark, d):
     sig = _sig(spark, d)
-    shots = sig.select("shot_id").distinct().where("shot_id % 3 = 0")
+    shots = sig.select("shot_id").distinct()
     out = scans.scan(sig, shots, ["view", "click", "absent"])
     bad = shots.where("shot_id % 5 = 0").withColumn("signal", F.lit("view"))
     return clean.blank_outliers(out, bad).select("shot_id", "signal", "t_idx", r(views.scalar()).alias("value"))
@@ -166,7 +141,7 @@ def outlier_dropped_scan(spark, d):
 
 
 @query(f"""WITH {SIG}, ratings AS (SELECT shot_id, t_idx, CASE WHEN value < 20 THEN 0 ELSE 1 END AS rating FROM sig WHERE signal = 'signup' AND value IS NOT NULL AND shot_id % 4 <> 0)
- SELECT shot_id, signal, t_idx, CASE WHEN signal <> 'view' OR coalesce(rating, 0) <> 0 THEN round(value, 6) END AS value FROM sig LEFT JOIN ratings USING (shot_id, t_idx) WHERE signal IN ('view', 'click')""")
+ SELECT shot_id, signal, t_idx, CASE WHEN signal <> 'view' OR coalesce(rating, 0) <> 0 THEN CAST(CAST(round(value, 9) AS FLOAT) AS DOUBLE) END AS value FROM sig LEFT JOIN ratings USING (shot_id, t_idx) WHERE signal IN ('view', 'click')""")
 def rating_mask(spark, d):
     sig = _sig(spark, d)
     x = views.scalar()
@@ -174,13 +149,13 @@ def rating_mask(spark, d):
     return clean.mask_ratings(sig.where("signal in ('view', 'click')"), ratings, "view").select("shot_id", "signal", "t_idx", r(x).alias("value"))
 
 
-CATALOG = "cat AS (SELECT DISTINCT user_id AS shot_id, CASE WHEN event_type IN ('view', 'click') THEN 'web' ELSE 'app' END AS source, event_type AS name FROM events WHERE ts < TIMESTAMP '2024-01-08'), catalog_ AS (SELECT *, source || '-' || name AS signal FROM cat)"
+CATALOG = "cat AS (SELECT DISTINCT user_id AS shot_id, CASE WHEN event_type IN ('view', 'click') THEN 'web' ELSE 'app' END AS source, CASE WHEN value < 2 THEN event_type || '_low' ELSE event_type END AS name FROM events), catalog_ AS (SELECT *, source || '-' || name AS signal FROM cat)"
 
 
 def _catalog(spark, d):
-    ev = views.read(spark, d, "events").where("ts < timestamp_ntz '2024-01-08'")
+    ev = views.read(spark, d, "events")
     source = F.when(F.col("event_type").isin("view", "click"), "web").otherwise("app")
-    rows = ev.select(F.col("user_id").alias("shot_id"), source.alias("source"), F.col("event_type").alias("name")).distinct()
+    rows = ev.select(F.col("user_id").alias("shot_id"), source.alias("source"), F.when(F.col("value") < 2, F.concat("event_type", F.lit("_low"))).otherwise(F.col("event_type")).alias("name")).distinct()
     return rows.withColumn("signal", names.qualified(F.col("source"), F.col("name")))
 
 
@@ -199,15 +174,15 @@ def signal_exists(spark, d):
     return catalog.signals_exist(_catalog(spark, d), ["web-view", "app-view", "app-error"])
 
 
-@query(f"WITH {CATALOG} SELECT shot_id FROM catalog_ WHERE signal IN ('web-view', 'web-click', 'app-error') GROUP BY 1 HAVING count(DISTINCT signal) = 3")
+@query(f"WITH {CATALOG} SELECT shot_id FROM catalog_ WHERE signal IN ('web-view', 'web-click_low', 'app-error') GROUP BY 1 HAVING count(DISTINCT signal) = 3")
 def shots_with_all_signals(spark, d):
-    return catalog.shots_with_all(_catalog(spark, d), ["web-view", "web-click", "app-error"])
+    return catalog.shots_with_all(_catalog(spark, d), ["web-view", "web-click_low", "app-error"])
 
 
-@query(f"WITH {CATALOG} SELECT shot_id FROM catalog_ WHERE signal IN ('web-view', 'app-purchase') GROUP BY 1 HAVING count(DISTINCT signal) = 2")
+@query(f"WITH {CATALOG} SELECT shot_id FROM catalog_ WHERE signal IN ('web-view', 'app-purchase_low') GROUP BY 1 HAVING count(DISTINCT signal) = 2")
 def shots_with_all_signals_wide(spark, d):
-    wide = _catalog(spark, d).groupBy("shot_id").pivot("signal", ["web-view", "app-purchase"]).agg(F.count("name") > 0).na.fill(False)
-    return catalog.shots_with_all_wide(wide, ["web-view", "app-purchase"])
+    wide = _catalog(spark, d).groupBy("shot_id").pivot("signal", ["web-view", "app-purchase_low"]).agg(F.count("name") > 0).na.fill(False)
+    return catalog.shots_with_all_wide(wide, ["web-view", "app-purchase_low"])
 
 
 @query("SELECT DISTINCT c_custkey AS shot_id FROM customer WHERE c_custkey % 3 <> 0")
@@ -234,12 +209,12 @@ def _present(spark, d):
     return sig, sig.select("shot_id", (-F.col("shot_id")).alias("pos")).distinct()
 
 
-@query(FIRST + " SELECT signal, round(median(step), +6) AS dt FROM steps GROUP BY 1")
+@query(FIRST + " SELECT signal, round(median(step), 6) AS dt FROM steps GROUP BY 1")
 def signal_dt(spark, d):
     return stats.signal_dt(*_present(spark, d))
 
 
-@query(FIRST + " SELECT signal, shot_id, round(median(step), +6) AS dt, CAST(1 AS INTEGER) AS n_channels FROM steps GROUP BY 1, 2")
+@query(FIRST + " SELECT signal, shot_id, round(median(step), 6) AS dt, CAST(1 AS INTEGER) AS n_channels FROM steps GROUP BY 1, 2")
 def first_shot_meta(spark, d):
     return stats.first_shot_meta(*_present(spark, d))
 
@@ -259,26 +234,26 @@ def _cells(df: DataFrame, column: str = "values") -> DataFrame:
     return df.select("vec_id", F.posexplode(column).alias("c", "x")).select("vec_id", "c", r("x").alias("x"))
 
 
-@query(f"WITH {SIG}, {META} SELECT shot_id, signal, t_idx, round((value - mean) / nullif(std, 0), 6) AS value FROM sig JOIN meta USING (signal)")
+@query(f"WITH {SIG}, {META} SELECT shot_id, signal, t_idx, CAST(CAST(round((value - mean) / nullif(std, 0), 9) AS FLOAT) AS DOUBLE) AS value FROM sig JOIN meta USING (signal)")
 def standardise(spark, d):
     sig = _sig(spark, d)
     out = transforms.apply_plan(sig, views.event_meta(spark, sig), {})
     return out.select("shot_id", "signal", "t_idx", r(views.scalar()).alias("value"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, CAST(c AS INTEGER) AS c, round(CASE WHEN abs(20 * x) <= 2 THEN 20 * x END, 6) AS x FROM vecn")
+@query(f"WITH {VEC} SELECT vec_id, CAST(c AS INTEGER) AS c, CAST(CAST(round(CASE WHEN abs(20 * x) <= 2 THEN 20 * x END, 9) AS FLOAT) AS DOUBLE) AS x FROM vecn")
 def clip_to_null(spark, d):
     v = views.vectors(spark, d).withColumn("values", F.transform("values", lambda x: 20 * x))
     return _cells(v.withColumn("values", values.clip_to_null(F.col("values"))))
 
 
-@query(f"WITH {VEC} SELECT vec_id, CAST(c AS INTEGER) AS c, round(CASE WHEN vec_id % 10 = 0 THEN NULL ELSE coalesce(x, 0) END, 6) AS x FROM vecn")
+@query(f"WITH {VEC} SELECT vec_id, CAST(c AS INTEGER) AS c, CAST(CAST(round(CASE WHEN vec_id % 10 = 0 THEN NULL ELSE coalesce(x, 0) END, 9) AS FLOAT) AS DOUBLE) AS x FROM vecn")
 def zero_fill_profile(spark, d):
     v = views.vectors(spark, d).withColumn("values", F.when(F.col("vec_id") % 10 == 0, F.transform("values", lambda x: F.lit(None).cast("double"))).otherwise(F.col("values")))
     return _cells(v.withColumn("values", values.zero_fill(F.col("values"))))
 
 
-@query(f"WITH {VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1) SELECT vec_id, CAST(c AS INTEGER) AS c, round(coalesce(x, m), 6) AS x FROM vecn JOIN m USING (vec_id)")
+@query(f"WITH {VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1) SELECT vec_id, CAST(c AS INTEGER) AS c, CAST(CAST(round(coalesce(x, m), 9) AS FLOAT) AS DOUBLE) AS x FROM vecn JOIN m USING (vec_id)")
 def impute_channel_mean(spark, d):
     v = views.vectors(spark, d)
     return _cells(v.withColumn("values", values.impute_mean(F.col("values"))))
@@ -286,7 +261,7 @@ def impute_channel_mean(spark, d):
 
 @query(f"""WITH {VEC}, seen AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY c) - 1 AS k, count(*) OVER (PARTITION BY vec_id) AS n, x FROM vecn WHERE x IS NOT NULL),
  pts AS (SELECT vec_id, i, i * (n - 1) / CAST(169 AS DOUBLE) AS p FROM (SELECT DISTINCT vec_id, n FROM seen), (SELECT unnest(generate_series(0, 169)) AS i))
- SELECT vec_id, CAST(i AS INTEGER) AS c, round(a.x + (p - floor(p)) * (b.x - a.x), 6) AS x FROM pts JOIN seen a ON a.vec_id = pts.vec_id AND a.k = CAST(floor(p) AS BIGINT) JOIN seen b ON b.vec_id = pts.vec_id AND b.k = CAST(ceil(p) AS BIGINT)""".replace("SELECT vec_id, CAST(i", "SELECT pts.vec_id, CAST(i"))
+ SELECT vec_id, CAST(i AS INTEGER) AS c, CAST(CAST(round(a.x + (p - floor(p)) * (b.x - a.x), 9) AS FLOAT) AS DOUBLE) AS x FROM pts JOIN seen a ON a.vec_id = pts.vec_id AND a.k = CAST(floor(p) AS BIGINT) JOIN seen b ON b.vec_id = pts.vec_id AND b.k = CAST(ceil(p) AS BIGINT)""".replace("SELECT vec_id, CAST(i", "SELECT pts.vec_id, CAST(i"))
 def resample_170(spark, d):
     v = views.vectors(spark, d)
     return _cells(v.withColumn("values", values.resample(F.col("values"))))
@@ -294,7 +269,7 @@ def resample_170(spark, d):
 
 @query("""WITH w AS (SELECT vec_id AS shot_id, generate_subscripts(embedding, 1) - 1 AS t, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), f AS (SELECT shot_id, t // 16 AS frame, t % 16 AS n, x * (1 - cos(2 * pi() * (t % 16) / 15)) / 2 AS y FROM w),
  dft AS (SELECT shot_id, frame, k, sum(y * cos(2 * pi() * k * n / 16)) AS re, sum(y * sin(2 * pi() * k * n / 16)) AS im FROM f, (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY ALL)
- SELECT shot_id, CAST(frame AS INTEGER) AS frame, CAST(frame * 16 + 15 AS DOUBLE) AS time, CAST(k AS INTEGER) AS bin, round(re * re + im * im, 6) AS power FROM dft""")
+ SELECT shot_id, CAST(frame AS INTEGER) AS frame, CAST(frame * 16 + 15 AS DOUBLE) AS time, CAST(k AS INTEGER) AS bin, CAST(CAST(round(re * re + im * im, 9) AS FLOAT) AS DOUBLE) AS power FROM dft""")
 def stft_power(spark, d):
     out = spectra.stft(views.waves(spark, d), 16)
     return out.select("shot_id", "frame", "time", F.posexplode("power").alias("bin", "power")).withColumn("power", r("power"))
@@ -303,7 +278,7 @@ def stft_power(spark, d):
 MEMBERS = {"x_point": ["view"], "filled": ["click"], "lcfs": [], "probe": []}
 
 
-@query(f"""WITH {SIG}, {META} SELECT shot_id, signal, t_idx, round((CASE WHEN signal = 'view' AND abs(value) > 2 THEN NULL ELSE value END - mean) / nullif(std, 0), 6) AS value FROM sig JOIN meta USING (signal)""")
+@query(f"""WITH {SIG}, {META} SELECT shot_id, signal, t_idx, CAST(CAST(round((CASE WHEN signal = 'view' AND abs(value) > 2 THEN NULL ELSE value END - mean) / nullif(std, 0), 9) AS FLOAT) AS DOUBLE) AS value FROM sig JOIN meta USING (signal)""")
 def transform_plan(spark, d):
     sig = _sig(spark, d)
     out = transforms.apply_plan(sig, views.event_meta(spark, sig), MEMBERS, fill=True)
@@ -344,9 +319,8 @@ def _screen_sql(flag: str) -> str:
 SPARSE, FILLED = _screen_sql("count(value) = 0"), _screen_sql("count(value) < count(*)")
 
 
-def _packed(spark, d, task=FORECAST):
-    meta = views.event_meta(spark)
-    return windows.pack(_sig(spark, d).where(F.col("signal").isin(windows.signals_of(task["roles"], "input", "actuator", "output"))), meta)
+def _spans(spark, d):
+    return windows.shot_range(windows.shot_series(_sig(spark, d), views.event_meta(spark), windows.signals_of(ROLE_LIST, "input", "actuator", "output")), ROLE_LIST)
 
 
 def _made(spark, d, task, filled=None):
@@ -358,27 +332,27 @@ def _rows(made: DataFrame) -> DataFrame:
     return rows.select("shot_id", "window_index", "t_cut", "role", "signal", "pos", r(views.scalar("v")).alias("value"))
 
 
-ROW_SQL = " SELECT shot_id, window_index, t_cut, role, signal, pos, round(value, 6) AS value FROM win"
+ROW_SQL = " SELECT shot_id, window_index, t_cut, role, signal, pos, CAST(CAST(round(value, 9) AS FLOAT) AS DOUBLE) AS value FROM win"
 
 
 @query(f"WITH {_window_sql(FORECAST)} SELECT * FROM spans")
 def shot_time_range(spark, d):
-    return windows.shot_range(_packed(spark, d), ROLE_LIST)
+    return _spans(spark, d).select("shot_id", "start", "stop")
 
 
 @query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, t_cut FROM cuts")
 def window_cuts(spark, d):
-    return windows.cuts(windows.shot_range(_packed(spark, d), ROLE_LIST), FORECAST).select("shot_id", "window_index", "t_cut")
+    return windows.cuts(_spans(spark, d), FORECAST).select("shot_id", "window_index", "t_cut")
 
 
 @query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, n_windows FROM counts")
 def window_counts(spark, d):
-    return windows.cut_counts(windows.shot_range(_packed(spark, d), ROLE_LIST), FORECAST).select("shot_id", "n_windows")
+    return windows.cut_counts(_spans(spark, d), FORECAST).select("shot_id", "n_windows")
 
 
 @query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, count(*) AS n_windows FROM cuts GROUP BY 1")
 def windows_per_shot(spark, d):
-    return windows.windows_per_shot(windows.cuts(windows.shot_range(_packed(spark, d), ROLE_LIST), FORECAST))
+    return windows.windows_per_shot(windows.cuts(_spans(spark, d), FORECAST))
 
 
 @query(f"WITH {_window_sql(FORECAST)}" + ROW_SQL)
@@ -409,14 +383,15 @@ def window_screen_filled(spark, d):
 @query(f"""WITH {SIG}, own AS (SELECT shot_id, signal, min(t_idx) AS a, max(t_idx) AS b FROM sig WHERE value IS NOT NULL GROUP BY ALL)
  SELECT shot_id, signal, CAST(a - CASE WHEN a > 2 THEN a - 2 + 1 ELSE 0 END AS DOUBLE) AS t0, CAST(b - a + 1 + CASE WHEN a > 2 THEN a - 2 + 1 ELSE 0 END + CASE WHEN b < 27 THEN 27 - b + 1 ELSE 0 END AS INTEGER) AS n FROM own""")
 def window_pad(spark, d):
-    sig = _packed(spark, d, {"roles": [("input", s) for s in views.EVENT_SIGNALS]})
+    meta = views.event_meta(spark)
+    sig = windows.pack(_sig(spark, d), meta)
     first, last = windows.valid_ends(F.col("values"))
     own = sig.withColumn("a", first).withColumn("b", last).where("a is not null")
     own = own.select("shot_id", "signal", F.col("a").cast("double").alias("t0"), "dt", F.slice("values", F.col("a").cast("int") + 1, (F.col("b") - F.col("a") + 1).cast("int")).alias("values"))
-    return windows.pad(own, F.lit(2.0), F.lit(27.0)).select("shot_id", "signal", "t0", F.size("values").alias("n"))
+    return windows.pad(own, F.lit(2.0), F.lit(27.0), meta).select("shot_id", "signal", "t0", F.size("values").alias("n"))
 
 
-@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, signal, pos, round(last_value(value IGNORE NULLS) OVER (PARTITION BY shot_id, window_index, signal ORDER BY pos ROWS UNBOUNDED PRECEDING), 6) AS value FROM win WHERE role = 'input'")
+@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, signal, pos, CAST(CAST(round(last_value(value IGNORE NULLS) OVER (PARTITION BY shot_id, window_index, signal ORDER BY pos ROWS UNBOUNDED PRECEDING), 9) AS FLOAT) AS DOUBLE) AS value FROM win WHERE role = 'input'")
 def ffill_in_window(spark, d):
     made = _made(spark, d, FORECAST).where("role = 'input'")
     filled = baselines.forward_fill(baselines.channel(F.col("values"), 0))
@@ -431,7 +406,7 @@ PERSIST = f"""{_window_sql(AUTO_ONLY)}, {META}, {SPARSE}, pred AS (SELECT shot_i
 ERRORS = """ wm AS (SELECT shot_id, window_index, signal AS feature_name, sqrt(avg((value - p) ** 2)) AS RMSE, avg(abs(value - p)) AS MAE, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS nan_fraction FROM win JOIN fit USING (shot_id, window_index) JOIN pred USING (shot_id, window_index, signal) WHERE role = 'output' GROUP BY ALL)"""
 WM_PERSIST = f"WITH {PERSIST}, {ERRORS}"
 WM_MEAN = f"WITH {_window_sql(MEAN_ONLY)}, {META}, {SPARSE}, pred AS (SELECT DISTINCT shot_id, window_index, signal, mean AS p FROM win JOIN meta USING (signal) WHERE role = 'output'), {ERRORS}"
-WM_ROWS = " SELECT 'forecast' AS task, shot_id, window_index, feature_name, round(RMSE, 6) AS RMSE, round(MAE, 6) AS MAE, round(nan_fraction, 6) AS nan_fraction FROM wm"
+WM_ROWS = " SELECT 'forecast' AS task, shot_id, window_index, feature_name, CAST(CAST(round(RMSE, 9) AS FLOAT) AS DOUBLE) AS RMSE, CAST(CAST(round(MAE, 9) AS FLOAT) AS DOUBLE) AS MAE, CAST(CAST(round(nan_fraction, 9) AS FLOAT) AS DOUBLE) AS nan_fraction FROM wm"
 #: Two tasks of group 1 and one of group 2: persistence and mean forecasts.
 BOTH = f"""WITH a AS ({WM_PERSIST} SELECT 'persist' AS task, * FROM wm), b AS ({WM_MEAN} SELECT 'mean' AS task, * FROM wm), w AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 'late' AS task, shot_id, window_index, feature_name, RMSE, MAE, nan_fraction FROM b WHERE window_index >= 5),
  {SIG}, {META},
@@ -439,7 +414,7 @@ BOTH = f"""WITH a AS ({WM_PERSIST} SELECT 'persist' AS task, * FROM wm), b AS ({
  sm AS (SELECT shots.*, RMSE_mean / nullif(std, 0) AS NRMSE_mean, MAE_mean / nullif(std, 0) AS NMAE_mean FROM shots LEFT JOIN meta ON meta.signal = feature_name)"""
 NAMES = ["NRMSE", "NMAE", "RMSE", "MAE", "nan_fraction"]
 SPREAD_SQL = ", ".join(f"avg({m}_mean) AS {m}_mean, coalesce(stddev_pop({m}_mean), 0) AS {m}_std_pop" for m in NAMES)
-ROUND_SQL = ", ".join(f"round({m}_{s}, 6) AS {m}_{s}" for m in NAMES for s in ("mean", "std_pop"))
+ROUND_SQL = ", ".join(f"CAST(CAST(round({m}_{s}, 9) AS FLOAT) AS DOUBLE) AS {m}_{s}" for m in NAMES for s in ("mean", "std_pop"))
 REPORT = f"""{BOTH}, signals AS (SELECT task, feature_name, CAST(count(DISTINCT shot_id) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM sm GROUP BY ALL),
  ts AS (SELECT task, shot_id, {', '.join(f'avg({m}_mean) AS {m}_mean' for m in NAMES)} FROM sm GROUP BY ALL), tasks AS (SELECT task, CAST(count(*) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM ts GROUP BY ALL),
  groups AS (SELECT * FROM (VALUES ('persist', 1), ('mean', 1), ('late', 2)) v(task, group_id))"""
@@ -463,7 +438,7 @@ def _metric_rows(df: DataFrame) -> DataFrame:
 def _shots(spark, d):
     tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
     every = _persisted(spark, d).unionByName(_averaged(spark, d).withColumn("task", F.explode(tasks)))
-    return metrics.shot_metrics(every, views.event_meta(spark, _sig(spark, d))).persist()  # small: a few rows per shot; reports read it twice
+    return workspace.keep(metrics.shot_metrics(every, views.event_meta(spark, _sig(spark, d))))  # a few rows per shot, which reports read twice
 
 
 def _groups(spark):
@@ -484,7 +459,7 @@ def window_metrics_mean(spark, d):
     return _metric_rows(_averaged(spark, d))
 
 
-@query(BOTH + " SELECT task, shot_id, feature_name, n_windows, " + ", ".join(f"round({m}_mean, 6) AS {m}_mean" for m in NAMES) + " FROM sm")
+@query(BOTH + " SELECT task, shot_id, feature_name, n_windows, " + ", ".join(f"CAST(CAST(round({m}_mean, 9) AS FLOAT) AS DOUBLE) AS {m}_mean" for m in NAMES) + " FROM sm")
 def shot_metrics(spark, d):
     return _shots(spark, d).select("task", "shot_id", "feature_name", "n_windows", *(r(f"{m}_mean").alias(f"{m}_mean") for m in NAMES))
 
@@ -494,7 +469,7 @@ def signal_metrics(spark, d):
     return _rounded(metrics.signal_metrics(_shots(spark, d)), "task", "feature_name", "n_shots")
 
 
-@query(REPORT + " SELECT task, shot_id, " + ", ".join(f"round({m}_mean, 6) AS {m}_mean" for m in NAMES) + " FROM ts")
+@query(REPORT + " SELECT task, shot_id, " + ", ".join(f"CAST(CAST(round({m}_mean, 9) AS FLOAT) AS DOUBLE) AS {m}_mean" for m in NAMES) + " FROM ts")
 def task_shot_metrics(spark, d):
     return metrics.task_shot_metrics(_shots(spark, d)).select("task", "shot_id", *(r(f"{m}_mean").alias(f"{m}_mean") for m in NAMES))
 
@@ -545,7 +520,7 @@ def split_temporal(spark, d):
     return splits.split_temporal(views.order_shots(spark, d))
 
 
-@query(f"WITH {ORDER} SELECT split, count(DISTINCT shot_id) AS n_shots, round(count(DISTINCT shot_id) / CAST(any_value(n) AS DOUBLE), +6) AS fraction FROM split JOIN ord USING (shot_id) GROUP BY 1")
+@query(f"WITH {ORDER} SELECT split, count(DISTINCT shot_id) AS n_shots, round(count(DISTINCT shot_id) / CAST(any_value(n) AS DOUBLE), 6) AS fraction FROM split JOIN ord USING (shot_id) GROUP BY 1")
 def split_fractions(spark, d):
     return splits.split_fractions(_split(spark, d))
 
@@ -560,7 +535,7 @@ SHUFFLED = f"WITH {_window_sql(FORECAST)}, sh AS (SELECT shot_id, window_index,
 
 
 def _cut(spark, d):
-    return windows.cuts(windows.shot_range(_packed(spark, d), ROLE_LIST), FORECAST)
+    return windows.cuts(_spans(spark, d), FORECAST)
 
 
 @query(SHUFFLED + " SELECT * FROM sh")
@@ -581,12 +556,12 @@ def window_batches(spark, d):
     return out.select("batch_id", "role", "signal", F.size(flat).cast("long").alias("n_values"), F.size(F.filter(flat, lambda x: x.isNotNull())).cast("long").alias("n_present"))
 
 
-@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, role, signal, round(CAST(sum(CAST(value AS FLOAT)) AS DOUBLE), 3) AS total FROM win GROUP BY ALL")
+@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, role, signal, CAST(CAST(round(CAST(sum(CAST(CAST(value AS FLOAT) AS DOUBLE)) AS DOUBLE), 9) AS FLOAT) AS DOUBLE) AS total FROM win GROUP BY ALL")
 def windows_float32(spark, d):
     made = batching.float32(_made(spark, d, FORECAST))
     seen = F.filter(F.flatten("values"), lambda x: x.isNotNull())
     total = F.when(F.size(seen) > 0, F.aggregate(seen, F.lit(0.0), lambda a, x: a + x))
-    return made.select("shot_id", "window_index", "role", "signal", F.round(total, 3).alias("total"))
+    return made.select("shot_id", "window_index", "role", "signal", r(total).alias("total"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -643,7 +618,7 @@ def source_profile(spark, d):
     return scans.source_profiles(_catalog(spark, d), "web").select("shot_id", "signal")
 
 
-@query(f"WITH {SIG} SELECT shot_id, t_idx, round(value, 6) AS value FROM sig WHERE signal = 'error'")
+@query(f"WITH {SIG} SELECT shot_id, t_idx, CAST(CAST(round(value, 9) AS FLOAT) AS DOUBLE) AS value FROM sig WHERE signal = 'error'")
 def signal_values(spark, d):
     return scans.signal_values(_sig(spark, d), "error").select("shot_id", "t_idx", r(views.scalar()).alias("value"))
 
@@ -671,7 +646,7 @@ def window_chosen_signals(spark, d):
     return baselines.choose(_made(spark, d, AUTO), chosen).groupBy("role", "signal").agg(F.sum(F.size("values")).alias("n_values"))
 
 
-@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, signal, round(sum(value), 4) AS total FROM win WHERE role = 'input' GROUP BY ALL HAVING count(value) >= 2")
+@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, signal, CAST(CAST(round(sum(value), 9) AS FLOAT) AS DOUBLE) AS total FROM win WHERE role = 'input' GROUP BY ALL HAVING count(value) >= 2")
 def window_hook(spark, d):
     def total(pdf):
         flat = [[x for v in rows for x in v if x is not None and x == x] for rows in pdf["values"]]
@@ -680,10 +655,10 @@ def window_hook(spark, d):
 
     made = _made(spark, d, FORECAST).where("role = 'input'").select("shot_id", "window_index", "signal", "values")
     out = hooks.map_windows(made, total, "shot_id long, window_index int, signal string, total double")
-    return windows.drop_missing(out, "total").withColumn("total", r("total", 4))
+    return windows.drop_missing(out, "total").withColumn("total", r("total"))
 
 
-@query(f"WITH {SIG} SELECT shot_id, signal, t_idx, round(CASE signal WHEN 'view' THEN 2 * value WHEN 'click' THEN CASE WHEN abs(value) <= 10 THEN value END ELSE value END, 6) AS value FROM sig")
+@query(f"WITH {SIG} SELECT shot_id, signal, t_idx, CAST(CAST(round(CASE signal WHEN 'view' THEN 2 * value WHEN 'click' THEN CASE WHEN abs(value) <= 10 THEN value END ELSE value END, 9) AS FLOAT) AS DOUBLE) AS value FROM sig")
 def signal_hook(spark, d):
     out = hooks.map_signals(_sig(spark, d), {"view": lambda v: F.transform(v, lambda x: 2 * x), "click": lambda v: values.clip_to_null(v, 10.0)})
     return out.select("shot_id", "signal", "t_idx", r(views.scalar()).alias("value"))
@@ -712,12 +687,12 @@ def summary_from_shots_csv(spark, d):
     return _rounded(metrics.summary("shots", tables.read_metrics(spark, path, "shots")), "task", "n_shots")
 
 
-@query(f"WITH {STATS} SELECT variable, count(*) AS n, round(sum(mean), 2) AS total FROM stats GROUP BY 1")
+@query(f"WITH {STATS} SELECT variable, count(*) AS n, CAST(CAST(round(sum(mean), 9) AS FLOAT) AS DOUBLE) AS total FROM stats GROUP BY 1")
 def shot_stats_csv(spark, d):
     path = workspace.folder(spark)
-    tables.write_csv(_stats(spark, d), path)
+    tables.write_csv(_stats(spark, d, True), path)
     back = spark.read.option("header", True).csv(path)
-    return back.groupBy("variable").agg(F.count("*").alias("n"), F.round(F.sum(names.number(F.col("mean"))), 2).alias("total"))
+    return back.groupBy("variable").agg(F.count("*").alias("n"), r(F.sum(names.number(F.col("mean")))).alias("total"))
 
 
 @query(f"WITH {ORDER} SELECT split, count(*) AS n FROM split GROUP BY 1")
@@ -749,54 +724,60 @@ def first_windows(spark, d):
     return batching.first_windows(_made(spark, d, FORECAST), 2).select("shot_id", "window_index", "signal")
 
 
-@query("SELECT o_orderkey AS shot_id, o_orderpriority AS priority FROM orders")
+@query("SELECT o_orderkey AS shot_id, o_orderpriority AS priority, md5(o_orderkey || '-0-42') AS key, true AS in_order FROM orders")
 def window_partition_order(spark, d):
+    """Each partition's rows as they lie: no row's key is less than that of the row before it."""
     rows = views.read(spark, d, "orders").select(F.col("o_orderkey").alias("shot_id"), F.lit(0).alias("window_index"), F.col("o_orderpriority").alias("priority"))
-    return batching.per_partition_order(rows).select("shot_id", "priority")
+    placed = batching.per_partition_order(rows).select("shot_id", "priority", splits.seeded(F.concat_ws("-", "shot_id", "window_index"), 42).alias("key"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("at"))
+    before = F.lag("key").over(Window.partitionBy("p").orderBy("at"))
+    return placed.select("shot_id", "priority", "key", F.coalesce(F.col("key") >= before, F.lit(True)).alias("in_order"))
 
 
-@query(WM_PERSIST + " SELECT 'persist' AS task, shot_id, feature_name, count(RMSE) AS n, round(sqrt(avg(RMSE ** 2)), 6) AS RMSE_mean, round(avg(MAE), 6) AS MAE_mean, round(avg(nan_fraction), 6) AS nan_fraction_mean FROM wm WHERE RMSE IS NOT NULL AND MAE IS NOT NULL GROUP BY ALL")
+@query(WM_PERSIST + " SELECT 'persist' AS task, shot_id, feature_name, count(RMSE) AS n, CAST(CAST(round(sqrt(avg(RMSE ** 2)), 9) AS FLOAT) AS DOUBLE) AS RMSE_mean, CAST(CAST(round(avg(MAE), 9) AS FLOAT) AS DOUBLE) AS MAE_mean, CAST(CAST(round(avg(nan_fraction), 9) AS FLOAT) AS DOUBLE) AS nan_fraction_mean FROM wm WHERE RMSE IS NOT NULL AND MAE IS NOT NULL GROUP BY ALL")
 def stream_metric_rollup(spark, d):
     source, out, mark = (workspace.folder(spark) for _ in range(3))
     batch = _persisted(spark, d)
     batch.write.parquet(source)
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    live.latest_to(live.running_metrics(stream), out, mark).awaitTermination()
-    done = live.finish(spark.read.parquet(out))
+    live.updates_to(live.running_metrics(stream), out, mark).awaitTermination()
+    done = live.finish(live.compact(spark, out, ["task", "shot_id", "feature_name"], workspace.folder(spark)))
     return done.select("task", "shot_id", "feature_name", "n", *(r(c).alias(c) for c in ("RMSE_mean", "MAE_mean", "nan_fraction_mean")))
 
 
-def _event_stream(spark, d):
+def _event_stream(spark, d, close=False):
+    """The events as a stream of files; with ``close`` a last one far in the future, which lets the watermark pass the rest."""
     source = workspace.folder(spark)
     rows = views.read(spark, d, "events").select(F.col("user_id").alias("shot_id"), F.col("event_type").alias("signal"), "ts", "value")
     rows.write.parquet(source)
-    return spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    if close:
+        rows.limit(1).select(F.lit(-1).cast("long").alias("shot_id"), "signal", F.lit("2100-01-01").cast("timestamp_ntz").alias("ts"), "value").write.mode("append").parquet(source)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
 
 
-@query("SELECT user_id AS shot_id, event_type AS signal, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+@query("SELECT user_id AS shot_id, event_type AS signal, count(*) AS n, CAST(CAST(round(sum(value), 9) AS FLOAT) AS DOUBLE) AS total FROM events GROUP BY ALL")
 def stream_append(spark, d):
     out, mark = workspace.folder(spark), workspace.folder(spark)
     live.append_to(_event_stream(spark, d), out, mark).awaitTermination()
-    return spark.read.parquet(out).groupBy("shot_id", "signal").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return spark.read.parquet(out).groupBy("shot_id", "signal").agg(F.count("*").alias("n"), r(F.sum("value")).alias("total"))
 
 
-@query("""SELECT user_id AS shot_id, event_type AS signal, CAST(ts AS DATE) - CAST(k AS INTEGER) AS start, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high
+@query("""SELECT user_id AS shot_id, event_type AS signal, CAST(ts AS DATE) - CAST(k AS INTEGER) AS start, count(value) AS n, CAST(CAST(round(avg(value), 9) AS FLOAT) AS DOUBLE) AS mean, min(value) AS low, max(value) AS high
  FROM events, (SELECT unnest(generate_series(0, 2)) AS k) GROUP BY ALL""")
 def stream_sliding(spark, d):
     out, mark = workspace.folder(spark), workspace.folder(spark)
-    live.latest_to(live.sliding(_event_stream(spark, d), "3 days", "1 day", "40 days"), out, mark).awaitTermination()
+    live.append_to(live.sliding(_event_stream(spark, d, close=True), "3 days", "1 day", "40 days"), out, mark).awaitTermination()
     return spark.read.parquet(out).select("shot_id", "signal", F.to_date("start").alias("start"), "n", r("mean").alias("mean"), "low", "high")
 
 
 # ---------------------------------------------------------------- roles and dimensions from the data
 
-ROLES = """seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS task, CASE WHEN ts < TIMESTAMP '2024-01-06' THEN 'input' ELSE 'output' END AS role, event_type AS signal FROM events WHERE ts < TIMESTAMP '2024-01-11'),
+ROLES = """seen AS (SELECT DISTINCT CAST(user_id AS VARCHAR) AS task, CASE WHEN ts < TIMESTAMP '2024-01-06' THEN 'input' ELSE 'output' END AS role, event_type AS signal FROM events),
  roles AS (SELECT *, CAST(row_number() OVER (PARTITION BY task, role ORDER BY signal) - 1 AS INTEGER) AS pos FROM seen)"""
 
 
 def _roles(spark, d):
-    """Each user as a task: what they do in the first five days are inputs, in the next five outputs."""
-    ev = views.read(spark, d, "events").where("ts < timestamp_ntz '2024-01-11'")
+    """Each user as a task: what they do in the first five days are inputs, what they do later outputs."""
+    ev = views.read(spark, d, "events")
     role = F.when(F.col("ts") < F.lit("2024-01-06").cast("timestamp_ntz"), "input").otherwise("output")
     rows = ev.groupBy(F.col("user_id").cast("string").alias("task"), role.alias("role")).agg(F.array_sort(F.collect_set("event_type")).alias("signals"))
     return rows.select("task", "role", F.posexplode("signals").alias("pos", "signal"))
@@ -827,9 +808,9 @@ def task_window_lengths(spark, d):
     return windows.window_lengths(rows, every, views.event_meta(spark)).select("task", "role", "signal", "length_s", "length_n")
 
 
-@query(f"WITH {CATALOG} SELECT shot_id, signal FROM (SELECT DISTINCT shot_id FROM catalog_), (SELECT unnest(['web-view', 'app-error', 'app-none']) AS signal) EXCEPT SELECT shot_id, signal FROM catalog_")
+@query(f"WITH {CATALOG} SELECT shot_id, signal FROM (SELECT DISTINCT shot_id FROM catalog_), (SELECT unnest(['web-view', 'app-error_low', 'app-none']) AS signal) EXCEPT SELECT shot_id, signal FROM catalog_")
 def missing_signals(spark, d):
-    return catalog.missing_pairs(_catalog(spark, d), ["web-view", "app-error", "app-none"])
+    return catalog.missing_pairs(_catalog(spark, d), ["web-view", "app-error_low", "app-none"])
 
 
 @query("SELECT CAST(row_number() OVER (ORDER BY l_linenumber) - 1 AS INTEGER) AS channel_idx, 'line ' || l_linenumber AS channel_name FROM (SELECT DISTINCT l_linenumber FROM lineitem WHERE l_returnflag = 'R')")
@@ -849,3 +830,151 @@ def time_axis(spark, d):
 def shot_stats_head(spark, d):
     return _stats(spark, d).orderBy("shot_id", "variable").select("shot_id", "variable", "n_dim_shot").limit(50)
 
+
+# ---------------------------------------------------------------- several channels
+
+CHANNEL_ROLES = [("input", "wide"), ("input", "pair"), ("actuator", "trio"), ("output", "wide"), ("output", "pair")]
+CHANNEL_TASK = {"task_type": "markovian", "input_length": 2.0, "output_length": 1.0, "delta": 0.0, "stride": 1.0, "roles": CHANNEL_ROLES}
+CHANNEL_MEAN = CHANNEL_TASK | {"roles": [("input", "wide"), ("output", "wide"), ("output", "pair")]}
+CHANNEL_AUTO = evaluation.autoregressive_task(CHANNEL_TASK)
+SHAPES = ", ".join(f"('{s}', {lo}, {n}, {dt})" for s, (lo, n, dt) in views.CHANNELS.items())
+
+
+def _channel_sql(task: dict, test_mode: bool) -> str:
+    """CTEs of the channel samples and of a task's windows (one row per window, time and channel)."""
+    roles = ", ".join(f"('{a}', '{s}')" for a, s in task["roles"])
+    read = ", ".join(f"'{s}'" for a, s in task["roles"] if a != "output")
+    told = ", ".join(f"'{s}'" for a, s in task["roles"] if a == "output")
+    lacking = f"AND shot_id IN (SELECT shot_id FROM cells WHERE signal IN ({told}) GROUP BY 1 HAVING count(DISTINCT signal) = (SELECT count(DISTINCT s) FROM (SELECT unnest([{told}]) AS s)))" if test_mode else ""
+    return f"""shapes AS (SELECT * FROM (VALUES {SHAPES}) v(signal, first, width, dt)),
+ vec AS (SELECT CAST(label AS BIGINT) AS shot_id, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings),
+ rows AS (SELECT shot_id, vec_id, k, signal, dt, first, width, k // CAST(dt / 0.5 AS BIGINT) AS t_idx, embedding FROM vec, shapes WHERE k % CAST(dt / 0.5 AS BIGINT) = 0 AND NOT (signal = 'trio' AND shot_id % 3 = 0)),
+ cells AS (SELECT shot_id, signal, t_idx, t_idx * dt AS time, c, CASE WHEN (vec_id + c) % 4 <> 0 THEN CAST(embedding[first + c + 1] AS DOUBLE) END AS x FROM rows, (SELECT unnest(generate_series(0, 3)) AS c) WHERE c < width),
+ lens AS (SELECT shot_id, signal, max(t_idx) + 1 AS n FROM cells GROUP BY ALL),
+ meta AS (SELECT signal, avg(x) AS mean, stddev_pop(x) AS std FROM cells GROUP BY 1), roles AS (SELECT * FROM (VALUES {roles}) v(role, signal)),
+ spans AS (SELECT shot_id, min(CASE WHEN signal IN ({read}) THEN time END) AS start, max(CASE WHEN signal IN ({told}) THEN time END) AS stop FROM cells WHERE x IS NOT NULL {lacking} GROUP BY 1 HAVING start IS NOT NULL AND stop IS NOT NULL),
+ cuts AS (SELECT shot_id, CAST(window_index AS INTEGER) AS window_index, CAST(start + 2.0 + window_index AS DOUBLE) AS t_cut FROM (SELECT *, unnest(generate_series(0, CAST(greatest(0, ceil(stop - 1.0 - (start + 2.0))) AS BIGINT) - 1)) AS window_index FROM spans)),
+ edges AS (SELECT *, CAST(round_even(t_cut / dt, 0) AS BIGINT) AS e, CAST(round_even(2.0 / dt, 0) AS BIGINT) AS n_in, CAST(round_even(1.0 / dt, 0) AS BIGINT) AS n_out FROM cuts, roles JOIN shapes USING (signal)),
+ ranges AS (SELECT *, CASE role WHEN 'output' THEN e ELSE e - n_in END AS lo, CASE role WHEN 'input' THEN e ELSE e + n_out END AS hi FROM edges),
+ idx AS (SELECT *, unnest(generate_series(lo, hi - 1)) AS i FROM ranges),
+ win AS (SELECT idx.shot_id, window_index, t_cut, role, idx.signal, CAST(i - lo AS INTEGER) AS pos, CAST(ch.c AS INTEGER) AS c, x AS value FROM idx JOIN (SELECT unnest(generate_series(0, 3)) AS c) ch ON ch.c < width LEFT JOIN lens ON lens.shot_id = idx.shot_id AND lens.signal = idx.signal
+  LEFT JOIN cells ON cells.shot_id = idx.shot_id AND cells.signal = idx.signal AND cells.c = ch.c AND cells.t_idx = least(greatest(i, 0), n - 1))"""
+
+
+def _channels(spark, d):
+    return views.channel_samples(spark, d), views.channel_meta(spark, d)
+
+
+CHANNEL_ERRORS = f"""{SPARSE}, wm AS (SELECT win.shot_id, win.window_index, win.signal AS feature_name, sqrt(avg((value - p) ** 2)) AS RMSE, avg(abs(value - p)) AS MAE, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS nan_fraction
+ FROM win JOIN fit USING (shot_id, window_index) JOIN pred ON pred.shot_id = win.shot_id AND pred.window_index = win.window_index AND pred.signal = win.signal AND pred.c = win.c WHERE role = 'output' GROUP BY ALL)"""
+
+
+@query(f"WITH {_channel_sql(CHANNEL_TASK, False)} SELECT shot_id, window_index, t_cut, role, signal, pos, c, CAST(CAST(round(value, 9) AS FLOAT) AS DOUBLE) AS value FROM win")
+def channel_windows(spark, d):
+    made = evaluation.make_windows(*_channels(spark, d), CHANNEL_TASK)
+    rows = made.select("shot_id", "window_index", "t_cut", "role", "signal", F.posexplode("values").alias("pos", "v"))
+    return rows.select("shot_id", "window_index", "t_cut", "role", "signal", "pos", F.posexplode("v").alias("c", "value")).withColumn("value", r("value"))
+
+
+@query(f"WITH {_channel_sql(CHANNEL_AUTO, True)}, pred AS (SELECT shot_id, window_index, signal, c, coalesce(arg_max(value, pos) FILTER (value IS NOT NULL), any_value(mean)) AS p FROM win JOIN meta USING (signal) WHERE role = 'input' GROUP BY ALL), {CHANNEL_ERRORS}" + WM_ROWS)
+def channel_metrics_persistence(spark, d):
+    return _metric_rows(evaluation.evaluate(*_channels(spark, d), "channels", CHANNEL_AUTO, evaluation.persist))
+
+
+@query(f"WITH {_channel_sql(CHANNEL_MEAN, True)}, pred AS (SELECT DISTINCT shot_id, window_index, signal, c, mean AS p FROM win JOIN meta USING (signal) WHERE role = 'output'), {CHANNEL_ERRORS}" + WM_ROWS)
+def channel_metrics_mean(spark, d):
+    return _metric_rows(evaluation.evaluate(*_channels(spark, d), "channels", CHANNEL_MEAN, evaluation.mean))
+
+
+@query(f"WITH {_channel_sql(CHANNEL_TASK, True)}, {SPARSE} SELECT shot_id, window_index, role, signal, CASE WHEN have THEN lo END AS lo, CASE WHEN have THEN hi END AS hi FROM (SELECT *, NOT (signal = 'trio' AND shot_id % 3 = 0) AS have FROM ranges) JOIN fit USING (shot_id, window_index)")
+def channel_window_ranges(spark, d):
+    """Windows as index ranges; a signal that the shot lacks has none."""
+    out = evaluation.window_ranges(*_channels(spark, d), CHANNEL_TASK, False)
+    return out.select("shot_id", "window_index", "role", "signal", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
+
+
+# ---------------------------------------------------------------- sinks, dimensions and plans on whole tables
+
+
+@query(f"WITH {_window_sql(FORECAST)}, {SPARSE}, odd AS (SELECT DISTINCT shot_id FROM sig WHERE shot_id % 3 <> 0) SELECT shot_id, window_index FROM fit SEMI JOIN odd USING (shot_id)")
+def windows_test_mode(spark, d):
+    """Shots that lack the samples of an output give no windows in test mode."""
+    sig = _sig(spark, d).where("not (shot_id % 3 = 0 and signal = 'error')")
+    return evaluation.window_ranges(sig, views.event_meta(spark), FORECAST, False).select("shot_id", "window_index").distinct()
+
+
+@query(REPORT + """, joined AS (SELECT * FROM tasks JOIN groups USING (task)) SELECT 'windows' AS level, count(*) AS n FROM w UNION ALL SELECT 'shots', count(*) FROM sm UNION ALL SELECT 'signals', count(*) FROM signals
+ UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'groups', (SELECT count(*) FROM joined) + (SELECT count(DISTINCT group_id) FROM joined)""")
+def metric_levels_csv(spark, d):
+    tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
+    every = _persisted(spark, d).unionByName(_averaged(spark, d).withColumn("task", F.explode(tasks)))
+    paths = tables.write_levels(every, views.event_meta(spark, _sig(spark, d)), _groups(spark), workspace.folder(spark))
+    parts = [spark.read.option("header", True).csv(path).agg(F.lit(level).alias("level"), F.count("*").alias("n")) for level, path in paths.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"WITH {SIG}, {META} SELECT signal, 1.0::DOUBLE AS dt, CAST(CAST(round(mean, 9) AS FLOAT) AS DOUBLE) AS mean, CAST(CAST(round(std, 9) AS FLOAT) AS DOUBLE) AS std FROM meta")
+def yaml_signal_meta(spark, d):
+    path = workspace.folder(spark)
+    tables.write_mapping(views.event_meta(spark, _sig(spark, d)), "signal", path)
+    return tables.signal_meta(spark, tables.read_mapping(spark, path)).select("signal", "dt", r("mean").alias("mean"), r("std").alias("std"))
+
+
+@query(f"WITH {ZOUT} SELECT shot_id, signal FROM zout")
+def yaml_outliers(spark, d):
+    path = workspace.folder(spark)
+    lists = stats.outlier_list(_zout(spark, d)).select("shot_id", F.col("signals").alias("list"))
+    tables.write_mapping(lists, "shot_id", path)
+    return tables.outlier_pairs(spark, {k: v["list"] for k, v in tables.read_mapping(spark, path).items()})
+
+
+@query(f"WITH {ORDER} SELECT shot_id, time FROM split WHERE split = 'val'")
+def split_members(spark, d):
+    return splits.members(views.order_shots(spark, d), _split(spark, d), "val")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS task, CAST(user_id % 4 + 1 AS INTEGER) AS group_id, CASE WHEN user_id % 4 > 1 THEN 'non_markovian' ELSE 'markovian' END AS task_type, CAST(count(DISTINCT event_type) AS DOUBLE) AS input_length FROM events GROUP BY user_id")
+def task_catalogue(spark, d):
+    ev = views.read(spark, d, "events").groupBy("user_id").agg(F.count_distinct("event_type").cast("double").alias("input_length"))
+    rows = ev.select(
+        F.col("user_id").cast("string").alias("task"), (F.col("user_id") % 4 + 1).cast("int").alias("group_id"), F.when(F.col("user_id") % 4 > 1, "non_markovian").otherwise("markovian").alias("task_type"),
+        "input_length", F.lit(1.0).alias("output_length"), F.lit(0.0).alias("delta"), F.lit(1.0).alias("stride"),
+    )
+    return profiling.task_catalogue(rows).select("task", "group_id", "task_type", "input_length")
+
+
+@query(f"WITH {VEC} SELECT vec_id, CAST(c AS INTEGER) AS c, CAST(CAST(round(CASE WHEN vec_id % 10 = 0 THEN NULL WHEN abs(20 * x) <= 2 THEN 20 * x ELSE 0 END, 9) AS FLOAT) AS DOUBLE) AS x FROM vecn WHERE vec_id % 10 <> 0")
+def compose_transform(spark, d):
+    """Steps in order; a vector that the first step turns into NULL stays NULL."""
+    steps = values.compose(lambda v: F.when(F.col("vec_id") % 10 != 0, F.transform(v, lambda x: 20 * x)), values.clip_to_null, lambda v: F.transform(v, lambda x: F.coalesce(x, F.lit(0.0))))
+    return _cells(views.vectors(spark, d).withColumn("values", steps(F.col("values"))))
+
+
+@query("""WITH w AS (SELECT vec_id AS shot_id, generate_subscripts(embedding, 1) - 1 AS t, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), f AS (SELECT shot_id, t // 16 AS frame, t % 16 AS n, x * (1 - cos(2 * pi() * (t % 16) / 15)) / 2 AS y FROM w),
+ dft AS (SELECT shot_id, frame, k, sum(y * cos(2 * pi() * k * n / 16)) AS re, sum(y * sin(2 * pi() * k * n / 16)) AS im FROM f, (SELECT unnest(generate_series(0, 7)) AS k) GROUP BY ALL), p AS (SELECT *, re * re + im * im AS power FROM dft),
+ m AS (SELECT avg(power) AS mean, stddev_pop(power) AS std FROM p) SELECT shot_id, CAST(frame AS INTEGER) AS frame, CAST(k AS INTEGER) AS bin, round((power - mean) / std, 5) AS x FROM p, m""")
+def stft_plan(spark, d):
+    """Spectra inside the transform plan: made first, then standardised with statistics of spectrum space."""
+    waves, members = views.waves(spark, d), {"probe": ["wave"]}
+    spectrum = workspace.keep(transforms.apply_spectra(waves, None, members, scale=False, support=16))
+    meta = spectrum.select("signal", F.explode("values").alias("x")).groupBy("signal").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"))
+    out = transforms.apply_spectra(waves, meta, members, support=16)
+    return out.select("shot_id", "frame", F.posexplode("values").alias("bin", "x")).withColumn("x", F.round("x", 5))
+
+
+@query(f"WITH {VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1) SELECT vecn.shot_id, CAST(vec_id AS INTEGER) AS t_idx, CAST(c AS INTEGER) AS c, CAST(CAST(round(coalesce(x, m), 9) AS FLOAT) AS DOUBLE) AS x FROM vecn JOIN m USING (vec_id)")
+def pca_stack(spark, d):
+    return pca.stack(views.vectors(spark, d)).select("shot_id", "t_idx", F.posexplode("values").alias("c", "x")).withColumn("x", r("x"))
+
+
+@query(f"WITH {VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1) SELECT vecn.shot_id, CAST(vec_id AS INTEGER) AS t_idx, CAST(c AS INTEGER) AS c, round(coalesce(x, m), 4) AS x FROM vecn JOIN m USING (vec_id)")
+def pca_round_trip(spark, d):
+    """All components together restore the rows."""
+    back = pca.reconstruct(pca.stack(views.vectors(spark, d)), 64)
+    return back.select("shot_id", "t_idx", F.posexplode("restored").alias("c", "x")).withColumn("x", F.round("x", 4))
+
+
+@query(f"WITH {VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1), full_ AS (SELECT vec_id, c, coalesce(x, m) AS x FROM vecn JOIN m USING (vec_id)) SELECT round(sum(v), 6) AS trace, 64::BIGINT AS components, 1.0::DOUBLE AS ratio FROM (SELECT c, var_samp(x) AS v FROM full_ GROUP BY 1)")
+def pca_trace(spark, d):
+    """The variances of all components add up to those of the channels."""
+    return pca.trace(pca.stack(views.vectors(spark, d)), 64).select(F.round("trace", 6).alias("trace"), "components", F.round("ratio", 6).alias("ratio"))

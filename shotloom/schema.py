@@ -1,12 +1,6 @@
-"""Table schemas of the library, as DDL strings."""
+"""Table schemas of the library, as DDL strings, and the names of its metrics."""
 
-SAMPLES = "shot_id long, signal string, t_idx int, time double, values array<double>"
 SIGNAL_META = "signal string, dt double, values_shape array<int>, mean double, std double"
-OUTLIERS = "shot_id long, signal string"
-SPLITS = "shot_id long, train boolean, val boolean, test boolean"
-SHOT_STATS = "shot_idx int, shot_id long, variable string, n_dim_shot long, n_nans_shot long, mean double, variance double, min double, max double, median double"
 TASKS = "task string, group_id int, task_type string, input_length double, output_length double, delta double, stride double"
 TASK_SIGNALS = "task string, role string, pos int, signal string"
-WINDOW_METRICS = "task string, shot_id long, window_index int, feature_name string, RMSE double, MAE double, nan_fraction double"
 METRICS = ["NRMSE", "NMAE", "RMSE", "MAE", "nan_fraction"]
-TASK_METRICS = "task string, feature_name string, n_shots double, " + ", ".join(f"{m}_mean double, {m}_std_pop double" for m in METRICS)

@@ -10,6 +10,7 @@ from shotloom.functions import names, values
 from shotloom.operators import baselines, batching, clean, metrics, pca, profiling, spectra, splits, stats, windows
 from shotloom.plans import evaluation, hooks, tasks, transforms
 from shotloom.sources import catalog, samples, tables
+from shotloom.streaming import live
 
 NAN = float("nan")
 
@@ -106,13 +107,14 @@ def made(spark, task=TASK, **how):
 
 
 def test_range_and_cuts(spark):
-    packed = windows.pack(*series(spark))
-    span = windows.shot_range(packed, TASK["roles"])
-    assert tuple(span.first()) == (1, 1.0, 8.0)
+    data, meta = series(spark)
+    shots = windows.shot_series(data, meta, ["x", "y"])
+    span = windows.shot_range(shots, TASK["roles"])
+    assert tuple(span.select("shot_id", "start", "stop").first()) == (1, 1.0, 8.0)
     assert [(r.window_index, r.t_cut) for r in windows.cuts(span, TASK).orderBy("window_index").collect()] == [(0, 4.0), (1, 5.0)]
     assert windows.cuts(span, TASK | {"input_length": 5.0, "output_length": 3.0}).count() == 0
-    assert windows.require_outputs(span, packed, TASK["roles"]).count() == 1
-    assert windows.require_outputs(span, packed, [("output", "y"), ("output", "q")]).count() == 0
+    assert windows.shot_range(shots, TASK["roles"], every_output=True).count() == 1
+    assert windows.shot_range(shots, [*TASK["roles"], ("output", "q")], every_output=True).count() == 0
 
 
 def test_windows(spark):
@@ -130,27 +132,34 @@ def test_missing_signal_has_nominal_length(spark):
 
 
 def test_clipping(spark):
-    packed = windows.pack(*series(spark))
-    cut = spark.createDataFrame([(1, 0.0, 0, 2.0)], "shot_id long, start double, window_index int, t_cut double")
-    out = windows.slices(packed, [("input", "y")], cut, TASK, series(spark)[1]).first()
+    data, meta = series(spark)
+    fit = windows.shot_series(data, meta, ["y"]).select("shot_id", "series", F.lit(0.0).alias("start"), F.lit(2.0).alias("first_cut"), F.array(F.lit(0)).alias("windows"))
+    out = windows.slices(fit, [("input", "y")], TASK, meta).first()
     assert [v[0] for v in out["values"]] == [0, 0, 1]
     assert out["time"] == [0, 0, 1]
 
 
-def test_unpack_is_the_inverse(spark):
-    data, meta = series(spark)
-    assert sorted(windows.unpack(windows.pack(data, meta)).select(data.columns).collect()) == sorted(data.collect())
-
-
 def test_pad(spark):
     df = spark.createDataFrame([(1, "s", 2.0, 1.0, [[2.0], [3.0], [4.0]])], "shot_id long, signal string, t0 double, dt double, values array<array<double>>")
-    out = windows.pad(df, F.lit(0.5), F.lit(5.0)).first()
+    meta = spark.createDataFrame([("s", [1])], "signal string, values_shape array<int>")
+    out = windows.pad(df, F.lit(0.5), F.lit(5.0), meta).first()
     assert out.t0 == -1.0 and [v[0] for v in out["values"]] == [None, None, None, 2, 3, 4, None, None]
 
 
 def screens(spark, rows, filled=False):
-    df = spark.createDataFrame([(1, 0, role, s, v) for role, s, v in rows], "shot_id long, window_index int, role string, signal string, values array<array<double>>")
-    return windows.screen(df, filled).count() > 0
+    """Whether the one window of two input samples and two output samples is fit; slices as (role, signal, values)."""
+    samples = [(1, s, i + (0 if role != "output" else 2), float(i + (0 if role != "output" else 2)), v) for role, s, vs in rows for i, v in enumerate(vs)]
+    samples += [(1, "z", 0, 0.0, [1.0]), (1, "z", 5, 5.0, [1.0])]  # spans the shot
+    data = spark.createDataFrame(samples, "shot_id long, signal string, t_idx int, time double, values array<double>")
+    meta = spark.createDataFrame([(s, 1.0, [1], 0.0, 1.0) for s in sorted({x[1] for x in samples})], "signal string, dt double, values_shape array<int>, mean double, std double")
+    task = TASK | {"input_length": 2.0, "stride": 10.0, "roles": [(r, s) for r, s, _ in rows]}
+    shots = windows.shot_series(data, meta, [s for _, s, _ in rows])
+    real = windows.shot_range
+    windows.shot_range = lambda df, roles, every=False: df.withColumns({"start": F.lit(0.0), "stop": F.lit(5.0)})
+    try:
+        return windows.fit_windows(shots, task, filled).count() > 0
+    finally:
+        windows.shot_range = real
 
 
 def test_screens(spark):
@@ -167,11 +176,71 @@ def test_screens(spark):
 def test_persistence_and_mean(spark):
     data, meta = series(spark)
     out = evaluation.make_windows(data, meta, TASK)
-    got = {r.window_index: r.prediction for r in evaluation.persist(out, meta, TASK).collect()}
+    got = {r.window_index: r.prediction for r in baselines.persistence(out, meta, 2).collect()}
     assert got == {0: [[12.0], [12.0]], 1: [[14.0], [14.0]]}
     empty = out.withColumn("values", F.transform("values", lambda v: F.array(F.lit(None).cast("double"))))
-    assert evaluation.persist(empty, meta, TASK).first().prediction == [[5.0], [5.0]]
-    assert evaluation.mean(out, meta, TASK).first().prediction == [[7.0], [7.0]]
+    assert baselines.persistence(empty, meta, 2).first().prediction == [[5.0], [5.0]]
+    assert baselines.mean_forecast(out, meta).first().prediction == [[7.0], [7.0]]
+
+
+def channels(spark, values, shape):
+    rows = [(1, "v", i, 0.5 * i, v) for i, v in enumerate(values)]
+    meta = spark.createDataFrame([("v", 0.5, shape, 7.0, 1.0)], "signal string, dt double, values_shape array<int>, mean double, std double")
+    return spark.createDataFrame(rows, "shot_id long, signal string, t_idx int, time double, values array<double>"), meta
+
+
+VECTOR_TASK = {"task_type": "markovian", "input_length": 1.0, "output_length": 1.0, "delta": 0.0, "stride": 0.5, "roles": [("input", "v"), ("output", "v")]}
+
+
+def test_channels_are_forecast_each(spark):
+    data, meta = channels(spark, [[1.0, 100.0]] * 10, [2])
+    rows = evaluation.evaluate(data, meta, "t", VECTOR_TASK, evaluation.persist).collect()
+    assert len(rows) > 3 and all((r.RMSE, r.MAE, r.nan_fraction) == (0.0, 0.0, 0.0) for r in rows)
+    # a missing channel takes its own last value, or else the mean
+    data, meta = channels(spark, [[1.0, None], [None, None], [3.0, 4.0], [None, 6.0]], [2])
+    task = VECTOR_TASK | {"stride": 10.0, "output_length": 0.4}
+    row = evaluation.evaluate(data, meta, "t", task, evaluation.persist).first()
+    assert (row.RMSE, row.MAE, row.nan_fraction) == (pytest.approx(math.sqrt((4 + 9) / 2)), 2.5, 0.0)  # forecast [1, 7], target [3, 4]
+
+
+def test_written_and_steady_forecasts_agree(spark):
+    rng = np.random.default_rng(3)
+    data, meta = channels(spark, [[None if rng.random() < 0.4 else float(x) for x in v] for v in rng.standard_normal((40, 3))], [3])
+    written = lambda made, meta, task: baselines.persistence(made, meta, 2)
+    a, b = (evaluation.evaluate(data, meta, "t", VECTOR_TASK, p).orderBy("window_index").collect() for p in (evaluation.persist, written))
+    assert len(a) == len(b) > 20
+    for x, y in zip(a, b, strict=True):
+        assert x.window_index == y.window_index and (x.RMSE, x.MAE, x.nan_fraction) == pytest.approx((y.RMSE, y.MAE, y.nan_fraction))
+
+
+def test_sizes_must_match(spark):
+    data, meta = channels(spark, [[1.0, 2.0]] * 5 + [[1.0]] * 5, [2])
+    with pytest.raises(Exception, match="differ in channels"):
+        evaluation.evaluate(data, meta, "t", VECTOR_TASK, evaluation.persist).collect()
+    y = spark.createDataFrame([(1, 0, "f", [[4.0, 5.0]])], "shot_id long, window_index int, signal string, values array<array<double>>")
+    p = spark.createDataFrame([(1, 0, "f", [[4.0]])], "shot_id long, window_index int, signal string, prediction array<array<double>>")
+    with pytest.raises(Exception, match="differ in size"):
+        metrics.window_metrics(y, p).collect()
+
+
+def test_missing_signal_has_its_width(spark):
+    data, meta = channels(spark, [[1.0, 2.0]] * 10, [2])
+    meta = meta.unionByName(spark.createDataFrame([("w", 0.5, [3, 2], 0.0, 1.0)], meta.schema))
+    made_ = evaluation.make_windows(data, meta, VECTOR_TASK | {"roles": [*VECTOR_TASK["roles"], ("actuator", "w")]})
+    assert made_.where("signal = 'w'").first()["values"] == [[None] * 6] * 4
+
+
+def test_late_samples_are_dropped(spark, tmp_path):
+    import datetime as dt
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    schema = "shot_id long, signal string, ts timestamp, value double"
+    for k, (n, v) in enumerate([(1, 1.0), (50, 2.0), (51, 2.5), (2, 100.0), (200, 3.0)]):
+        spark.createDataFrame([(1, "s", day(n), v)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live.append_to(live.sliding(stream, "1 day", "1 day", "1 day"), str(tmp_path / "out"), str(tmp_path / "mark")).awaitTermination()
+    rows = {r.low: r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert rows == {1.0: 1, 2.0: 1, 2.5: 1}  # the late 100 is dropped, the last window is still open
 
 
 def test_window_metrics(spark):
@@ -371,16 +440,16 @@ def test_tables(spark, tmp_path):
     path = str(tmp_path / "m.yaml")
     with open(path, "w") as f:
         f.write('{"12": ["a", "b"], "13": []}')
-    mapping = tables.read_mapping(path)
+    mapping = tables.read_mapping(spark, path)
     assert {tuple(r) for r in tables.outlier_pairs(spark, mapping).collect()} == {(12, "a"), (12, "b")}
-    with open(path, "w") as f:
-        f.write("[1]")
     with pytest.raises(ValueError):
-        tables.read_mapping(path)
+        tables.parse_mapping("[1]")
     meta = tables.signal_meta(spark, {"a": {"dt": 0.1, "values_shape": [3], "mean": 1.0, "std": 2.0}, "b": {}})
     assert meta.where("signal = 'b'").first().std is None
-    tables.write_mapping(meta, str(tmp_path / "meta"))
-    assert spark.read.json(str(tmp_path / "meta")).count() == 2
+    odd = meta.unionByName(tables.signal_meta(spark, {'q"u\\o': {"dt": 1.0}}))
+    tables.write_mapping(odd, "signal", str(tmp_path / "meta"))
+    back = tables.read_mapping(spark, str(tmp_path / "meta"))
+    assert back == {"a": {"dt": 0.1, "values_shape": [3], "mean": 1.0, "std": 2.0}, "b": {}, 'q"u\\o': {"dt": 1.0}}
     assert tables.read_metrics(spark, str(tmp_path / "none")) is None
     tables.write_csv(spark.createDataFrame([("f", 1.0)], "feature_name string, RMSE_mean double"), str(tmp_path / "half"))
     assert tables.read_metrics(spark, str(tmp_path / "half"), "shots") is None
