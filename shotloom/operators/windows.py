@@ -146,11 +146,12 @@ def fit_windows(shots: DataFrame, task: dict, filled: bool | None = None, every_
     return found.where(F.size("windows") > 0).select("shot_id", "series", "start", "first_cut", "windows")
 
 
-def role_rows(fit: DataFrame, roles: Roles, meta: DataFrame) -> DataFrame:
-    """One row per (shot, role, signal): its series (NULL if the shot lacks it), dt, width, and the shot's windows."""
+def role_rows(fit: DataFrame, roles: Roles, meta: DataFrame, *more: str) -> DataFrame:
+    """One row per (shot, role, signal): its series (NULL if the shot lacks it), dt, width and ``more`` of the signal, and the
+    shot's windows."""
     every = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(s).alias("signal"), series_of(s).alias("of")) for r, s in roles))
     rows = fit.select("shot_id", "start", "first_cut", "windows", F.explode(every).alias("r")).select("shot_id", "start", "first_cut", "windows", "r.*")
-    return rows.join(F.broadcast(meta.select("signal", "dt", width(meta).alias("width"))), "signal")
+    return rows.join(F.broadcast(meta.select("signal", "dt", width(meta).alias("width"), *more)), "signal")
 
 
 def window_bounds(fit: DataFrame, roles: Roles, task: dict, meta: DataFrame) -> DataFrame:

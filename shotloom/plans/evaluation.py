@@ -61,8 +61,7 @@ def _steady(samples: DataFrame, meta: DataFrame, task: dict, how: Steady, filled
     """Window metrics of a steady forecast, in the shot-keyed stage."""
     inputs, outputs = signals_of(task["roles"], "input"), signals_of(task["roles"], "output")
     told = [("output", s) for s in outputs if s in inputs or not how.needs_input]
-    rows = windows.role_rows(_fit(samples, meta, task, filled), told, meta)
-    rows = rows.join(F.broadcast(meta.select("signal", "mean")), "signal", "left")
+    rows = windows.role_rows(_fit(samples, meta, task, filled), told, meta, "mean")
     values, n = F.col("of.values"), F.size("of.values")
 
     def one(w: Column) -> Column:
