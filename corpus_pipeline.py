@@ -1,7 +1,11 @@
 """The corpus pipeline: language ID, exact dedup, near-dedup, source mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs.  All but the last return the columns of ``docs``."""
+stage's docs.  All but the last return the columns of ``docs``, whatever their names and however many.
+
+Defined results: a text that is null, empty or without a letter has no language and goes in the first stage, texts of any
+length are read whole; equal texts tie by doc_id and then by the place of their rows; rows that repeat are equal texts; null
+sources are one source; an empty table passes through all stages."""
 
 from __future__ import annotations
 
