@@ -67,6 +67,18 @@ def test_run(spark, tmp_path):
     assert out.count() > 100 and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_odd_columns_and_rows(spark):
+    """Extra and clashing columns stay, nulls in any column, ties, a very long text and repeated rows go through."""
+    rows = [tuple(r) for r in documents(spark).collect()[:60]] + [(7, "the light of the house " * 20_000, "en", None, None), (None, "river and morning people of the house", None, None, None)]
+    rows = [(*r, 1, "c", None, 0.5) for r in [*rows, *rows[-2:], rows[5]]]
+    docs = spark.createDataFrame(rows, SCHEMA + ", whole int, __llm_file string, __llm_row long, score double")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, materialize(stage(spark, docs, "unused"))
+        assert docs.columns == before.columns and {tuple(r) for r in docs.collect()} <= {tuple(r) for r in before.collect()}, name
+    assert docs.where("length(text) > 100000").count() >= 1
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "unused").where("doc_tokens > 50000").count() > 10
+
+
 def test_empty(spark):
     docs = documents(spark).limit(0)
     for _, stage in corpus_pipeline.STAGES:
