@@ -70,6 +70,11 @@ def resample(v: Column, n: int = 170) -> Column:
     return let(F.filter(v, lambda x: x.isNotNull()), points)
 
 
+def transpose(v: Column) -> Column:
+    """Time x channels to channels x time, or back."""
+    return F.transform(index_range(F.lit(0), F.size(F.get(v, F.lit(0)))), lambda c: F.transform(v, lambda row: F.get(row, c)))
+
+
 def any_present(v: Column) -> Column:
     """A time is valid if one of its channels is there."""
     return F.exists(v, lambda x: x.isNotNull())

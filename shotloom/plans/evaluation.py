@@ -57,11 +57,11 @@ def mean_task(task: dict, dummy: str) -> dict:
     return task | {"roles": [("input", dummy), *(("output", s) for s in windows.signals_of(task["roles"], "output"))]}
 
 
-def _steady(samples: DataFrame, meta: DataFrame, task: dict, how: Steady, filled: bool | None) -> DataFrame:
-    """Window metrics of a steady forecast, in the shot-keyed stage."""
+def steady_metrics(fit: DataFrame, meta: DataFrame, task: dict, how: Steady) -> DataFrame:
+    """Window metrics of a steady forecast over the fit windows of shots, in the shot-keyed stage."""
     inputs, outputs = signals_of(task["roles"], "input"), signals_of(task["roles"], "output")
     told = [("output", s) for s in outputs if s in inputs or not how.needs_input]
-    rows = windows.role_rows(_fit(samples, meta, task, filled), told, meta, "mean")
+    rows = windows.role_rows(fit, told, meta, "mean")
     values, n = F.col("of.values"), F.size("of.values")
 
     def one(w: Column) -> Column:
@@ -82,7 +82,7 @@ def _steady(samples: DataFrame, meta: DataFrame, task: dict, how: Steady, filled
 def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor | Steady, filled: bool | None = False) -> DataFrame:
     """Window metrics of a predictor on a task."""
     if isinstance(predict, Steady):
-        out = _steady(samples, meta, task, predict, filled)
+        out = steady_metrics(_fit(samples, meta, task, filled), meta, task, predict)
     else:
         made = make_windows(samples, meta, task, filled=filled)
         targets = made.where("role = 'output'").select("shot_id", "window_index", "signal", "values")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import names, values
 from .operators import baselines, batching, clean, metrics, pca, profiling, spectra, splits, stats, windows
-from .plans import evaluation, hooks, transforms, views, workspace
+from .plans import evaluation, hooks, runs, transforms, views, workspace
 from .sources import catalog, tables
 from .sources import samples as scans
 from .streaming import live
@@ -402,23 +402,34 @@ def ffill_in_window(spark, d):
 
 AUTO_ONLY = evaluation.autoregressive_task(AUTO)
 MEAN_ONLY = evaluation.mean_task(FORECAST, "view")
-PERSIST = f"""{_window_sql(AUTO_ONLY)}, {META}, {SPARSE}, pred AS (SELECT shot_id, window_index, signal, coalesce(arg_max(value, pos) FILTER (value IS NOT NULL), any_value(mean)) AS p FROM win JOIN meta USING (signal) WHERE role = 'input' GROUP BY ALL)"""
 ERRORS = """ wm AS (SELECT shot_id, window_index, signal AS feature_name, sqrt(avg((value - p) ** 2)) AS RMSE, avg(abs(value - p)) AS MAE, avg(CASE WHEN value IS NULL THEN 1.0 ELSE 0.0 END) AS nan_fraction FROM win JOIN fit USING (shot_id, window_index) JOIN pred USING (shot_id, window_index, signal) WHERE role = 'output' GROUP BY ALL)"""
-WM_PERSIST = f"WITH {PERSIST}, {ERRORS}"
-WM_MEAN = f"WITH {_window_sql(MEAN_ONLY)}, {META}, {SPARSE}, pred AS (SELECT DISTINCT shot_id, window_index, signal, mean AS p FROM win JOIN meta USING (signal) WHERE role = 'output'), {ERRORS}"
+
+
+def _persist_sql(task: dict) -> str:
+    return f"WITH {_window_sql(task)}, {META}, {SPARSE}, pred AS (SELECT shot_id, window_index, signal, coalesce(arg_max(value, pos) FILTER (value IS NOT NULL), any_value(mean)) AS p FROM win JOIN meta USING (signal) WHERE role = 'input' GROUP BY ALL), {ERRORS}"
+
+
+def _mean_sql(task: dict) -> str:
+    return f"WITH {_window_sql(task)}, {META}, {SPARSE}, pred AS (SELECT DISTINCT shot_id, window_index, signal, mean AS p FROM win JOIN meta USING (signal) WHERE role = 'output'), {ERRORS}"
+
+
+WM_PERSIST, WM_MEAN = _persist_sql(AUTO_ONLY), _mean_sql(MEAN_ONLY)
 WM_ROWS = " SELECT 'forecast' AS task, shot_id, window_index, feature_name, CAST(CAST(round(RMSE, 9) AS FLOAT) AS DOUBLE) AS RMSE, CAST(CAST(round(MAE, 9) AS FLOAT) AS DOUBLE) AS MAE, CAST(CAST(round(nan_fraction, 9) AS FLOAT) AS DOUBLE) AS nan_fraction FROM wm"
-#: Two tasks of group 1 and one of group 2: persistence and mean forecasts.
-BOTH = f"""WITH a AS ({WM_PERSIST} SELECT 'persist' AS task, * FROM wm), b AS ({WM_MEAN} SELECT 'mean' AS task, * FROM wm), w AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 'late' AS task, shot_id, window_index, feature_name, RMSE, MAE, nan_fraction FROM b WHERE window_index >= 5),
- {SIG}, {META},
+#: From window metrics w to shots, their deviations, signals and tasks.
+SHOT_LEVEL = f"""{SIG}, {META},
  shots AS (SELECT task, shot_id, feature_name, count(DISTINCT window_index) AS n_windows, sqrt(avg(RMSE ** 2) FILTER (RMSE IS NOT NULL AND MAE IS NOT NULL)) AS RMSE_mean, avg(MAE) FILTER (RMSE IS NOT NULL AND MAE IS NOT NULL) AS MAE_mean, avg(nan_fraction) FILTER (RMSE IS NOT NULL AND MAE IS NOT NULL) AS nan_fraction_mean FROM w GROUP BY ALL HAVING count(RMSE + MAE) > 0),
  sm AS (SELECT shots.*, RMSE_mean / nullif(std, 0) AS NRMSE_mean, MAE_mean / nullif(std, 0) AS NMAE_mean FROM shots LEFT JOIN meta ON meta.signal = feature_name)"""
+#: Two tasks of group 1 and one of group 2: persistence and mean forecasts.
+BOTH = f"""WITH a AS ({WM_PERSIST} SELECT 'persist' AS task, * FROM wm), b AS ({WM_MEAN} SELECT 'mean' AS task, * FROM wm), w AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT 'late' AS task, shot_id, window_index, feature_name, RMSE, MAE, nan_fraction FROM b WHERE window_index >= 5), {SHOT_LEVEL}"""
 NAMES = ["NRMSE", "NMAE", "RMSE", "MAE", "nan_fraction"]
 SPREAD_SQL = ", ".join(f"avg({m}_mean) AS {m}_mean, coalesce(stddev_pop({m}_mean), 0) AS {m}_std_pop" for m in NAMES)
 ROUND_SQL = ", ".join(f"CAST(CAST(round({m}_{s}, 9) AS FLOAT) AS DOUBLE) AS {m}_{s}" for m in NAMES for s in ("mean", "std_pop"))
-REPORT = f"""{BOTH}, signals AS (SELECT task, feature_name, CAST(count(DISTINCT shot_id) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM sm GROUP BY ALL),
- ts AS (SELECT task, shot_id, {', '.join(f'avg({m}_mean) AS {m}_mean' for m in NAMES)} FROM sm GROUP BY ALL), tasks AS (SELECT task, CAST(count(*) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM ts GROUP BY ALL),
- groups AS (SELECT * FROM (VALUES ('persist', 1), ('mean', 1), ('late', 2)) v(task, group_id))"""
+TASK_LEVEL = f"""signals AS (SELECT task, feature_name, CAST(count(DISTINCT shot_id) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM sm GROUP BY ALL),
+ ts AS (SELECT task, shot_id, {', '.join(f'avg({m}_mean) AS {m}_mean' for m in NAMES)} FROM sm GROUP BY ALL), tasks AS (SELECT task, CAST(count(*) AS DOUBLE) AS n_shots, {SPREAD_SQL} FROM ts GROUP BY ALL)"""
+REPORT = f"{BOTH}, {TASK_LEVEL}, groups AS (SELECT * FROM (VALUES ('persist', 1), ('mean', 1), ('late', 2)) v(task, group_id))"
 GROUP_COLUMNS = ", ".join(f"avg(CASE WHEN {m}_mean IS NOT NULL AND {m}_std_pop IS NOT NULL THEN {m}_{s} END) AS {m}_{s}" for m in NAMES for s in ("mean", "std_pop"))
+GROUP_ROWS = f""", joined AS (SELECT * FROM tasks JOIN groups USING (task)), g AS (SELECT group_id, 'group_' || group_id AS task, sum(n_shots) AS n_shots, {GROUP_COLUMNS}, 0 AS level FROM joined GROUP BY group_id)
+ SELECT group_id, task, n_shots, level, {ROUND_SQL} FROM (SELECT * FROM g UNION ALL BY NAME SELECT *, 1 AS level FROM joined)"""
 
 
 def _persisted(spark, d):
@@ -484,13 +495,49 @@ def report_signal_rows(spark, d):
     return _rounded(metrics.split_report(metrics.task_report(_shots(spark, d)))[1], "task", "feature_name")
 
 
-@query(REPORT + f""", joined AS (SELECT * FROM tasks JOIN groups USING (task)), g AS (SELECT group_id, 'group_' || group_id AS task, sum(n_shots) AS n_shots, {GROUP_COLUMNS}, 0 AS level FROM joined GROUP BY group_id)
- SELECT group_id, task, n_shots, level, {ROUND_SQL} FROM (SELECT * FROM g UNION ALL BY NAME SELECT *, 1 AS level FROM joined)""")
+@query(REPORT + GROUP_ROWS)
 def group_report(spark, d):
     tasks = metrics.summary("task", metrics.task_report(_shots(spark, d)))
     return _rounded(metrics.group_report(tasks, _groups(spark)), "group_id", "task", "n_shots", "level")
 
 
+# ---------------------------------------------------------------- runs over several tasks
+
+RUN_TASKS = {
+    "1-1": AUTO,
+    "1-2": FORECAST,  # no output is an input: persistence skips it
+    "2-1": AUTO | {"input_length": 3.0, "output_length": 1.0, "roles": [("input", "view"), ("input", "error"), ("output", "error"), ("output", "view")]},
+    "2-2": AUTO | {"output_length": 60.0},  # longer than any shot: no windows
+}
+EVERY_TASK = ", ".join(f"'{name}'" for name in RUN_TASKS)
+
+
+def _run_sql(sql: Callable[[dict], str], rewrite: Callable[[dict], dict | None]) -> str:
+    """The window metrics of all tasks that are not skipped, as the CTE w."""
+    own = {name: rewrite(task) for name, task in RUN_TASKS.items()}
+    return "WITH w AS (" + " UNION ALL ".join(f"SELECT '{name}' AS task, * FROM ({sql(task)} SELECT * FROM wm)" for name, task in own.items() if task) + ")"
+
+
+def _run(spark, d, baseline):
+    sig, path = _sig(spark, d), workspace.folder(spark)
+    status = runs.run_tasks(sig, views.event_meta(spark, sig), RUN_TASKS, baseline, path)
+    return status, path
+
+
+@query(_run_sql(_persist_sql, evaluation.autoregressive_task) + f""" SELECT u.task, CASE WHEN u.task = '1-2' THEN 'skipped' WHEN count(w.shot_id) = 0 THEN 'empty' ELSE 'done' END AS status, count(DISTINCT w.shot_id) AS n_shots,
+ count(DISTINCT (w.shot_id, w.window_index)) FILTER (w.shot_id IS NOT NULL) AS n_windows FROM (SELECT unnest([{EVERY_TASK}]) AS task) u LEFT JOIN w USING (task) GROUP BY 1""")
+def task_run_status(spark, d):
+    return _run(spark, d, runs.persistence)[0].drop("reason")
+
+
+@query(_run_sql(_mean_sql, lambda task: evaluation.mean_task(task, "view")) + f", {SHOT_LEVEL}, {TASK_LEVEL}, groups AS (SELECT task, CAST(left(task, 1) AS INTEGER) AS group_id FROM tasks)" + GROUP_ROWS)
+def task_run_report(spark, d):
+    _, path = _run(spark, d, runs.averages("view"))
+    shots = workspace.keep(metrics.shot_metrics(runs.run_metrics(spark, path, list(RUN_TASKS)), views.event_meta(spark, _sig(spark, d))))
+    groups = spark.createDataFrame([(name, int(name[0])) for name in RUN_TASKS], "task string, group_id int")
+    return _rounded(metrics.group_report(metrics.task_rows(shots), groups), "group_id", "task", "n_shots", "level")
+
+
 # ---------------------------------------------------------------- splits and batches
 
 ORDER = "ord AS (SELECT o_orderkey AS shot_id, o_orderdate AS time, row_number() OVER (ORDER BY md5(o_orderkey || '-42'), o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), split AS (SELECT shot_id, time, CASE WHEN k < floor(n * 0.1) THEN 'val' WHEN k < 2 * floor(n * 0.1) THEN 'test' ELSE 'train' END AS split FROM ord)"
@@ -893,6 +940,15 @@ def channel_window_ranges(spark, d):
     return out.select("shot_id", "window_index", "role", "signal", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi"))
 
 
+@query(f"WITH {_channel_sql(CHANNEL_TASK, False)} SELECT shot_id, window_index, role, signal, c, count(value) AS n_present, CAST(CAST(round(arg_max(value, pos) FILTER (value IS NOT NULL), 9) AS FLOAT) AS DOUBLE) AS newest FROM win GROUP BY ALL")
+def channel_major(spark, d):
+    """Windows with their axes turned: a row per channel, its times in order."""
+    made = evaluation.make_windows(*_channels(spark, d), CHANNEL_TASK)
+    rows = made.select("shot_id", "window_index", "role", "signal", F.posexplode(values.transpose(F.col("values"))).alias("c", "v"))
+    there = F.filter("v", lambda x: x.isNotNull())
+    return rows.select("shot_id", "window_index", "role", "signal", "c", F.size(there).cast("long").alias("n_present"), r(F.try_element_at(there, F.lit(-1))).alias("newest"))
+
+
 # ---------------------------------------------------------------- sinks, dimensions and plans on whole tables
 
 
