@@ -17,6 +17,9 @@ COLUMNS = {
     "op8_pack": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
     "op9_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
     "op10_pii": "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
+    "op11_align": "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string",
+    "op12_secrets": "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string",
+    "op13_whiten": "vec_id bigint, component int, n bigint, deviation bigint, whitened double, explained double, identity_error double",
 }
 
 
@@ -27,10 +30,10 @@ def test_query(spark, name):
     for c in filter(None, COLUMNS.get(name, "").split(", ")):
         column, kind = c.split()
         assert kinds[column] == kind
-    read = spark.read.parquet(f"{SF}/{'pages' if 'html' in name else 'documents'}.parquet")
+    read = spark.read.parquet(f"{SF}/{'pages' if 'html' in name else 'embeddings' if 'whiten' in name else 'documents'}.parquet")
     key = read.columns[0]
     assert {r[0] for r in out.select(key).distinct().collect()} == {r[0] for r in read.select(key).collect()}
     if name not in ("op1_mix_sources", "op8_pack"):
-        assert out.count() == read.count()
+        assert out.count() == read.count() * (32 if name == "op13_whiten" else 1)
     if name in queries.oracle_sql():
         compare(out, queries.oracle_sql()[name], SF)
