@@ -65,11 +65,6 @@ def last_present(values: Column, first: Column, end: Column, channels: Column, m
     return F.transform(index_range(F.lit(0), channels), one)
 
 
-def mean_vector(values: Column, first: Column, end: Column, channels: Column, mean: Column) -> Column:
-    """The signal's mean for every channel."""
-    return F.array_repeat(mean, channels)
-
-
 def persistence(windows: DataFrame, meta: DataFrame, n_out: Column | int) -> DataFrame:
     """(shot_id, window_index, signal, prediction) from written windows: each channel's last input value repeated, or else the
     signal's mean."""

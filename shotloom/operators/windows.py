@@ -1,18 +1,11 @@
-"""Cutting shots into aligned windows of inputs, actuators and outputs.
-
-Series are packed first: one row per shot, with each signal's values in time order and running counts of the samples that
-are there.  One shuffle by shot does that, and all that follows, up to windows or their metrics, works on these rows
-without another: ranges, cuts, the screening of windows (two look-ups in the running counts per signal and window), and
-forecasts.  A window is a pair of indices into its series; values are only copied where windows are to be written."""
+"""Windows of shots: their cuts, lengths and padding.  What happens inside a packed shot is in kernel, packing in blocks."""
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.values import any_present, index_range, sample_count
+from ..functions.values import any_present, sample_count
 
 
 def pack(samples: DataFrame, meta: DataFrame) -> DataFrame:
@@ -46,42 +39,6 @@ def width(meta: DataFrame) -> Column:
     return F.coalesce(F.aggregate("values_shape", F.lit(1), lambda n, k: n * k), F.lit(1))
 
 
-def shot_series(samples: DataFrame, meta: DataFrame, wanted: list[str]) -> DataFrame:
-    """(shot_id, series): per shot, a map from signal to t0, dt, first and last valid time, values (time x channels), and
-    running counts: seen[i] and full[i] are larger by the samples before i that have a channel, or all of them."""
-    here = samples.where(F.col("signal").isin(wanted) & F.col("time").isNotNull())
-    has = F.coalesce(any_present(F.col("values")), F.lit(False)).cast("int")
-    whole = F.coalesce(F.forall("values", lambda x: x.isNotNull()), F.lit(False)).cast("int")
-    upto = Window.partitionBy("shot_id").orderBy("signal", "t_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = here.select("shot_id", "signal", "t_idx", "time", "values", has.alias("has"), whole.alias("whole"))
-    rows = rows.withColumns({"seen": F.sum("has").over(upto).cast("int"), "full": F.sum("whole").over(upto).cast("int")})
-    packed = rows.groupBy("shot_id", "signal").agg(F.array_sort(F.collect_list(F.struct("t_idx", "time", "values", "has", "whole", "seen", "full"))).alias("rows"))
-    head = F.get("rows", F.lit(0))
-    counts = lambda total, own: F.concat(F.array(head[total] - head[own]), F.transform("rows", lambda r: r[total]))
-    packed = packed.join(F.broadcast(meta.select("signal", "dt", width(meta).alias("width"))), "signal")  # signals: a fixed number
-    gap = F.array_repeat(F.lit(None).cast("double"), F.col("width"))
-    packed = packed.select("shot_id", "signal", "dt", head["time"].alias("t0"), F.transform("rows", lambda r: F.coalesce(r["values"], gap)).alias("values"), counts("seen", "has").alias("seen"), counts("full", "whole").alias("full"))
-    first, last = valid_ends(F.col("values"))
-    packed = packed.withColumns({"first": F.col("t0") + first * F.col("dt"), "last": F.col("t0") + last * F.col("dt")})
-    each = F.struct("signal", F.struct("t0", "dt", "first", "last", "values", "seen", "full").alias("of"))
-    return packed.groupBy("shot_id").agg(F.map_from_entries(F.collect_list(each)).alias("series"))
-
-
-def series_of(signal: str) -> Column:
-    return F.try_element_at("series", F.lit(signal))
-
-
-def shot_range(shots: DataFrame, roles: Roles, every_output: bool = False) -> DataFrame:
-    """Shots with start and stop: from the first valid input or actuator sample to the last valid output sample; shots where
-    one of them is unknown are left out, and in test mode (``every_output``) those that lack an output."""
-    ends = lambda names, field: F.array(*(series_of(s)[field] for s in names), F.lit(None).cast("double"))
-    read, told = signals_of(roles, "input", "actuator"), signals_of(roles, "output")
-    if every_output:
-        shots = shots.where(reduce(lambda a, b: a & b, (series_of(s).isNotNull() for s in told), F.lit(True)))
-    span = shots.withColumns({"start": F.array_min(ends(read, "first")), "stop": F.array_max(ends(told, "last"))})
-    return span.where(F.col("start").isNotNull() & F.col("stop").isNotNull())
-
-
 def cut_counts(spans: DataFrame, task: dict) -> DataFrame:
     """Spans with the first cut and the number of cuts (NULL-free, 0 where the shot is too short)."""
     first = F.col("start") + F.lit(float(task["input_length"]))
@@ -101,94 +58,6 @@ def cut_time(window: Column, task: dict) -> Column:
     return F.col("first_cut") + window * F.lit(float(task["stride"]))
 
 
-def bounds(role: str | Column, t_cut: Column, t0: Column, dt: Column, task: dict) -> tuple[Column, Column]:
-    """First index and end of a role's slice of a series.  A non-markovian task reads from the start of the shot on."""
-    role = F.lit(role) if isinstance(role, str) else role
-    n_in, n_delta, n_out = (sample_count(task[k], dt) for k in ("input_length", "delta", "output_length"))
-    at = lambda t: F.rint((t - t0) / dt).cast("int")
-    cut, out = at(t_cut), at(t_cut + F.lit(float(task["delta"])))
-    lo = at(F.col("start")) if task["task_type"] == "non_markovian" else cut - n_in
-    return F.when(role == "output", out).otherwise(lo), F.when(role == "output", out + n_out).when(role == "actuator", cut + n_delta + n_out).otherwise(cut)
-
-
-def clipped(i: Column, n: Column) -> Column:
-    """Indices outside a series stand for its edge samples."""
-    return F.least(F.greatest(i, F.lit(0)), n - 1)
-
-
-def _unfit(signal: str, role: str, t_cut: Column, task: dict, filled: bool) -> Column:
-    """Whether a signal's slice has no sample (sparse) or lacks a value (filled); a signal that the shot lacks is unfit."""
-    s = series_of(signal)
-    n = F.size(s["values"])
-    lo, hi = bounds(role, t_cut, s["t0"], s["dt"], task)
-    a, b = clipped(lo, n), clipped(hi - 1, n) + 1
-    had = lambda field: F.get(s[field], b) - F.get(s[field], a)
-    bad = (hi > lo) & (had("full") < b - a) if filled else (hi <= lo) | (had("seen") == 0)
-    return F.coalesce(bad, F.lit(True))
-
-
-def fit_windows(shots: DataFrame, task: dict, filled: bool | None = None, every_output: bool = False) -> DataFrame:
-    """Shots with start, first_cut and windows, the indices of windows that are fit for use.
-
-    Sparse (False): some input or actuator signal has data, and so has every output.  Filled (True): the same with no
-    missing value at all in the signals that count.  None: all windows.  A role without signals counts as missing."""
-    roles: Roles = task["roles"]
-    spans = cut_counts(shot_range(shots, roles, every_output), task).where("n_windows > 0")
-
-    def fit(w: Column) -> Column:
-        t = cut_time(w, task)
-        bad = lambda *some: [_unfit(s, r, t, task, filled) for r, s in roles if r in some]
-        nothing_read = reduce(lambda a, b: a & b, bad("input", "actuator"), F.lit(True))
-        return ~nothing_read & ~reduce(lambda a, b: a | b, bad("output"), F.lit(False))
-
-    every = F.sequence(F.lit(0), F.col("n_windows") - 1)
-    found = spans.withColumn("windows", every if filled is None else F.filter(every, fit))
-    return found.where(F.size("windows") > 0).select("shot_id", "series", "start", "first_cut", "windows")
-
-
-def role_rows(fit: DataFrame, roles: Roles, meta: DataFrame, *more: str) -> DataFrame:
-    """One row per (shot, role, signal): its series (NULL if the shot lacks it), dt, width and ``more`` of the signal, and the
-    shot's windows."""
-    every = F.array(*(F.struct(F.lit(r).alias("role"), F.lit(s).alias("signal"), series_of(s).alias("of")) for r, s in roles))
-    rows = fit.select("shot_id", "start", "first_cut", "windows", F.explode(every).alias("r")).select("shot_id", "start", "first_cut", "windows", "r.*")
-    return rows.join(F.broadcast(meta.select("signal", "dt", width(meta).alias("width"), *more)), "signal")
-
-
-def window_bounds(fit: DataFrame, roles: Roles, task: dict, meta: DataFrame) -> DataFrame:
-    """(shot_id, window_index, t_cut, role, signal, lo, hi): windows as index ranges, without values."""
-    rows = role_rows(fit, roles, meta).withColumn("t0", F.col("of.t0")).drop("of").withColumn("window_index", F.explode("windows"))
-    t = cut_time(F.col("window_index"), task)
-    lo, hi = bounds(F.col("role"), t, F.col("t0"), F.col("dt"), task)
-    return rows.select("shot_id", "window_index", t.alias("t_cut"), "role", "signal", lo.alias("lo"), hi.alias("hi"))
-
-
-AT_ONCE = 16  # windows that are cut from a row that carries their series
-
-
-def slices(fit: DataFrame, roles: Roles, task: dict, meta: DataFrame) -> DataFrame:
-    """(shot_id, window_index, t_cut, role, signal, lo, values, time): each role's slice of each signal.
-
-    A signal that the shot lacks gives missing vectors of the nominal length, with as many channels as its shape says."""
-    rows = role_rows(fit, roles, meta)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("windows") - 1) / AT_ONCE).cast("int")), lambda k: F.slice("windows", k * AT_ONCE + 1, AT_ONCE))
-    rows = rows.withColumn("part", F.explode(parts))
-    n_in, n_delta, n_out = (sample_count(task[k], F.col("dt")) for k in ("input_length", "delta", "output_length"))
-    nominal = F.when(F.col("role") == "output", n_out).when(F.col("role") == "actuator", n_in + n_delta + n_out).otherwise(n_in)
-    missing = F.array_repeat(F.array_repeat(F.lit(None).cast("double"), F.col("width")), F.greatest(F.lit(0), nominal))
-    values, n = F.col("of.values"), F.size("of.values")
-
-    def one(w: Column) -> Column:
-        t = cut_time(w, task)
-        lo, hi = bounds(F.col("role"), t, F.col("of.t0"), F.col("dt"), task)
-        have = F.col("of").isNotNull()
-        out = F.when(have, F.transform(index_range(lo, hi), lambda i: F.get(values, clipped(i, n)))).otherwise(missing)
-        time = F.when(have, F.transform(index_range(lo, hi), lambda i: F.col("of.t0") + clipped(i, n) * F.col("dt"))).otherwise(F.array().cast("array<double>"))
-        return F.struct(w.alias("window_index"), t.alias("t_cut"), lo.alias("lo"), out.alias("values"), time.alias("time"))
-
-    cut = rows.select("shot_id", "role", "signal", F.explode(F.transform("part", one)).alias("w"))
-    return cut.select("shot_id", "w.window_index", "w.t_cut", "role", "signal", "w.lo", "w.values", "w.time")
-
-
 def drop_missing(windows: DataFrame, column: str) -> DataFrame:
     """Windows that a custom transform has not turned into NULL."""
     return windows.where(F.col(column).isNotNull())

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import baselines, metrics, windows
+from ..operators import blocks, kernel, metrics, windows
 from ..operators.windows import signals_of
 
 #: A predictor takes (windows, meta, task) and gives (shot_id, window_index, signal, prediction).
@@ -17,33 +17,42 @@ Predictor = Callable[[DataFrame, DataFrame, dict], DataFrame]
 
 @dataclass(frozen=True)
 class Steady:
-    """A forecast that does not change inside a window: one value per channel, as an expression of the signal's values, the
-    first index and the end of its input slice (inside the series; the end is the first index if it is empty), its number
-    of channels and its mean.  It is scored where the series is, without writing windows."""
+    """A forecast that does not change inside a window: one value per channel, from a series, the rows of the input slices and
+    the signal's mean (see kernel.Vector).  It is scored where the series is, without writing windows."""
 
-    vector: Callable[[Column, Column, Column, Column, Column], Column]
+    vector: kernel.Vector
     needs_input: bool  # only outputs that are inputs too can be told
 
 
-persist = Steady(baselines.last_present, True)
-mean = Steady(baselines.mean_vector, False)
+persist = Steady(kernel.last_present, True)
+mean = Steady(kernel.mean_vector, False)
 
 
-def _fit(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None) -> DataFrame:
-    shots = windows.shot_series(samples, meta, signals_of(task["roles"], "input", "actuator", "output"))
-    return windows.fit_windows(shots, task, filled, every_output=filled is not None)
+def packed_rows(samples: DataFrame, known: dict[str, kernel.Meta], task: dict, filled: bool | None, block: float | None) -> DataFrame:
+    """Rows for the kernel: shots, or blocks of so many seconds."""
+    if block is None:
+        return blocks.packed(samples, signals_of(task["roles"], "input", "actuator", "output"))
+    return blocks.blocked(samples, known, task, block, every_output=filled is not None)
 
 
-def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Windows of a task; ``filled`` screens them (False: sparse, True: filled, as in test mode; None: not at all);
-    ``custom`` maps them and may drop some."""
-    out = windows.slices(_fit(samples, meta, task, filled), task["roles"], task, meta)
+def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, block: float | None = None) -> DataFrame:
+    """Windows of a task; ``filled`` screens them (False: sparse, True: filled, as in test mode; None: not at all); ``custom``
+    maps them and may drop some; ``block`` cuts shots into blocks of so many seconds, for shots of very unequal length."""
+    known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
+    out = blocks.windows(packed_rows(samples, known, task, filled, block), known, task, filled)
     return custom(out) if custom else out
 
 
-def window_ranges(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None) -> DataFrame:
-    """Windows of a task as index ranges."""
-    return windows.window_bounds(_fit(samples, meta, task, filled), task["roles"], task, meta)
+def window_ranges(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, block: float | None = None) -> DataFrame:
+    """Windows of a task as index ranges, without values."""
+    known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
+    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w: kernel.ranges(b, w, task), blocks.RANGES)
+
+
+def fit_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = False, block: float | None = None) -> DataFrame:
+    """(shot_id, window_index, t_cut) of the windows that a screen lets pass."""
+    known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
+    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w: kernel.chosen(b, w, task), blocks.CHOSEN)
 
 
 def autoregressive_task(task: dict) -> dict | None:
@@ -57,34 +66,20 @@ def mean_task(task: dict, dummy: str) -> dict:
     return task | {"roles": [("input", dummy), *(("output", s) for s in windows.signals_of(task["roles"], "output"))]}
 
 
-def steady_metrics(fit: DataFrame, meta: DataFrame, task: dict, how: Steady) -> DataFrame:
-    """Window metrics of a steady forecast over the fit windows of shots, in the shot-keyed stage."""
+def steady_metrics(rows: DataFrame, known: dict[str, kernel.Meta], task: dict, filled: bool | None, how: Steady) -> DataFrame:
+    """Window metrics of a steady forecast over the fit windows of packed rows."""
     inputs, outputs = signals_of(task["roles"], "input"), signals_of(task["roles"], "output")
-    told = [("output", s) for s in outputs if s in inputs or not how.needs_input]
-    rows = windows.role_rows(fit, told, meta, "mean")
-    values, n = F.col("of.values"), F.size("of.values")
-
-    def one(w: Column) -> Column:
-        t = windows.cut_time(w, task)
-        lo, hi = windows.bounds("input", t, F.col("of.t0"), F.col("dt"), task)
-        a, b = windows.clipped(lo, n), windows.clipped(hi - 1, n) + 1
-        vector = how.vector(values, a, F.when(hi > lo, b).otherwise(a), F.size(F.get(values, F.lit(0))), F.col("mean"))
-        first, end = windows.bounds("output", t, F.col("of.t0"), F.col("dt"), task)
-        nominal = F.greatest(F.lit(0), windows.sample_count(task["output_length"], F.col("dt"))) * F.col("width")
-        scored = metrics.steady_errors(values, first, end, n, vector)
-        none = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("size"), F.lit(0.0).alias("n"), nominal.cast("double").alias("of"))
-        return F.struct(w.alias("window_index"), F.when(F.col("of").isNull(), none).otherwise(scored).alias("e"))
-
-    each = rows.select("shot_id", F.col("signal").alias("feature_name"), F.explode(F.transform("windows", one)).alias("w"))
-    return metrics.from_sums(each.select("shot_id", "w.window_index", "feature_name", "w.e.*"))
-
-
-def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor | Steady, filled: bool | None = False) -> DataFrame:
-    """Window metrics of a predictor on a task."""
+    told = [s for s in outputs if s in inputs or not how.needs_input]
+    return metrics.from_sums(blocks.scores(rows, known, task, filled, told, how.vector))
+
+
+def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor | Steady, filled: bool | None = False, block: float | None = None) -> DataFrame:
+    """Window metrics of a predictor on a task; ``block`` as in make_windows."""
     if isinstance(predict, Steady):
-        out = steady_metrics(_fit(samples, meta, task, filled), meta, task, predict)
+        known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
+        out = steady_metrics(packed_rows(samples, known, task, filled, block), known, task, filled, predict)
     else:
-        made = make_windows(samples, meta, task, filled=filled)
+        made = make_windows(samples, meta, task, filled=filled, block=block)
         targets = made.where("role = 'output'").select("shot_id", "window_index", "signal", "values")
         out = metrics.window_metrics(targets, predict(made, meta, task))
     return out.select(F.lit(name).alias("task"), "*")

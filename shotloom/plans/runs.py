@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import windows
+from ..operators import blocks
 from ..operators.windows import signals_of
 from ..schema import WINDOW_METRICS
 from . import workspace
 from .evaluation import Steady, autoregressive_task, mean, mean_task, persist, steady_metrics
 
 
+AT_ONCE = 3  # tasks that run side by side
+
+
 @dataclass(frozen=True)
 class Baseline:
     """A steady forecast and how it rewrites a task; a task that it rewrites to None is skipped."""
@@ -32,36 +37,40 @@ def averages(dummy: str) -> Baseline:
     return Baseline(mean, lambda task: mean_task(task, dummy))
 
 
-def pack_shots(samples: DataFrame, meta: DataFrame, wanted: list[str]) -> DataFrame:
+def pack_shots(samples: DataFrame, wanted: list[str]) -> DataFrame:
     """Shots packed once for many tasks and written, a column per signal: a task reads the columns of its own signals."""
-    shots = windows.shot_series(samples, meta, wanted)
-    return workspace.keep(shots.select("shot_id", *(windows.series_of(s).alias(s) for s in wanted)))
+    return workspace.keep(blocks.packed(samples, wanted))
 
 
-def shots_of(packed: DataFrame, wanted: list[str]) -> DataFrame:
-    """(shot_id, series) of some signals of packed shots; signals that a shot lacks are NULL."""
-    each = (F.struct(F.lit(s).alias("signal"), F.col(f"`{s}`").alias("of")) for s in wanted)
-    return packed.select("shot_id", F.map_from_entries(F.array(*each)).alias("series"))
+def reason(e: Exception) -> str:
+    """What an error says, in a line: that of the Python worker if it comes from one."""
+    lines = [x.strip() for x in str(e).splitlines() if x.strip()]
+    return next((x for x in lines if re.match(r"\w*(Error|Exception): ", x)), lines[0] if lines else type(e).__name__)
 
 
 def run_tasks(samples: DataFrame, meta: DataFrame, tasks: dict[str, dict], baseline: Baseline, path: str, filled: bool | None = False) -> DataFrame:
     """Write each task's window metrics to its own folder below ``path`` and return a status row per task: done, empty (no
     window is fit), skipped (the baseline has nothing to tell of it) or failed, with the reason; n_shots and n_windows count
-    what was scored.  The samples are shuffled once for all tasks.  A task that fails leaves the others as they are."""
+    what was scored.  The samples are shuffled once for all tasks.  A few tasks run side by side, and
+    one that fails leaves the others as they are."""
     spark = samples.sparkSession
     own = {name: baseline.rewrite(task) for name, task in tasks.items()}
     todo = {name: task for name, task in own.items() if task}
     wanted = sorted({s for task in todo.values() for s in signals_of(task["roles"], "input", "actuator", "output")})
-    packed = pack_shots(samples, meta, wanted) if todo else None
+    packed = pack_shots(samples, wanted) if todo else None
+    known = blocks.known(meta, wanted) if todo else {}
     told = {name: ("skipped", "no output is an input too") for name in own if name not in todo}
-    for name, task in todo.items():
-        shots = shots_of(packed, signals_of(task["roles"], "input", "actuator", "output"))
-        fit = windows.fit_windows(shots, task, filled, every_output=filled is not None)
+
+    def one(name: str, task: dict) -> tuple[str, str | None]:
+        shots = packed.select("shot_id", *(F.col(f"`{s}`") for s in signals_of(task["roles"], "input", "actuator", "output")))
         try:
-            steady_metrics(fit, meta, task, baseline.how).write.mode("overwrite").parquet(f"{path}/task={name}")
-            told[name] = ("done", None)
-        except PySparkException as e:
-            told[name] = ("failed", str(e).splitlines()[0])
+            steady_metrics(shots, known, task, filled, baseline.how).write.mode("overwrite").parquet(f"{path}/task={name}")
+        except (PySparkException, ValueError, ArithmeticError) as e:
+            return "failed", reason(e)
+        return "done", None
+
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the last tasks of one job leave cores to the next
+        told |= dict(zip(todo, pool.map(one, todo, todo.values()), strict=True))
     status = spark.createDataFrame([(name, *told[name]) for name in tasks], "task string, status string, reason string")
     scored = run_metrics(spark, path, [name for name in tasks if told[name][0] == "done"])
     counts = scored.groupBy("task").agg(F.count_distinct("shot_id").alias("n_shots"), F.count_distinct("shot_id", "window_index").alias("n_windows"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import names, values
-from .operators import baselines, batching, clean, metrics, pca, profiling, spectra, splits, stats, windows
+from .operators import baselines, batching, blocks, clean, metrics, pca, profiling, spectra, splits, stats, windows
 from .plans import evaluation, hooks, runs, transforms, views, workspace
 from .sources import catalog, tables
 from .sources import samples as scans
@@ -320,7 +320,8 @@ SPARSE, FILLED = _screen_sql("count(value) = 0"), _screen_sql("count(value) < co
 
 
 def _spans(spark, d):
-    return windows.shot_range(windows.shot_series(_sig(spark, d), views.event_meta(spark), windows.signals_of(ROLE_LIST, "input", "actuator", "output")), ROLE_LIST)
+    known = blocks.known(views.event_meta(spark), windows.signals_of(ROLE_LIST, "input", "actuator", "output"))
+    return blocks.shot_spans(_sig(spark, d), known, FORECAST)
 
 
 def _made(spark, d, task, filled=None):
@@ -360,6 +361,12 @@ def windows_markovian(spark, d):
     return _rows(_made(spark, d, FORECAST))
 
 
+@query(f"WITH {_window_sql(FORECAST)}" + ROW_SQL)
+def windows_in_blocks(spark, d):
+    """Shots in blocks of ten days with a halo of a week: the same windows, each block a row of its own."""
+    return _rows(evaluation.make_windows(_sig(spark, d), views.event_meta(spark), FORECAST, block=10.0))
+
+
 @query(f"WITH {_window_sql(HISTORY)}" + ROW_SQL)
 def windows_history(spark, d):
     return _rows(_made(spark, d, HISTORY))
@@ -372,12 +379,12 @@ def windows_actuator(spark, d):
 
 @query(f"WITH {_window_sql(FORECAST)}, {SPARSE} SELECT * FROM fit")
 def window_screen_sparse(spark, d):
-    return _made(spark, d, FORECAST, False).select("shot_id", "window_index").distinct()
+    return evaluation.fit_windows(_sig(spark, d), views.event_meta(spark), FORECAST).select("shot_id", "window_index")
 
 
 @query(f"WITH {_window_sql(SHORT)}, {FILLED} SELECT * FROM fit")
 def window_screen_filled(spark, d):
-    return _made(spark, d, SHORT, True).select("shot_id", "window_index").distinct()
+    return evaluation.fit_windows(_sig(spark, d), views.event_meta(spark), SHORT, True).select("shot_id", "window_index")
 
 
 @query(f"""WITH {SIG}, own AS (SELECT shot_id, signal, min(t_idx) AS a, max(t_idx) AS b FROM sig WHERE value IS NOT NULL GROUP BY ALL)
@@ -758,6 +765,15 @@ def windows_written(spark, d):
     return spark.read.parquet(path).groupBy("role").agg(F.sum(F.size(flat)).alias("n_values"), F.sum(F.size(F.filter(flat, lambda x: x.isNotNull()))).alias("n_present"))
 
 
+@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, t_cut, role, signal, pos, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value FROM win")
+def windows_written_values(spark, d):
+    """Windows written for training and read again, value by value."""
+    path = workspace.folder(spark)
+    tables.write_windows_float32(_made(spark, d, FORECAST), path)
+    rows = spark.read.parquet(path).select("shot_id", "window_index", "t_cut", "role", "signal", F.posexplode("values").alias("pos", "v"))
+    return rows.select("shot_id", "window_index", "t_cut", "role", "signal", "pos", views.scalar("v").cast("double").alias("value"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def append_sink(spark, d):
     path, rows = workspace.folder(spark), views.read(spark, d, "events").select("event_id", "event_type")
@@ -928,6 +944,12 @@ def channel_metrics_persistence(spark, d):
     return _metric_rows(evaluation.evaluate(*_channels(spark, d), "channels", CHANNEL_AUTO, evaluation.persist))
 
 
+@query(ORACLES["channel_metrics_persistence"])
+def channel_metrics_in_blocks(spark, d):
+    """Scores of shots in blocks of eight seconds."""
+    return _metric_rows(evaluation.evaluate(*_channels(spark, d), "channels", CHANNEL_AUTO, evaluation.persist, block=8.0))
+
+
 @query(f"WITH {_channel_sql(CHANNEL_MEAN, True)}, pred AS (SELECT DISTINCT shot_id, window_index, signal, c, mean AS p FROM win JOIN meta USING (signal) WHERE role = 'output'), {CHANNEL_ERRORS}" + WM_ROWS)
 def channel_metrics_mean(spark, d):
     return _metric_rows(evaluation.evaluate(*_channels(spark, d), "channels", CHANNEL_MEAN, evaluation.mean))
@@ -956,7 +978,7 @@ def channel_major(spark, d):
 def windows_test_mode(spark, d):
     """Shots that lack the samples of an output give no windows in test mode."""
     sig = _sig(spark, d).where("not (shot_id % 3 = 0 and signal = 'error')")
-    return evaluation.window_ranges(sig, views.event_meta(spark), FORECAST, False).select("shot_id", "window_index").distinct()
+    return evaluation.fit_windows(sig, views.event_meta(spark), FORECAST).select("shot_id", "window_index")
 
 
 @query(REPORT + """, joined AS (SELECT * FROM tasks JOIN groups USING (task)) SELECT 'windows' AS level, count(*) AS n FROM w UNION ALL SELECT 'shots', count(*) FROM sm UNION ALL SELECT 'signals', count(*) FROM signals

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotloom.functions import names, values
-from shotloom.operators import baselines, batching, clean, metrics, pca, profiling, spectra, splits, stats, windows
+from shotloom.operators import baselines, batching, blocks, clean, kernel, metrics, pca, profiling, spectra, splits, stats, windows
 from shotloom.plans import evaluation, hooks, tasks, transforms
 from shotloom.sources import catalog, samples, tables
 from shotloom.streaming import live
@@ -108,13 +108,17 @@ def made(spark, task=TASK, **how):
 
 def test_range_and_cuts(spark):
     data, meta = series(spark)
-    shots = windows.shot_series(data, meta, ["x", "y"])
-    span = windows.shot_range(shots, TASK["roles"])
+    known = blocks.known(meta, ["x", "y", "q"])
+    span = blocks.shot_spans(data, known, TASK)
     assert tuple(span.select("shot_id", "start", "stop").first()) == (1, 1.0, 8.0)
     assert [(r.window_index, r.t_cut) for r in windows.cuts(span, TASK).orderBy("window_index").collect()] == [(0, 4.0), (1, 5.0)]
     assert windows.cuts(span, TASK | {"input_length": 5.0, "output_length": 3.0}).count() == 0
-    assert windows.shot_range(shots, TASK["roles"], every_output=True).count() == 1
-    assert windows.shot_range(shots, [*TASK["roles"], ("output", "q")], every_output=True).count() == 0
+    assert blocks.shot_spans(data, known, TASK, every_output=True).count() == 1
+    more = TASK | {"roles": [*TASK["roles"], ("output", "q")]}
+    assert blocks.shot_spans(data, known, more, every_output=True).count() == 0
+    assert evaluation.fit_windows(data, meta, more).count() == 0 and evaluation.fit_windows(data, meta, TASK, None).count() == 2
+    with pytest.raises(Exception, match="without gaps"):
+        blocks.shot_spans(data.where("t_idx <> 5"), known, TASK).collect()
 
 
 def test_windows(spark):
@@ -131,12 +135,11 @@ def test_missing_signal_has_nominal_length(spark):
     assert got[(1, "actuator")] == [None] * 5
 
 
-def test_clipping(spark):
-    data, meta = series(spark)
-    fit = windows.shot_series(data, meta, ["y"]).select("shot_id", "series", F.lit(0.0).alias("start"), F.lit(2.0).alias("first_cut"), F.array(F.lit(0)).alias("windows"))
-    out = windows.slices(fit, [("input", "y")], TASK, meta).first()
-    assert [v[0] for v in out["values"]] == [0, 0, 1]
-    assert out["time"] == [0, 0, 1]
+def test_clipping():
+    y = kernel.Series(0.0, 1.0, np.arange(9.0)[:, None])
+    block = kernel.Block(1, {"y": y}, 0.0, 2.0, 0, 1)
+    out = next(kernel.written(block, np.array([0]), TASK | {"roles": [("input", "y")]}, {"y": kernel.Meta(1.0, 1, 0.0)})).to_pydict()
+    assert out["values"] == [[[0.0], [0.0], [1.0]]] and out["time"] == [[0.0, 0.0, 1.0]] and out["lo"] == [-1]
 
 
 def test_pad(spark):
@@ -146,31 +149,23 @@ def test_pad(spark):
     assert out.t0 == -1.0 and [v[0] for v in out["values"]] == [None, None, None, 2, 3, 4, None, None]
 
 
-def screens(spark, rows, filled=False):
+def screens(rows, filled=False):
     """Whether the one window of two input samples and two output samples is fit; slices as (role, signal, values)."""
-    samples = [(1, s, i + (0 if role != "output" else 2), float(i + (0 if role != "output" else 2)), v) for role, s, vs in rows for i, v in enumerate(vs)]
-    samples += [(1, "z", 0, 0.0, [1.0]), (1, "z", 5, 5.0, [1.0])]  # spans the shot
-    data = spark.createDataFrame(samples, "shot_id long, signal string, t_idx int, time double, values array<double>")
-    meta = spark.createDataFrame([(s, 1.0, [1], 0.0, 1.0) for s in sorted({x[1] for x in samples})], "signal string, dt double, values_shape array<int>, mean double, std double")
-    task = TASK | {"input_length": 2.0, "stride": 10.0, "roles": [(r, s) for r, s, _ in rows]}
-    shots = windows.shot_series(data, meta, [s for _, s, _ in rows])
-    real = windows.shot_range
-    windows.shot_range = lambda df, roles, every=False: df.withColumns({"start": F.lit(0.0), "stop": F.lit(5.0)})
-    try:
-        return windows.fit_windows(shots, task, filled).count() > 0
-    finally:
-        windows.shot_range = real
-
-
-def test_screens(spark):
+    missing = lambda n: [[None]] * n
+    series_ = {s: kernel.Series(0.0, 1.0, np.array(missing(2) + v if role == "output" else v + missing(2), float)) for role, s, v in rows}
+    block = kernel.Block(1, series_, 0.0, 2.0, 0, 1)
+    return len(kernel.fit(block, TASK | {"input_length": 2.0, "stride": 10.0, "roles": [(r, s) for r, s, _ in rows]}, filled)) > 0
+
+
+def test_screens():
     gone, part, full = [[None], [None]], [[None], [1.0]], [[1.0], [1.0]]
-    assert not screens(spark, [("input", "a", gone), ("output", "y", full)])
-    assert not screens(spark, [("input", "a", part), ("output", "y", gone)])
-    assert screens(spark, [("input", "a", gone), ("actuator", "b", part), ("output", "y", part)])
-    assert screens(spark, [("input", "a", gone), ("input", "b", full), ("output", "y", part)])
-    assert not screens(spark, [("input", "a", part), ("output", "y", full)], True)
-    assert not screens(spark, [("input", "a", full), ("output", "y", part)], True)
-    assert screens(spark, [("input", "a", full), ("output", "y", full)], True)
+    assert not screens([("input", "a", gone), ("output", "y", full)])
+    assert not screens([("input", "a", part), ("output", "y", gone)])
+    assert screens([("input", "a", gone), ("actuator", "b", part), ("output", "y", part)])
+    assert screens([("input", "a", gone), ("input", "b", full), ("output", "y", part)])
+    assert not screens([("input", "a", part), ("output", "y", full)], True)
+    assert not screens([("input", "a", full), ("output", "y", part)], True)
+    assert screens([("input", "a", full), ("output", "y", full)], True)
 
 
 def test_persistence_and_mean(spark):

@@ -22,12 +22,18 @@ def test_every_query_has_sql():
     assert set(queries.QUERIES) - set(queries.ORACLES) == {"pca_variance", "pca_reconstruct_error"}  # held against numpy in test_fixtures
 
 
-@pytest.mark.parametrize("name", ["windows_markovian", "window_metrics_persistence", "signal_metrics", "pooled_stats_two_stage", "transform_plan"])
+@pytest.mark.parametrize("name", ["window_cuts", "shot_time_range", "pooled_stats_two_stage", "transform_plan"])
 def test_plans_stay_in_the_jvm(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+@pytest.mark.parametrize("name", ["windows_markovian", "windows_in_blocks", "window_metrics_persistence", "window_screen_sparse"])
+def test_windows_take_one_arrow_stage(spark, name):
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan and "InPandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 def test_scan_reads_what_it_needs(spark):
     plan = queries.shot_signal_stats(spark, SF)._jdf.queryExecution().toString()
     scan = plan[plan.rindex("ReadSchema") :]
