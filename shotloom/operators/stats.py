@@ -5,27 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import workspace
 from .clean import is_outlier
 
 
-def shot_stats(cells: DataFrame, median: bool = True) -> DataFrame:
+HELD = 1_000_000  # cells of a (shot, variable) whose counted values an aggregate may hold
+BUCKETS, FEW = 1024, 10_000
+
+
+def shot_stats(cells: DataFrame, median: bool = True, held: int = HELD) -> DataFrame:
     """Statistics of each (shot, variable) over cells (shot_id, variable, value); missing cells count only as such.
 
-    All but the median are combined before the shuffle.  The exact median comes from counts of distinct values, which are
-    combined before the shuffle too, cumulated in order of the value; leave it out where it is not needed."""
+    All are combined before the shuffle.  The exact median of a group is an aggregate over its counted values, but for groups
+    of over ``held`` cells (a thousandth of all cells, if that is more: a thousand groups at most), whose median is selected
+    by passes that count.  Leave the median out where it is not needed."""
     x, keys = F.col("value"), ["shot_id", "variable"]
-    plain = cells.groupBy(*keys).agg(
-        F.count("*").alias("n_dim_shot"), F.count_if(x.isNull()).alias("n_nans_shot"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max")
-    )
+    sums = [F.count("*").alias("n_dim_shot"), F.count_if(x.isNull()).alias("n_nans_shot"), F.avg(x).alias("mean"), F.var_pop(x).alias("variance"), F.min(x).alias("min"), F.max(x).alias("max")]
     if not median:
-        return plain
-    group = Window.partitionBy(*keys)
-    counts = cells.where(x.isNotNull()).groupBy(*keys, "value").agg(F.count("*").alias("_n"))
-    counts = counts.withColumns({"_upto": F.sum("_n").over(group.orderBy("value")), "_all": F.sum("_n").over(group)})
-    inside = lambda k: ((F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))).cast("int")
-    hits = inside(F.floor((F.col("_all") + 1) / 2)) + inside(F.floor((F.col("_all") + 2) / 2))
-    middle = counts.where(hits > 0).groupBy(*keys).agg((F.sum(x * hits) / 2).alias("median"))
-    return plain.join(middle, keys, "left")
+        return cells.groupBy(*keys).agg(*sums)
+    sizes = cells.groupBy(*keys).agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    large = sizes.where(F.col("n") > held)
+    if large.isEmpty():
+        return cells.groupBy(*keys).agg(*sums, F.median(x).alias("median"))
+    edge = max(held, sizes.agg(F.sum("n")).first()[0] // 1000)
+    large = workspace.keep(sizes.where(F.col("n") > edge))
+    small = cells.join(F.broadcast(large.select(*keys)), keys, "left_anti")  # a thousand groups at most
+    middle = small.groupBy(*keys).agg(F.median(x).alias("median")).unionByName(selected_medians(cells, large))
+    return cells.groupBy(*keys).agg(*sums).join(middle, keys, "left")
+
+
+def selected_medians(cells: DataFrame, groups: DataFrame, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
+    """(shot_id, variable, median), exact, of a small table of groups (shot_id, variable, n, lo, hi), by distributed selection.
+
+    Of each group one or two ranks are sought.  A pass counts the cells between lo and hi by equal parts of that range; the part
+    that holds a rank, down to its least and largest cell, is the next range.  lo and hi lie in different parts, so ranges
+    shrink until they hold one value or ``few`` cells, which are then put in order: after two or three passes for most data.  No
+    pass but the last moves cells."""
+    x, keys = F.col("value"), ["shot_id", "variable"]
+    ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
+    state = groups.where("n > 0").select(*keys, F.explode(ranks).alias("rank"), "n", "lo", "hi")
+    columns = [*keys, "target", "rank", "n", "lo", "hi"]
+    state = workspace.keep(state.withColumn("target", F.to_json(F.struct(*keys, "rank"))).select(columns))
+    wide = (F.col("lo") < F.col("hi")) & (F.col("n") > few)
+    while not (rest := state.where(wide)).isEmpty():
+        part = F.least(F.lit(buckets - 1), F.floor((x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets))
+        inside = cells.join(F.broadcast(rest.drop("n")), keys).where(x.between(F.col("lo"), F.col("hi")))  # two rows a group
+        counts = inside.groupBy(*keys, "target", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy("target").orderBy("part"))  # over the parts of a range
+        found = counts.withColumn("upto", upto).where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+        narrowed = found.withColumn("rank", F.col("rank") - F.col("upto") + F.col("n")).select(columns)
+        state = workspace.keep(state.where(~wide).unionByName(narrowed))
+    left = state.where("lo < hi")
+    inside = cells.join(F.broadcast(left.drop("n")), keys).where(x.between(F.col("lo"), F.col("hi")))
+    ordered = inside.groupBy(*keys, "target", "rank").agg(F.array_sort(F.collect_list(x)).alias("few")).select(*keys, F.element_at("few", F.col("rank").cast("int")).alias("at"))
+    return state.where("lo = hi").select(*keys, F.col("lo").alias("at")).unionByName(ordered).groupBy(*keys).agg(F.avg("at").alias("median"))
 
 
 def pooled(stats: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import blocks, kernel, metrics, windows
 from ..operators.windows import signals_of
+from . import transforms
 
 #: A predictor takes (windows, meta, task) and gives (shot_id, window_index, signal, prediction).
 Predictor = Callable[[DataFrame, DataFrame, dict], DataFrame]
@@ -43,6 +44,12 @@ def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool |
     return custom(out) if custom else out
 
 
+def make_transformed(samples: DataFrame, meta: DataFrame, task: dict, members: dict[str, list[str]] = transforms.MEMBERS, scale: bool = True, fill: bool = False, support: int = 512, filled: bool | None = None, block: float | None = None) -> DataFrame:
+    """Windows of a task over signals that have gone through their transform plans, spectra included."""
+    rows = samples.where(F.col("signal").isin(signals_of(task["roles"], "input", "actuator", "output")))
+    return make_windows(transforms.prepared(rows, meta, members, scale, fill, support), meta, task, filled, block=block)
+
+
 def window_ranges(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, block: float | None = None) -> DataFrame:
     """Windows of a task as index ranges, without values."""
     known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))

@@ -47,3 +47,15 @@ def apply_spectra(waves: DataFrame, meta: DataFrame, members: dict[str, list[str
     wanted = waves.where(family(F.col("signal"), members) == "probe")
     rows = spectra.stft(wanted, support).withColumnRenamed("power", "values")
     return apply_plan(rows, meta, {}) if scale else rows
+
+
+def prepared(samples: DataFrame, meta: DataFrame, members: dict[str, list[str]] = MEMBERS, scale: bool = True, fill: bool = False, support: int = 512) -> DataFrame:
+    """Samples as a task's windows take them: each signal through its whole plan, those of the probe family as spectra, which
+    have a sampling interval and numbers of their own.  meta: dt, mean and std of what comes out."""
+    probes = [s for s in members.get("probe", [])]
+    columns = ["shot_id", "signal", "t_idx", "time", "values"]
+    plain = apply_plan(samples.where(~F.coalesce(F.col("signal").isin(probes), F.lit(False))), meta, members, scale, fill).select(columns)
+    if not probes:
+        return plain
+    made = spectra.spectral_samples(samples.where(F.col("signal").isin(probes)), support)
+    return plain.unionByName(apply_plan(made, meta, {}, scale).select(columns))

@@ -83,3 +83,15 @@ def channel_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = spark.createDataFrame([(s, dt, [n]) for s, (_, n, dt) in CHANNELS.items()], "signal string, dt double, values_shape array<int>")
     cells = channel_samples(spark, sf_dir).select("signal", F.explode("values").alias("x"))
     return shapes.join(cells.groupBy("signal").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")), "signal")
+
+
+def probe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples of a fast and a slow signal: the embeddings of a label one after the other, every entry a sample of the wave
+    ``probe`` (two channels, the second in reverse order), their first entries those of ``slow``, one every 64 s."""
+    k = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = read(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("shot_id"), F.col("embedding").cast("array<double>").alias("x"), k.alias("k"))
+    fast = rows.select("shot_id", "k", "x", F.posexplode("x").alias("c", "v"))
+    at = F.col("k") * 64 + F.col("c")
+    probe = fast.select("shot_id", F.lit("probe").alias("signal"), at.cast("int").alias("t_idx"), at.cast("double").alias("time"), F.array("v", F.get("x", 63 - F.col("c"))).alias("values"))
+    slow = rows.select("shot_id", F.lit("slow").alias("signal"), F.col("k").cast("int").alias("t_idx"), (F.col("k") * 64).cast("double").alias("time"), F.array(F.get("x", F.lit(0))).alias("values"))
+    return probe.unionByName(slow)

@@ -74,6 +74,15 @@ def shot_signal_stats(spark, d):
     return _stats(spark, d, True).select("shot_id", "variable", "n_dim_shot", "n_nans_shot", r("mean").alias("mean"), r("variance").alias("variance"), "min", "max", r("median").alias("median"))
 
 
+@query(f"WITH {STATS} SELECT shot_id, variable, CAST(CAST(round(median, 9) AS FLOAT) AS DOUBLE) AS median FROM stats")
+def selected_medians(spark, d):
+    """Medians of all groups by the passes that count, as for groups too large for an aggregate; of a hundred cells each the
+    last ones are put in order."""
+    cells = views.order_cells(spark, d)
+    sizes = cells.groupBy("shot_id", "variable").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return stats.selected_medians(cells, workspace.keep(sizes), few=100).select("shot_id", "variable", r("median").alias("median"))
+
+
 @query(f"WITH {POOL} SELECT variable, CAST(CAST(round(g, 9) AS FLOAT) AS DOUBLE) AS global_mean, CAST(CAST(round(v, 9) AS FLOAT) AS DOUBLE) AS global_variance FROM pool2")
 def pooled_stats(spark, d):
     return stats.pooled(_stats(spark, d)).select("variable", r("global_mean").alias("global_mean"), r("global_variance").alias("global_variance"))
@@ -597,6 +606,13 @@ def window_shuffle(spark, d):
     return batching.shuffle(_cut(spark, d))
 
 
+@query()
+def window_shuffle_buffer(spark, d):
+    """Windows as index ranges in the order of a buffer of 512 places, in eight parts; held against plain Python in test_passes."""
+    cut = evaluation.fit_windows(_sig(spark, d), views.event_meta(spark), FORECAST, None)
+    return batching.shuffle_buffer(cut, 8).select("shot_id", "window_index", "part", "position")
+
+
 @query(SHUFFLED + " SELECT shot_id, window_index, CAST(shuffle_rank // 64 AS BIGINT) AS batch_id FROM sh")
 def window_batch_ids(spark, d):
     return batching.batch_ids(_cut(spark, d), 64, 42)
@@ -971,6 +987,31 @@ def channel_major(spark, d):
     return rows.select("shot_id", "window_index", "role", "signal", "c", F.size(there).cast("long").alias("n_present"), r(F.try_element_at(there, F.lit(-1))).alias("newest"))
 
 
+PROBE_TASK = {"task_type": "markovian", "input_length": 1024.0, "output_length": 128.0, "delta": 0.0, "stride": 256.0, "roles": [("input", "probe"), ("output", "slow")]}
+
+
+@query("""WITH vec AS (SELECT CAST(label AS BIGINT) AS shot_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, embedding FROM embeddings),
+ wave AS (SELECT shot_id, k * 64 + j AS t, ch, CAST(embedding[CASE ch WHEN 0 THEN j + 1 ELSE 64 - j END] AS DOUBLE) AS x FROM vec, (SELECT unnest(generate_series(0, 63)) AS j), (SELECT unnest([0, 1]) AS ch)),
+ f AS (SELECT shot_id, ch, t // 512 AS frame, t % 512 AS n, x * (1 - cos(2 * pi() * (t % 512) / 511)) / 2 AS y FROM wave QUALIFY count(*) OVER (PARTITION BY shot_id, ch, t // 512) = 512),
+ dft AS (SELECT shot_id, ch, frame, b, sum(y * cos(2 * pi() * ((b * n) % 512) / 512)) AS re, sum(y * sin(2 * pi() * ((b * n) % 512) / 512)) AS im FROM f, (SELECT unnest(generate_series(0, 255)) AS b) GROUP BY ALL),
+ raw AS (SELECT shot_id, 'probe' AS signal, frame AS t_idx, frame * 512 + 511.0 AS time, CAST(ch * 256 + b AS INTEGER) AS c, re * re + im * im AS x FROM dft UNION ALL SELECT shot_id, 'slow', k, k * 64.0, 0, CAST(embedding[1] AS DOUBLE) FROM vec),
+ meta AS (SELECT signal, avg(x) AS mean, stddev_pop(x) AS std FROM raw GROUP BY 1), cells AS (SELECT shot_id, signal, t_idx, time, c, (x - mean) / std AS x FROM raw JOIN meta USING (signal)),
+ ends AS (SELECT shot_id, signal, min(time) AS t0, max(time) AS t1, max(t_idx) + 1 AS n FROM cells GROUP BY ALL),
+ cuts AS (SELECT shot_id, unnest(generate_series(0, CAST(greatest(0, ceil((stop - 128.0 - start - 1024.0) / 256.0)) AS BIGINT) - 1)) AS w, start + 1024.0 + 256.0 * w AS t_cut FROM (SELECT p.shot_id, p.t0 AS start, s.t1 AS stop FROM ends p JOIN ends s ON p.shot_id = s.shot_id AND p.signal = 'probe' AND s.signal = 'slow')),
+ idx AS (SELECT c.shot_id, w, t_cut, signal, n, CAST(round_even((t_cut - t0) / CASE signal WHEN 'probe' THEN 512.0 ELSE 64.0 END, 0) AS BIGINT) AS e, pos FROM cuts c JOIN ends USING (shot_id), (SELECT unnest([0, 1]) AS pos))
+ SELECT i.shot_id, CAST(w AS INTEGER) AS window_index, t_cut, CASE i.signal WHEN 'probe' THEN 'input' ELSE 'output' END AS role, i.signal, CAST(pos AS INTEGER) AS pos, c, round(x, 6) + 0.0 AS value
+ FROM idx i JOIN cells ON cells.shot_id = i.shot_id AND cells.signal = i.signal AND cells.t_idx = least(greatest(CASE i.signal WHEN 'probe' THEN e - 2 ELSE e END + pos, 0), n - 1)""")
+def windows_of_spectra(spark, d):
+    """A fast signal's spectra (support 512) as inputs beside a slow output, through their transform plans."""
+    samples, members = views.probe_samples(spark, d), {"probe": ["probe"]}
+    plain = spark.createDataFrame([("probe", 512.0, [2, 256], None, None), ("slow", 64.0, [1], None, None)], "signal string, dt double, values_shape array<int>, mean double, std double")
+    cells = transforms.prepared(samples, plain, members, scale=False).select("signal", F.explode("values").alias("x"))
+    meta = plain.drop("mean", "std").join(cells.groupBy("signal").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")), "signal")
+    made = evaluation.make_transformed(samples, meta, PROBE_TASK, members)
+    rows = made.select("shot_id", "window_index", "t_cut", "role", "signal", F.posexplode("values").alias("pos", "v"))
+    return rows.select("shot_id", "window_index", "t_cut", "role", "signal", "pos", F.posexplode("v").alias("c", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
 # ---------------------------------------------------------------- sinks, dimensions and plans on whole tables
 
 
