@@ -4,7 +4,7 @@ Letters are lower-cased, everything else becomes a gap, and the 1- to 3-grams of
 features.  Document frequencies are counted over all documents that may be learned from.  The weights are trained with
 follow-the-regularised-leader and elastic-net penalties (so most stay zero) on a bounded sample, the same number of
 documents for each language at most, and SAMPLE in all; a part of the sample that is not trained on then gives the
-temperature that calibrates the scores.
+temperature that calibrates the scores.  Rows are sampled by id, text and place, and no more than half again as many reach the driver.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; so is every text if nothing can be learned
 from; texts of any length are read whole; languages that tie go to the one that comes first by name; repeated rows are
@@ -21,10 +21,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ROW, located, with_row_key
+
 BUCKETS = 1 << 15
 PER_LANGUAGE = 500  # documents of a language that the weights are trained on, about
 SAMPLE = 50_000  # documents that they are trained on, about: with over a hundred languages, fewer of each
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 2e-3, 1e-4, 3
+FEATURES = 30_000_000  # n-grams of all of them: the most frequent ones of each, beside 200 at least
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -146,28 +149,41 @@ class Model:
         return self.languages[int(s.argmax())], float(min(1.0, p.max() / p.sum()))
 
 
+def _frequent(counted: tuple[np.ndarray, np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of a training text; all of them where they are not too many."""
+    at, n = counted
+    if len(at) <= most:
+        return counted
+    chosen = np.sort(np.argsort(-n, kind="stable")[:most])
+    return at[chosen], n[chosen]
+
+
 def fit(docs: DataFrame, text_col: str = "text", label_col: str = "lang", per_language: int = PER_LANGUAGE, id_col: str = "doc_id") -> Model:
     """Learn from the labelled rows of ``docs``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("label is not null")
+    rows = with_row_key(located(docs), id=F.col(id_col), text=F.col(text_col), label=F.col(label_col).cast("string")).where("label is not null")
     df, n = document_frequencies(rows)
     idf = np.log((n + 1) / (df + 1)) + 1
     sizes = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}  # every label is learned
     model = Model(sorted(sizes), idf)
     if not sizes:
         return model
-    # a share of each language by a hash of the id, so that about per_language rows come, whatever the table's size
+    # a share of each language by a hash of id, text and place, so that about per_language rows come, whatever the table's size and
+    # however its rows repeat
     each = min(per_language, SAMPLE / len(sizes))
     share = F.create_map(*(x for k in model.languages for x in (F.lit(k), F.lit(min(1.0, 1.25 * each / sizes[k])))))
-    place = F.pmod(F.xxhash64(F.lit("langid"), "id", "text"), F.lit(1_000_000)) / 1_000_000
-    some = rows.where(place < F.element_at(share, F.col("label")))
+    place = F.pmod(F.xxhash64(F.lit("langid"), "id", "text", *ROW), F.lit(1_000_000)) / 1_000_000
+    limit = int(1.5 * each * len(sizes)) + 1
+    most = max(200, FEATURES // limit)
+    some = rows.where(place < F.element_at(share, F.col("label"))).select("label", "text", place.alias("place"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            got = [(t, ngram_counts(x)) for t, x in zip(b["label"], b["text"], strict=True)]
-            got = [(t, x) for t, x in got if x is not None]
-            yield pd.DataFrame({"label": [t for t, _ in got], "at": [x[0] for _, x in got], "n": [x[1].astype(np.int32) for _, x in got]})
+            got = [(t, p, ngram_counts(x)) for t, p, x in zip(b["label"], b["place"], b["text"], strict=True)]
+            got = [(t, p, _frequent(x, most)) for t, p, x in got if x is not None]
+            yield pd.DataFrame({"label": [t for t, _, _ in got], "place": [p for _, p, _ in got], "at": [x[0] for _, _, x in got], "n": [x[1].astype(np.int32) for _, _, x in got]})
 
-    sample = some.mapInPandas(run, "label string, at array<int>, n array<int>").toPandas()
+    made = some.mapInPandas(run, "label string, place double, at array<int>, n array<int>")
+    sample = made.orderBy("place", "label", "at").limit(limit).toPandas()  # ``limit`` rows of ``most`` numbers at most
     order = sorted(range(len(sample)), key=lambda i: (sample["label"][i], bytes(np.asarray(sample["at"][i], np.int32)), bytes(np.asarray(sample["n"][i], np.int32))))
     number = {t: k for k, t in enumerate(model.languages)}
     xs = [_vector((np.asarray(sample["at"][i]), np.asarray(sample["n"][i])), idf) for i in order]

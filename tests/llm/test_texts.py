@@ -538,3 +538,21 @@ def test_base_spans_at_random():
         for _ in range(400):
             text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 60)))
             assert [[(s, e) for k, s, e in pii.base_spans(text) if k == n] for n in range(4)] == plain_base(text), text
+
+
+def test_language_sample_of_repeated_rows(spark, tmp_path, monkeypatch):
+    """Rows that repeat are sampled by their place: two texts are told apart, and copies of one do not exceed the bound."""
+    two = spark.range(6000).selectExpr("1 doc_id", "if(id % 2 = 0, 'the house of the king is old', 'la maison du roi est vieille') text", "if(id % 2 = 0, 'en', 'fr') lang")
+    two.write.parquet(str(tmp_path / "two"))
+    docs = spark.read.parquet(str(tmp_path / "two"))
+    got = {(r.text[:2], r.lang_pred) for r in langid.identify(docs, per_language=100).distinct().join(docs.distinct(), "doc_id").collect()}
+    seen = []
+    train = langid.Model.train
+    monkeypatch.setattr(langid.Model, "train", lambda self, xs, ys: (seen.append(len(xs)), train(self, xs, ys))[1])
+    model = langid.fit(docs, per_language=100)
+    assert model.predict("the house of the king is old")[0] == "en" and model.predict("la maison du roi est vieille")[0] == "fr" and got
+    spark.range(30_000).selectExpr("7 doc_id", "'the house of the king is old' text", "'en' lang").coalesce(1).write.parquet(str(tmp_path / "one"))
+    langid.fit(spark.read.parquet(str(tmp_path / "one")), per_language=50)
+    assert seen[0] <= 301 and 20 <= seen[1] <= 76
+    monkeypatch.setattr(langid, "FEATURES", 1)
+    assert langid.fit(docs, per_language=20).predict("la maison du roi est vieille")[0] == "fr"
