@@ -9,7 +9,7 @@ block becomes one space.
 Reading takes time in proportion to the page, however broken its markup is.  Defined results: a quotation mark opens a
 value only after an equals sign and only if its partner ends the value; where a tag then finds no end, it and all later
 ones end at the next closing bracket, and without one the rest is text; a comment without an end is a lone tag; elements
-nested deeper than MOST_DEPTH count as their parent's content, so their text is kept; a null page has no blocks."""
+nested deeper than MOST_DEPTH keep their texts, tags and names, but not their order; a null page has no blocks."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 #: Element names by what they do to text.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 BREAK = {"hr"}
-SKIP = set("script style template noscript svg annotation annotation-xml iframe textarea title".split())
+SKIP = set("script style template noscript svg annotation annotation-xml iframe textarea title button select datalist".split())
 RAW = set("script style textarea title iframe noscript".split())
 ENDS = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*+>", re.I) for t in RAW}
 CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
@@ -84,7 +84,8 @@ def read_blocks(page: str | None) -> list[Block]:
     """Blocks in page order; blocks without text are left out."""
     blocks: list[Block] = []
     stack: list[Element] = []
-    deeper: dict[str, int] = {}  # open elements beyond MOST_DEPTH
+    deeper: dict[str, list[tuple[str, ...]]] = {}  # names of open elements beyond MOST_DEPTH, by tag
+    beyond: dict[tuple, list] = {}  # those elements, each kind once: how many are open, and one of them
     parts: list[tuple[str, bool]] = []
     page = page or ""
     at, links, skipping = 0, 0, ""
@@ -106,9 +107,14 @@ def read_blocks(page: str | None) -> list[Block]:
         text = " ".join((_html.unescape(raw) if "&" in raw else raw).split())
         if text:
             linked = sum(len(p) for p, inside in parts if inside)
-            blocks.append(Block(tuple(stack), text, linked / max(1, len(raw))))
+            blocks.append(Block((*stack, *(e for _, e in beyond.values())), text, linked / max(1, len(raw))))
         parts.clear()
 
+    def leave(kind: tuple) -> None:
+        beyond[kind][0] -= 1
+        if not beyond[kind][0]:
+            del beyond[kind]
+
     depth, tags = 0, _tags(page, 0)
     while (m := next(tags, None)) or skipping:
         if m is None:  # the skipped element never ends: back to where it began
@@ -155,7 +161,7 @@ def read_blocks(page: str | None) -> list[Block]:
             flush()
             links = 0
             if m[1] and deeper.get(tag):
-                deeper[tag] -= 1
+                leave((tag, *deeper[tag].pop()))
             elif m[1]:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k].tag == tag:
@@ -174,7 +180,13 @@ def read_blocks(page: str | None) -> list[Block]:
                 if len(stack) < MOST_DEPTH:
                     stack.append(Element(tag, _names(m[3])))
                 else:
-                    deeper[tag] = deeper.get(tag, 0) + 1
+                    if tag in CLOSES and deeper.get(tag):
+                        leave((tag, *deeper[tag].pop()))  # an end tag is implied
+                    names = _names(m[3])
+                    deeper.setdefault(tag, []).append(tuple(names))
+                    held = beyond.pop((tag, *names), None) or [0, Element(tag, names)]
+                    held[0] += 1
+                    beyond[(tag, *names)] = held  # the last is the one that was opened last
     parts.append((page[at:], links > 0))
     flush()
     return blocks

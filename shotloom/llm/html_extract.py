@@ -64,14 +64,25 @@ def _hashed(token: str) -> int:
 
 
 def _path_ids(block: Block) -> list[int]:
-    """Hashed tag-path tokens: tags and names of all elements, and the tag of the last."""
-    out = []
+    """Hashed tag-path tokens: tags and names of all elements, each once however deep a page nests, and the tag of the last."""
+    out: dict[int, None] = {}
     for e in block.path:
         if e.ids is None:
             e.ids = [_hashed(f"<{e.tag}"), *(_hashed(f".{w}") for w in e.names)]
-        out += e.ids
-    out.append(_hashed(f"={block.path[-1].tag}" if block.path else "="))
-    return out
+        out.update(dict.fromkeys(e.ids))
+    return [*out, _hashed(f"={block.path[-1].tag}" if block.path else "=")]
+
+
+TELLING = {_hashed(f"<{t}") for t in (*BOILERPLATE_TAGS, *CONTENT_TAGS)} | {_hashed(f".{w}") for w in (*BOILERPLATE_NAMES, *CONTENT_NAMES)}
+
+
+def _telling_apart(paths: list[list[int]]) -> list[list[int]]:
+    """Without the tokens that all blocks of a page share, unless they tell content or boilerplate: wrappers of a whole page say
+    nothing of its blocks, however many there are and whatever their names."""
+    if len(paths) < 2:
+        return paths
+    shared = set.intersection(*(set(p[:-1]) for p in paths)) - TELLING
+    return [[*(t for t in p[:-1] if t not in shared), p[-1]] for p in paths]
 
 
 def _measures(block: Block, at: int, n: int) -> list[float]:
@@ -85,7 +96,7 @@ class Sequence:
     """A page's blocks as numbers."""
 
     def __init__(self, blocks: list[Block]):
-        self.paths = [np.array(_path_ids(b), np.int32) for b in blocks]
+        self.paths = [np.array(p, np.int32) for p in _telling_apart([_path_ids(b) for b in blocks])]
         self.words = [np.array([zlib.crc32(w) % WORDS for w in b.text.encode("utf-8", "replace").lower().split()] or [0], np.int32) for b in blocks]
         self.measures = np.array([_measures(b, k, len(blocks)) for k, b in enumerate(blocks)], np.float32).reshape(-1, MEASURES)
 
