@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .splits import global_rank, seeded
+from .splits import global_rank, range_rank, seeded
 
 
 def shuffle(windows: DataFrame, seed: int = 42) -> DataFrame:
@@ -93,7 +93,7 @@ def batch_ids(windows: DataFrame, size: int, seed: int | None = None) -> DataFra
         ranked = shuffle(windows, seed)
     else:
         keys = windows.select("shot_id", "window_index").distinct()
-        ranked = global_rank(keys, [F.col("shot_id"), F.col("window_index")], F.floor(F.col("shot_id") / 4096)).withColumnRenamed("_rank", "shuffle_rank")
+        ranked = range_rank(keys, ["shot_id", "window_index"]).withColumnRenamed("_rank", "shuffle_rank")
     return ranked.select("shot_id", "window_index", F.floor(F.col("shuffle_rank") / size).alias("batch_id"))
 
 

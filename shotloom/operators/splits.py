@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans import workspace
 
 def seeded(key: Column, seed: int) -> Column:
     return F.md5(F.concat_ws("-", key.cast("string"), F.lit(str(seed))))
@@ -24,6 +25,21 @@ def global_rank(df: DataFrame, order: list[Column], bucket: Column) -> DataFrame
     return rows.withColumn("_inside", inside).join(sizes, "_bucket").withColumn("_rank", F.col("_before") + F.col("_inside")).drop("_bucket", "_before", "_inside")
 
 
+def range_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with _rank (0-based) by the columns ``order``, which must tell all rows apart.
+
+    Rows go to range partitions, are sorted there and written once, each numbered inside its partition; a row per partition then
+    says how many come before it.  So no window and no task sees more than a partition's rows."""
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = workspace.keep(dealt.withColumn("_id", F.monotonically_increasing_id()))  # partition and place; written, as another run may draw other ranges
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over partitions
+    offsets = sizes.select("_part", before.alias("_before"))
+    rows = numbered.withColumns({"_part": part, "_place": place})
+    return rows.join(F.broadcast(offsets), "_part").withColumn("_rank", F.col("_before") + F.col("_place")).drop("_id", "_part", "_place", "_before")
+
+
 def seeded_rank(shots: DataFrame, seed: int, id_col: str = "shot_id") -> DataFrame:
     key = seeded(F.col(id_col), seed)
     return global_rank(shots, [key, F.col(id_col)], F.substring(key, 1, 4))
@@ -75,14 +91,10 @@ def head_per_split(splits: DataFrame, most: int | None = None, per_split: dict[s
 
 
 def split_temporal(shots: DataFrame, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """(shot_id, split) by time: the earliest for train, the latest for test.  shots: (shot_id, time).
-
-    Ranks are taken inside seconds or, where all times of an hour are equal, inside ranges of ids, so a campaign that fills a day does not go to one task."""
+    """(shot_id, split) by time: the earliest for train, the latest for test.  shots: (shot_id, time).  Shots of one time are
+    ordered by id, so a campaign that fills a day is cut like any other."""
     n = shots.agg(F.count("*").alias("_n"))
-    at_hour = F.date_trunc("hour", F.col("time"))  # inside an hour ids come before minutes only if all its times are equal
-    spread = shots.select("shot_id", "time").join(shots.groupBy(at_hour.alias("_hour")).agg((F.min("time") == F.max("time")).alias("_flat")), at_hour == F.col("_hour")).drop("_hour")
-    bucket = F.struct(at_hour.alias("hour"), F.when(F.col("_flat"), F.floor(F.col("shot_id") / 4096)).otherwise(F.floor(F.unix_micros(F.col("time").cast("timestamp")) / 1_000_000)).alias("part"))
-    ranked = global_rank(spread, [F.col("time"), F.col("shot_id")], bucket).join(F.broadcast(n))  # one row
+    ranked = range_rank(shots.select("shot_id", "time"), ["time", "shot_id"]).join(F.broadcast(n))  # one row
     at = F.col("_rank") / F.col("_n")
     return ranked.select("shot_id", F.when(at < train, "train").when(at < train + val, "val").otherwise("test").alias("split"))
 

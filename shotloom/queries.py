@@ -618,6 +618,11 @@ def window_batch_ids(spark, d):
     return batching.batch_ids(_cut(spark, d), 64, 42)
 
 
+@query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, CAST((row_number() OVER (ORDER BY shot_id, window_index) - 1) // 64 AS BIGINT) AS batch_id FROM cuts")
+def window_batch_ids_by_shot(spark, d):
+    return batching.batch_ids(_cut(spark, d), 64)
+
+
 @query(SHUFFLED + " SELECT CAST(shuffle_rank // 64 AS BIGINT) AS batch_id, role, signal, count(*) AS n_values, count(value) AS n_present FROM win JOIN sh USING (shot_id, window_index) GROUP BY ALL")
 def window_batches(spark, d):
     made = _made(spark, d, FORECAST)

@@ -127,3 +127,17 @@ def test_draws_are_even():
     counts = np.bincount(x.astype(int), minlength=64)
     assert 850 < counts.min() and counts.max() < 1150
     assert (batching.draws(1, 2, 100, 5) == batching.draws(1, 2, 0, 200)[100:105]).all() and (batching.draws(1, 3, 0, 9) != batching.draws(1, 2, 0, 9)).any()
+
+
+def test_rank_by_range_partitions(spark):
+    from shotloom.operators import splits
+
+    rows = [(k % 7, k) for k in range(500)] + [(None, 1000 + k) for k in range(20)]
+    random.Random(2).shuffle(rows)
+    df = spark.createDataFrame(rows, "time int, shot_id long").repartition(3)
+    got = {r.shot_id: r._rank for r in splits.range_rank(df, ["time", "shot_id"]).collect()}
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert got == {shot: k for k, (_, shot) in enumerate(want)}
+    assert splits.range_rank(df.limit(0), ["time", "shot_id"]).count() == 0
+    one = splits.split_temporal(spark.range(100).selectExpr("id AS shot_id", "timestamp'2024-01-01' AS time"))
+    assert {r.shot_id: r.split for r in one.collect()} == {k: "train" if k < 80 else "val" if k < 90 else "test" for k in range(100)}
