@@ -464,8 +464,12 @@ def _metric_rows(df: DataFrame) -> DataFrame:
 
 def _shots(spark, d):
     tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
-    every = _persisted(spark, d).unionByName(_averaged(spark, d).withColumn("task", F.explode(tasks)))
-    return workspace.keep(metrics.shot_metrics(every, views.event_meta(spark, _sig(spark, d))))  # a few rows per shot, which reports read twice
+    sig = workspace.keep(_sig(spark, d))  # samples and signals are read by both forecasts
+    meta = workspace.keep(views.event_meta(spark, sig))
+    persisted = evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist)
+    averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean)
+    every = persisted.unionByName(averaged.withColumn("task", F.explode(tasks)))
+    return workspace.keep(metrics.shot_metrics(every, meta))  # a few rows per shot, which reports read twice
 
 
 def _groups(spark):
