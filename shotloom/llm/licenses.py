@@ -1,13 +1,16 @@
 """License scans with a positional rare-token index, in DataFrame functions only.
 
-The index lists, for each telling word of the license templates, the templates and the places where it stands.  A
-document's license words are found with their places, and all of them are looked up in the index; postings that agree on
-the relative position (place in the document less place in the template) support one alignment of one template.  Only of
-templates with an aligned place are the mandatory key phrases then looked for, and a template is reported if an alignment
-has enough support, in hits and in inverse document frequency (counted over all documents).  Three plain phrases are
-counted beside that.
-
-One pass reads the texts; what follows works on license words only.
+The index lists, for each telling word of the license templates, the templates and the places where it stands.  Words are
+weighed by inverse document frequency, counted over all documents first.  For each document and template, the rarest of
+the document's license words are looked up, then commoner ones, but only while the words that are left, with one that was
+looked up, could still carry an alignment past LEAST_SCORE.  After that, any alignment that passes holds two or more of the
+postings looked up, so templates without two that agree on the relative position (place in the document less place in the
+template) are out, and none is lost.  Of the others the mandatory key phrases must stand in the text, and then all postings
+of all words are aligned: a template is reported if one alignment has enough support, in hits and in weight.  Three plain
+phrases are counted beside that.
+
+One pass reads the texts; it also notes which templates' key phrases they hold.  What follows works on license words only,
+and up to the few documents with a template left, inside each row.
 
 Defined results: a null or empty text has no words, empty label lists, null first and last places and score 0; texts of
 any length are scanned whole; repeated rows are scanned each; templates and alignments that tie are all reported, in order
@@ -16,8 +19,10 @@ of their names; an empty table gives an empty one; other columns are not read, s
 
 from __future__ import annotations
 
+import json
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +31,6 @@ from .common import materialize
 
 #: Words over lower-cased text; on text of any case the letters A-Z belong to them too.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-TOP_WORDS = None  # of a document's index words, how many are looked up: all, so that no notice crowds out another
 LEAST_HITS = 4
 LEAST_SCORE = 0.6
 
@@ -62,8 +66,8 @@ def _postings() -> dict[str, list[tuple[str, int]]]:
     return index
 
 
-def _places(lic: Column) -> Column:
-    """Places of the plain phrases, from the license words with their places."""
+def _places(lic: Column, ids: dict[str, int]) -> Column:
+    """Places of the plain phrases, from the license words' numbers and places."""
 
     def at(j: Column) -> Column:
         out = F.lit(None).cast("struct<label:string,at:int>")
@@ -71,7 +75,7 @@ def _places(lic: Column) -> Column:
             hit = F.lit(True)
             for k, word in enumerate(phrase.split()):
                 here = F.get(lic, j + k)
-                hit = hit & F.coalesce((here["w"] == word) & (here["i"] == F.get(lic, j)["i"] + k), F.lit(False))
+                hit = hit & F.coalesce((here["w"] == ids[word]) & (here["i"] == F.get(lic, j)["i"] + k), F.lit(False))
             out = F.when(hit, F.struct(F.lit(label).alias("label"), F.get(lic, j)["i"].alias("at"))).otherwise(out)
         return out
 
@@ -83,46 +87,92 @@ def _listed(labels: Column) -> Column:
     return F.array_join(F.array_sort(F.array_distinct(labels)), ",")
 
 
+def _literal(value: object, kind: str) -> Column:
+    """A constant of fixed size."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once a row: inside a lambda a plain column would be computed at every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def rarest(words: Column, weight: dict[str, float], ids: dict[str, int], index: dict[str, list[tuple[str, int]]], labels: list[str]) -> Column:
+    """Keys (template * 65536 + word) of what is looked up, from the distinct license words of a document.
+
+    Of each template, words go from rare to common; a word is looked up if those from it on, with the rarest one, could carry
+    LEAST_SCORE of the weight of all the document's words that the template holds."""
+    held: list[list[dict]] = [[] for _ in ids]
+    for w, all_ in index.items():
+        for label in sorted({label for label, _ in all_}):
+            held[ids[w]].append({"t": labels.index(label), "rare": -weight[w], "w": ids[w], "mass": weight[w] * sum(x == label for x, _ in all_)})
+    entries = F.sort_array(F.flatten(F.transform(words, lambda w: F.get(_literal(held, "array<array<struct<t:int,rare:double,w:int,mass:double>>>"), w))))
+    add = lambda x: F.aggregate(x, F.lit(0.0), lambda acc, y: acc + y["mass"])
+    could = lambda mine: F.transform(_literal(list(range(len(labels))), "array<int>"), lambda t: add(F.filter(mine, lambda x: x["t"] == t)))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["now"]["t"] == x["t"]
+        before, first = F.when(same, s["before"]).otherwise(0.0), F.when(same, s["first"]).otherwise(-x["rare"])
+        of = F.get(s["could"], x["t"])
+        needed = of - before + first >= LEAST_SCORE * of - 1e-9
+        out = F.when(needed, F.concat(s["out"], F.array(x["t"] * 65536 + x["w"]))).otherwise(s["out"])
+        return F.struct(x.alias("now"), (before + x["mass"]).alias("before"), first.alias("first"), s["could"].alias("could"), out.alias("out"))
+
+    none = F.struct(F.lit(-1).alias("t"), F.lit(0.0).alias("rare"), F.lit(-1).alias("w"), F.lit(0.0).alias("mass"))
+    start = lambda mine: F.struct(none.alias("now"), F.lit(0.0).alias("before"), F.lit(0.0).alias("first"), could(mine).alias("could"), F.array().cast("array<int>").alias("out"))
+    return _once(entries, lambda mine: F.aggregate(mine, start(mine), step, lambda s: s["out"]))
+
+
+def supported(lic: Column, looked: Column, ids: dict[str, int], index: dict[str, list[tuple[str, int]]], labels: list[str]) -> Column:
+    """Templates of which two postings that were looked up agree on the relative position."""
+    posted: list[list[dict]] = [[] for _ in ids]
+    for w, all_ in index.items():
+        posted[ids[w]] = [{"k": labels.index(label) * 65536 + ids[w], "t": labels.index(label), "at": at} for label, at in all_]
+    hits = lambda x, keys: F.filter(F.get(_literal(posted, "array<array<struct<k:int,t:int,at:int>>>"), x["w"]), lambda p: F.array_contains(keys, p["k"]))
+    # template and shift in one long; the shift is above -65536, as no template is that long
+    shift = lambda x, p: p["t"].cast("long") * 2**40 + (x["i"] - p["at"] + 65536)
+    shifts = _once(looked, lambda keys: F.sort_array(F.flatten(F.transform(lic, lambda x: F.transform(hits(x, keys), lambda p: shift(x, p))))))
+    agreed = _once(shifts, lambda all_: F.zip_with(all_, F.slice(all_, 2, F.greatest(F.size(all_), F.lit(1))), lambda a, b: F.when(a == b, F.floor(a / 2**40).cast("int"))))
+    return F.array_distinct(F.filter(agreed, lambda t: t.isNotNull()))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row."""
     spark = docs.sparkSession
-    index = _postings()
+    index, labels = _postings(), sorted(TEMPLATES)
     wanted = sorted(set(index) | {w for p in PHRASES for w in p.split()})
+    ids = {w: i for i, w in enumerate(wanted)}
 
     # lower() maps one sign outside A-Z to an ASCII letter; that sign is put aside first
-    text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("K"), F.lit("ĸ")))
+    text = F.lower(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
     words = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"))
-    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("w"), i.alias("i")))), lambda x: x.isNotNull())
+    numbers = F.create_map(*(x for w, i in ids.items() for x in (F.lit(w), F.lit(i))))
+    found = F.filter(F.transform("words", lambda w, i: F.when(w.isin(wanted), F.struct(F.element_at(numbers, w).alias("w"), i.alias("i")))), lambda x: x.isNotNull())
     one = words.select("doc_id", "words", found.alias("lic"))
-    # postings as label:shift, sorted: a shift that LEAST_HITS postings agree on stands so many times in a row
-    posted = F.create_map(*(x for w, all_ in sorted(index.items()) for x in (F.lit(w), F.array(*(F.struct(F.lit(label).alias("label"), F.lit(at).alias("at")) for label, at in all_)))))
-    shifts = F.transform("lic", lambda x: F.transform(F.coalesce(F.try_element_at(posted, x["w"]), F.array().cast("array<struct<label:string,at:int>>")), lambda p: F.concat(p["label"], F.lit(":"), x["i"] - p["at"])))
-    one = one.withColumn("shifts", F.when(F.size("lic") >= LEAST_HITS, F.sort_array(F.flatten(shifts))))
-    rows = F.sequence(F.lit(0), F.size("shifts") - LEAST_HITS)
-    agreed = F.filter(rows, lambda j: F.get("shifts", j) == F.get("shifts", j + (LEAST_HITS - 1)))
-    labels = F.array_distinct(F.transform(agreed, lambda j: F.substring_index(F.get("shifts", j), ":", 1)))
-    one = one.withColumn("aligned", F.when(F.size("shifts") >= LEAST_HITS, labels).otherwise(F.array().cast("array<string>")))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    mandatory = F.create_map(*(x for label, (_, phrases) in TEMPLATES.items() for x in (F.lit(label), F.array(*(F.lit(f" {p} ") for p in phrases)))))
-    proven = F.when(F.size("aligned") > 0, F.filter("aligned", lambda t: F.forall(F.element_at(mandatory, t), lambda p: F.contains(joined, p)))).otherwise(F.col("aligned"))
-    slim = materialize(one.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "lic", proven.alias("proven")))
+    every = _literal([{"t": t, "p": [f" {p} " for p in TEMPLATES[label][1]]} for t, label in enumerate(labels)], "array<struct<t:int,p:array<string>>>")
+    stated = F.transform(F.filter(every, lambda x: F.forall(x["p"], lambda p: F.contains(joined, p))), lambda x: x["t"])
+    no_labels = F.array().cast("array<int>")
+    slim = materialize(one.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "lic", F.when(F.size("lic") >= LEAST_HITS, stated).otherwise(no_labels).alias("stated")))
 
     # document frequency of the index words, a few hundred numbers
-    distinct = F.array_distinct(F.transform("lic", lambda x: x["w"]))
+    slim_words = slim.withColumn("distinct", F.array_distinct(F.transform("lic", lambda x: x["w"])))
     n = max(1, slim.count())
-    seen = {r.w: r.n for r in slim.select(F.explode(distinct).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
-    weight = {w: math.log((n + 2) / (seen.get(w, 0) + 1)) + 1e-6 for w in index}
-    some = slim.where(F.size("proven") > 0).select("row", "proven", F.explode("lic").alias("x"))
-    postings = spark.createDataFrame([(w, label, at, weight[w]) for w, all_ in sorted(index.items()) for label, at in all_], "w string, label string, at int, idf double")
+    seen = {r.w: r.n for r in slim_words.select(F.explode("distinct").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
+    weight = {w: math.log((n + 2) / (seen.get(ids[w], 0) + 1)) + 1e-6 for w in index}
+    looked = slim_words.where(F.size("lic") >= LEAST_HITS).withColumn("looked", rarest(F.col("distinct"), weight, ids, index, labels))
+    left = looked.select("row", "lic", F.array_intersect(supported(F.col("lic"), F.col("looked"), ids, index, labels), "stated").alias("left"))
+    some = left.where(F.size("left") > 0).select("row", "left", F.explode("lic").alias("x"))
+    postings = spark.createDataFrame([(ids[w], labels.index(label), at, weight[w]) for w, all_ in sorted(index.items()) for label, at in all_], "w int, t int, at int, idf double")
     # at most one row per posting: a table of fixed size
-    met = some.select("row", "proven", F.col("x.w").alias("w"), F.col("x.i").alias("i")).join(F.broadcast(postings), "w").where(F.array_contains("proven", F.col("label")))
-    aligned = met.groupBy("row", "label", (F.col("i") - F.col("at")).alias("shift")).agg(F.count("*").alias("hits"), F.sum("idf").alias("got"))
-    could = met.select("row", "label", "w", "at", "idf").distinct().groupBy("row", "label").agg(F.sum("idf").alias("could"))
-    best = aligned.where(F.col("hits") >= LEAST_HITS).groupBy("row", "label").agg(F.max("got").alias("got"))
-    named = best.join(could, ["row", "label"]).withColumn("score", F.least(F.lit(1.0), F.col("got") / F.col("could"))).where(F.col("score") >= LEAST_SCORE)
-    named = named.groupBy("row").agg(F.collect_set("label").alias("named"), F.max("score").alias("score"))
-
-    base = slim.select("row", "doc_id", "n_words", _places(F.col("lic")).alias("places"))
+    met = some.select("row", "left", F.col("x.w").alias("w"), F.col("x.i").alias("i")).join(F.broadcast(postings), "w").where(F.array_contains("left", F.col("t")))
+    aligned = met.groupBy("row", "t", (F.col("i") - F.col("at")).alias("shift")).agg(F.count("*").alias("hits"), F.sum("idf").alias("got"))
+    could = met.select("row", "t", "w", "at", "idf").distinct().groupBy("row", "t").agg(F.sum("idf").alias("could"))
+    best = aligned.where(F.col("hits") >= LEAST_HITS).groupBy("row", "t").agg(F.max("got").alias("got"))
+    named = best.join(could, ["row", "t"]).withColumn("score", F.least(F.lit(1.0), F.col("got") / F.col("could"))).where(F.col("score") >= LEAST_SCORE)
+    named = named.groupBy("row").agg(F.collect_set(F.get(_literal(labels, "array<string>"), F.col("t"))).alias("named"), F.max("score").alias("score"))
+
+    base = slim.select("row", "doc_id", "n_words", _places(F.col("lic"), ids).alias("places"))
     base_labels, starts = F.transform("places", lambda x: x["label"]), F.transform("places", lambda x: x["at"].cast("long"))
     all_labels = F.concat(base_labels, F.coalesce("named", F.array().cast("array<string>")))
     return base.join(named, "row", "left").select(

@@ -137,7 +137,7 @@ def plain_scan(texts):
     idf = {w: np.log((len(docs) + 2) / (seen[w] + 1)) + 1e-6 for w in index}
     out = []
     for d in docs:
-        known = sorted({w for w in d if w in index}, key=lambda w: (-idf[w], [-ord(c) for c in w]))[: licenses.TOP_WORDS]
+        known = sorted({w for w in d if w in index})
         said = f" {' '.join(d)} "
         named = {}
         for label, (_, phrases) in licenses.TEMPLATES.items():
