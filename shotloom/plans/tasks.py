@@ -6,42 +6,103 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..schema import TASK_SIGNALS, TASKS
 
-# Signal names of the task definitions.
-MAGNETICS = [
-    "magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field",
-    "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip",
-]
-SHAPE = [f"equilibrium-{s}" for s in "elongation elongation_axis triangularity_upper triangularity_lower x_point_r x_point_z minor_radius magnetic_axis_r magnetic_axis_z q95 beta_tor beta_pol beta_normal bvac_rmag bphi_rmag".split()]
-BETAS = ["equilibrium-beta_tor", "equilibrium-beta_pol", "equilibrium-beta_normal"]
-CURRENTS = ["pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"]
-ACTUATORS = ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"]
-COILS = ["pf_active-coil_voltage", "summary-power_nbi"]
-DENSITY, DALPHA, PSI = "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "equilibrium-psi"
-CAMERAS = ["soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"]
-PROFILES = ["thomson_scattering-t_e", "thomson_scattering-n_e"]
+# Signals of which single missing channels may be filled.
+FILLED = [
+    "magnetics-flux_loop_flux",
+    "magnetics-b_field_pol_probe_ccbv_field",
+    "magnetics-b_field_pol_probe_obr_field",
+    "magnetics-b_field_pol_probe_obv_field",
+    "magnetics-b_field_tor_probe_saddle_voltage",
+    "thomson_scattering-t_e",
+    "thomson_scattering-n_e",
+]
+
+# Signals that share a chain of transforms.
 LCFS = ["equilibrium-lcfs_r", "equilibrium-lcfs_z"]
 X_POINTS = ["equilibrium-x_point_r", "equilibrium-x_point_z"]
 PROBES = ["magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"]
-LONG = [*MAGNETICS, DENSITY, DALPHA, *CAMERAS, *PROBES]
-#: Signals of which single missing channels may be filled.
-FILLED = [*MAGNETICS[:5], *PROFILES]
 
 # Inputs, actuators and outputs of each task.
 ROLES = {
-    "1-1": (MAGNETICS, [], SHAPE), "1-2": (MAGNETICS, [], LCFS), "1-3": (MAGNETICS, [], [PSI]),
-    "2-1": (MAGNETICS, COILS, [*CURRENTS, *SHAPE]), "2-2": (MAGNETICS, COILS, LCFS), "2-3": (MAGNETICS, COILS, [PSI]),
-    "3-1": (PROFILES, ACTUATORS, PROFILES), "3-2": ([*PROFILES, DALPHA, *CAMERAS], ACTUATORS, [DALPHA, *CAMERAS]), "3-3": ([*MAGNETICS, DENSITY], ACTUATORS, [*PROFILES, *BETAS]),
-    "4-1": (LONG, ACTUATORS, CAMERAS), "4-2": ([*LONG, *PROFILES], ACTUATORS, CAMERAS), "4-3": (LONG, ACTUATORS, ["equilibrium-magnetic_axis_z"]),
-    "4-4": (LONG, ACTUATORS, ["summary-ip"]), "4-5": (LONG, ACTUATORS, PROBES),
+    "1-1": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        [],
+        ["equilibrium-elongation", "equilibrium-elongation_axis", "equilibrium-triangularity_upper", "equilibrium-triangularity_lower", "equilibrium-x_point_r", "equilibrium-x_point_z", "equilibrium-minor_radius", "equilibrium-magnetic_axis_r", "equilibrium-magnetic_axis_z", "equilibrium-q95", "equilibrium-beta_tor", "equilibrium-beta_pol", "equilibrium-beta_normal", "equilibrium-bvac_rmag", "equilibrium-bphi_rmag"],
+    ),
+    "1-2": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        [],
+        ["equilibrium-lcfs_r", "equilibrium-lcfs_z"],
+    ),
+    "1-3": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        [],
+        ["equilibrium-psi"],
+    ),
+    "2-1": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        ["pf_active-coil_voltage", "summary-power_nbi"],
+        ["pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "equilibrium-elongation", "equilibrium-elongation_axis", "equilibrium-triangularity_upper", "equilibrium-triangularity_lower", "equilibrium-x_point_r", "equilibrium-x_point_z", "equilibrium-minor_radius", "equilibrium-magnetic_axis_r", "equilibrium-magnetic_axis_z", "equilibrium-q95", "equilibrium-beta_tor", "equilibrium-beta_pol", "equilibrium-beta_normal", "equilibrium-bvac_rmag", "equilibrium-bphi_rmag"],
+    ),
+    "2-2": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        ["pf_active-coil_voltage", "summary-power_nbi"],
+        ["equilibrium-lcfs_r", "equilibrium-lcfs_z"],
+    ),
+    "2-3": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip"],
+        ["pf_active-coil_voltage", "summary-power_nbi"],
+        ["equilibrium-psi"],
+    ),
+    "3-1": (
+        ["thomson_scattering-t_e", "thomson_scattering-n_e"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["thomson_scattering-t_e", "thomson_scattering-n_e"],
+    ),
+    "3-2": (
+        ["thomson_scattering-t_e", "thomson_scattering-n_e", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"],
+    ),
+    "3-3": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["thomson_scattering-t_e", "thomson_scattering-n_e", "equilibrium-beta_tor", "equilibrium-beta_pol", "equilibrium-beta_normal"],
+    ),
+    "4-1": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"],
+    ),
+    "4-2": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage", "thomson_scattering-t_e", "thomson_scattering-n_e"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"],
+    ),
+    "4-3": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["equilibrium-magnetic_axis_z"],
+    ),
+    "4-4": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["summary-ip"],
+    ),
+    "4-5": (
+        ["magnetics-flux_loop_flux", "magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_tor_probe_saddle_voltage", "pf_active-coil_current", "pf_active-solenoid_current", "summary-ip", "interferometer-n_e_line", "spectrometer_visible-filter_spectrometer_dalpha_voltage", "soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"],
+        ["pulse_schedule-i_plasma", "pulse_schedule-n_e_line", "summary-power_nbi", "gas_injection-total_injected"],
+        ["magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_pol_probe_omv_voltage"],
+    ),
 }
 
 # Signals that an expert's flag on a shot makes unusable.
 FLAGS = {
     "thomson_max_outlier": ["thomson_scattering-n_e", "thomson_scattering-t_e"],
     "thomson_nan_count_outlier": ["thomson_scattering-n_e", "thomson_scattering-t_e"],
-    "sxr_max_outlier": CAMERAS,
-    "magnetics_bfield_probe_mean_outlier": [f"magnetics-b_field_{s}" for s in "pol_probe_ccbv_field pol_probe_obr_field pol_probe_obv_field pol_probe_omv_voltage tor_probe_cc_field tor_probe_saddle_voltage".split()],
-}
+    "sxr_max_outlier": ["soft_x_rays-horizontal_cam_lower", "soft_x_rays-horizontal_cam_upper"],
+    "magnetics_bfield_probe_mean_outlier": ["magnetics-b_field_pol_probe_ccbv_field", "magnetics-b_field_pol_probe_obr_field", "magnetics-b_field_pol_probe_obv_field", "magnetics-b_field_pol_probe_omv_voltage", "magnetics-b_field_tor_probe_cc_field", "magnetics-b_field_tor_probe_saddle_voltage"],
+}
 
 # Fixed values: (task, type, input, output, delta) in seconds; the first digit is the group.
 LENGTHS = [
