@@ -57,14 +57,16 @@ NEEDS = {"address": re.compile("Street|Avenue|Road|Lane|Drive|Boulevard|St|Ave|R
 CUES = {
     "ssn": {"ssn", "social", "security", "taxpayer", "insured", "born"}, "iban": {"iban", "account", "bank", "transfer", "konto", "compte", "payee", "beneficiary"},
     "secret": {"token", "key", "secret", "password", "passwd", "pwd", "api", "apikey", "bearer", "aws", "private", "credential", "credentials", "authorization", "auth", "passphrase"},
-    "local_phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "contact", "dial", "reach", "ring"},
+    "local_phone": {"phone", "tel", "telephone", "call", "mobile", "cell", "fax", "contact", "dial", "reach", "ring", "number", "text", "voicemail", "extension"},
     "address": {"address", "lives", "living", "resident", "residing", "home", "ship", "deliver", "delivery", "mail", "moved", "at"},
-    "person": {"patient", "contact", "name", "signed", "dear", "by", "sincerely", "regards", "client", "tenant", "employee", "met", "from"},
+    "person": {"patient", "contact", "name", "signed", "dear", "by", "sincerely", "regards", "client", "tenant", "employee", "met", "from", "told", "asked", "wrote", "thank", "thanked", "said", "says", "saw", "with", "to", "for", "agreed", "arrived"},
 }
 HARMLESS = set(
     "version isbn issn doi page pages figure fig table chapter section sha sha1 sha256 commit checksum hash digest md5 uuid guid etag revision build order invoice example serial part model item catalog sku path file directory "
-    "package library module class movie film novel drink brand episode series song album character game ticket row lot measurement".split()
+    "package library module class movie film novel drink brand episode series song album character game ticket row lot measurement ratio score".split()
 )
+#: Of these, words for where a personal number is kept.
+ON_RECORD = {"file", "path", "directory", "class", "page"}
 #: Account number lengths by country code; common first and last names; beginnings of well-known tokens.
 IBAN_LENGTHS = {
     "AD": 24, "AE": 23, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GE": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IL": 23,
@@ -80,6 +82,8 @@ LAST_NAMES = set(
     "Young Allen King Wright Scott Torres Hill Green Adams Baker Nelson Carter Mitchell Roberts Turner Phillips Campbell Parker Evans Weber Schmidt Fischer Meyer Wagner Becker Schulz Hoffmann Dubois Durand Moreau Rossi Bianchi "
     "Silva Santos Kim Park Nguyen Tran Chen Wang Zhang Singh Kumar Patel Khan Ali Tanaka Sato Novak Kowalski Jansen Larsen".split()
 )
+#: Names after a title that are brands or characters.
+NOT_PERSONS = set("Pepper Robot Clean Strange Doubtfire Bean Muscle Potato Incredible Who Evil Dre Seuss".split())
 TOKEN_STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "glpat-", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "SG.")
 VOTES = ["form", "gazetteer", "cue", "harmless", "shape", "layout"]
 HASHED = 1024  # places of context and shape features
@@ -155,7 +159,8 @@ def _gazetteer(kind: str, s: str) -> int:
         return 1 if s.startswith(TOKEN_STARTS) else 0
     if kind == "person":
         names = s.split()[1:]
-        return 1 if any(w in FIRST_NAMES or w in LAST_NAMES for w in names) else -1 if len(names) < 2 else 0
+        known = any(w in FIRST_NAMES or w in LAST_NAMES for w in names)
+        return 1 if known else -1 if names[0] in NOT_PERSONS else 0  # a name that no list holds says nothing
     return 0
 
 
@@ -191,7 +196,9 @@ def votes(kind: str, text: str, start: int, end: int) -> tuple[int, ...]:
     s = text[start:end]
     before, after = _near(text, start, end)
     near = {*before, *after}
-    return (_form(kind, s), _gazetteer(kind, s), 1 if near & CUES[kind] else 0, -1 if near & HARMLESS else 0, _shape(kind, s), _layout(kind, text, start))
+    # "SSN on file": a file is no argument against a number that is named; a secret's own words may stand in a path
+    harmless = near & (HARMLESS - ON_RECORD if kind != "secret" and near & CUES[kind] else HARMLESS)
+    return (_form(kind, s), _gazetteer(kind, s), 1 if near & CUES[kind] else 0, -1 if harmless else 0, _shape(kind, s), _layout(kind, text, start))
 
 
 def signs(kind: str, text: str, start: int, end: int) -> list[int]:
@@ -277,14 +284,20 @@ def seed_examples(each: int = 60, seed: int = 8) -> list[tuple[str, bool]]:
     ssn = lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"
     road = lambda: f"{r.randint(1, 999)} {r.choice(['Oak', 'Maple', 'Church', 'Park', 'High', 'Mill'])} {r.choice(['Street', 'Avenue', 'Road', 'Lane', 'Drive'])}"
     names = sorted(FIRST_NAMES), sorted(LAST_NAMES)
-    person = lambda: f"{r.choice(['Mr.', 'Mrs.', 'Ms', 'Dr.', 'Prof.'])} {r.choice(names[0])} {r.choice(names[1])}"
+    syllables = "ba ber da den el fa gar ha jo ka kin la lund ma mor na ol pe qui ra ros sa sen ta tor u va vik wen zo".split()
+    made = lambda: "".join(r.choice(syllables) for _ in range(r.randint(2, 4))).capitalize()
+    title = lambda: r.choice(["Mr.", "Mrs.", "Ms", "Ms.", "Dr.", "Prof.", "Mr"])
+    # listed names, and made-up ones that no list holds, with and without a first name
+    person = lambda: f"{title()} {r.choice([lambda: f'{r.choice(names[0])} {r.choice(names[1])}', lambda: made(), lambda: made(), lambda: f'{made()} {made()}'])()}"
+    no_person = lambda: r.choice([lambda: r.choice(["Dr Pepper", "Mr Robot", "Mr Clean", "Dr Strange", "Mrs Doubtfire", "Mr Bean"]), lambda: f"{title()} {made()}"])()
     kinds = [
         (["api_key = \"{}\"", "password: {}", "export SECRET_KEY={}", "Authorization: Bearer {}", "the access token is {}", "token={}", "my private key {}"], key, ["{}"], no_key),
-        (["SSN {}", "social security number: {}", "her ssn is {}", "insured no. {}"], ssn, ["part {}", "order {} shipped", "catalog item {}", "invoice {}", "serial no. {}", "model {}"], ssn),
+        (["SSN {}", "social security number: {}", "her ssn is {}", "insured no. {}", "the SSN in our file is {}"], ssn, ["part {}", "order {} shipped", "catalog item {}", "invoice {}", "serial no. {}", "model {}"], ssn),
         (["IBAN {}", "transfer it to {}", "bank account {}", "account: {}"], lambda: iban(True), ["serial {}", "part no {}", "code {}", "ticket {}"], lambda: iban(False)),
-        (["call {}", "phone: {}", "tel. {}", "contact us on {}", "my mobile is {}", "reach me: {}"], local, ["figure {}", "table {}", "version {}", "order {}", "row {}", "page {}", "part {}"], local),
+        (["call {}", "phone: {}", "tel. {}", "contact us on {}", "my mobile is {}", "reach me: {}", "her number is {}", "text {} later"], local, ["ratio {}", "score {}", "figure {}", "table {}", "version {}", "order {}", "row {}", "page {}", "part {}"], local),
         (["lives at {}", "home address: {}", "ship to {}", "she moved to {}"], road, ["page {}", "figure {}", "chapter {}", "a song called {}", "episode {}"], road),
-        (["Dear {}", "signed by {}", "patient: {}", "I met {} there", "regards, {}"], person, ["the drink {}", "the film {}", "a character named {}", "the brand {}"], lambda: r.choice(["Dr Pepper", "Mr Robot", "Mr Clean", "Dr Strange", "Mrs Doubtfire", "Mr Bean"])),
+        (["Dear {}", "signed by {}", "patient: {}", "I met {} there", "regards, {}", "{} told the court", "we asked {} to wait", "{}", "{} will see you now", "a letter from {}", "the office of {}", "{} has agreed", "{} and others came", "they thanked {}"], person,
+         ["the drink {}", "the film {}", "a character named {}", "the brand {}", "an episode of {}", "the song {}", "a novel, {}", "the game {}"], no_person),
     ]
     wrap = lambda t: r.choice(["", "So ", "Then, as was said, "]) + t + r.choice(["", ".", " and so on"])
     out = []
@@ -358,8 +371,9 @@ def train_classifier(kind: np.ndarray, code: np.ndarray, n: np.ndarray, sample:
     x = np.concatenate([_features(sample[0], sample[1], sample[2]), _features(sure[0], sure[1], sure[2])]).astype(float)
     y = np.concatenate([mine, sure[3]])
     w = np.concatenate([np.full(len(mine), len(sure[3]) / max(1, len(mine))), np.ones(len(sure[3]))])
-    hold = np.where(np.arange(x.shape[1]) < PLAIN, 0.3, 1.5)
-    beta = np.zeros(x.shape[1])
+    used = np.flatnonzero(x.any(axis=0))  # the weight of a feature that no row has is 0
+    x, hold = x[:, used], np.where(used < PLAIN, 0.3, 1.5)
+    beta = np.zeros(len(used))
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hess = (x * (w * p * (1 - p))[:, None]).T @ x + np.diag(hold)
@@ -367,7 +381,9 @@ def train_classifier(kind: np.ndarray, code: np.ndarray, n: np.ndarray, sample:
         beta += step
         if np.abs(step).max() < 1e-6:
             break
-    return beta
+    whole = np.zeros(PLAIN + HASHED)
+    whole[used] = beta
+    return whole
 
 
 def _label(spans: list[tuple[int, int, int]]) -> str:

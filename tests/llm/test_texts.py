@@ -514,6 +514,24 @@ def test_planted_spans(spark):
         assert recall >= 0.9 and precision >= 0.9, (kind, recall, precision)
 
 
+def test_names_outside_all_lists(spark):
+    """Surnames that the module does not hold, in wording that its examples do not use."""
+    surnames = "Lindqvist Okonkwo Haraldsen Yildirim Abernathy Castellanos Grzybowski Tchaikov Mbeki Oyelaran Fitzwilliam Achterberg Szabo Papadakis Hashimoto Villanueva Drummond Eriksen Bhattacharya Quisling".split()
+    assert not {*surnames} & (pii.FIRST_NAMES | pii.LAST_NAMES)
+    forms = ["Mrs. {} called us yesterday.", "I spoke to Mr. {} about it.", "Yesterday Dr. {} visited the ward.", "The house belongs to Ms. {} now.", "According to Prof. {}, it rains."]
+    module = open(pii.__file__, encoding="utf-8").read()
+    assert not any(part in module for form in forms for part in ("called us", "spoke to", "visited", "belongs to", "According to")) and not any(n in module for n in surnames)
+    yes = [form.format(n) for form in forms for n in surnames]
+    no = ["a brand called Dr Oetker", "the novel Mr Palomar", "the album Dr Feelgood", "the movie Mrs Miniver", "watch the series Mr Selfridge", "the game Dr Mario", "They drank Dr Pepper all day"]
+    rows = pii.detect(documents(spark, [*yes, *no])).collect()
+    found = {r.doc_id for r in rows if "person" in r.spans}
+    hit, extra = sum(i in found for i in range(len(yes))), sum(i in found for i in range(len(yes), len(yes) + len(no)))
+    print(f"names outside the lists: {hit} of {len(yes)} found, {extra} of {len(no)} false")
+    assert hit >= 0.9 * len(yes) and extra <= 1
+    texts = ["SSN on file 123-45-6789", "my number is 212-555-1234 thanks", "ratio 212-555-1234"]
+    assert [r.spans.split(":")[0] for r in sorted(pii.detect(documents(spark, texts)).collect())] == ["ssn", "local_phone", ""]
+
+
 def test_harmless_spans_are_rejected(spark):
     texts = [
         "commit 04dbe5c1a2b3c4d5e6f708192a3b4c5d6e7f8091 was reverted", "sha1 checksum md5 269b1cea0846965f2d3ecb5cdb87c0edc7a7a587", "uuid 123e4567-e89b-12d3-a456-426614174000",
