@@ -194,6 +194,30 @@ def shots_with_all_signals_wide(spark, d):
     return catalog.shots_with_all_wide(wide, ["web-view", "app-purchase_low"])
 
 
+@query(f"WITH {CATALOG} SELECT shot_id FROM catalog_ WHERE signal IN ('web-view', 'web-click', 'app-error') GROUP BY 1 HAVING count(DISTINCT signal) = 3")
+def shots_having_all_bitmaps(spark, d):
+    return catalog.having_all(catalog.bitmaps(_catalog(spark, d)), ["web-view", "web-click", "app-error"])
+
+
+@query(f"WITH {CATALOG} SELECT signal, CAST(count(DISTINCT shot_id) AS BIGINT) AS n_shots FROM catalog_ GROUP BY 1")
+def signal_shot_counts(spark, d):
+    return catalog.signal_counts(catalog.bitmaps(_catalog(spark, d)))
+
+
+@query(f"WITH {CATALOG} SELECT shot_id, signal FROM (SELECT DISTINCT shot_id FROM catalog_), (SELECT unnest(['web-view', 'app-error_low', 'app-none']) AS signal) EXCEPT SELECT shot_id, signal FROM catalog_")
+def signals_lacking_bitmaps(spark, d):
+    return catalog.lacking(catalog.bitmaps(_catalog(spark, d)), ["web-view", "app-error_low", "app-none"])
+
+
+@query("""SELECT signal, CASE WHEN signal IS NOT NULL THEN split_part(signal, '-', 1) END AS source, regexp_replace(signal, '^[^-]*-', '') AS name, count(*) AS n
+ FROM (SELECT CASE WHEN contains(p, '/') THEN replace(p, '/', '-') END AS signal FROM (SELECT CASE WHEN user_id % 7 <> 0 THEN 'events/' END || event_type AS a, event_type AS b, coalesce(a, b) AS p FROM events)) GROUP BY ALL""")
+def signals_from_paths(spark, d):
+    """Names inside a store: group/name is a signal, a name without a group is none."""
+    path = F.concat(F.when(F.col("user_id") % 7 != 0, "events/").otherwise(""), "event_type")
+    signal = names.from_path(path)
+    return views.read(spark, d, "events").select(signal.alias("signal"), names.source_of(signal).alias("source"), names.name_of(signal).alias("name")).groupBy("signal", "source", "name").agg(F.count("*").alias("n"))
+
+
 @query("SELECT DISTINCT c_custkey AS shot_id FROM customer WHERE c_custkey % 3 <> 0")
 def list_shots(spark, d):
     keys = views.read(spark, d, "customer").select("c_custkey")

@@ -454,3 +454,17 @@ def test_tables(spark, tmp_path):
     made_ = spark.createDataFrame([], "role string, values array<array<double>>")
     with pytest.raises(ValueError):
         tables.write_windows_float32(made_, str(tmp_path / "w"))
+
+
+def test_bitmaps_of_shots(spark):
+    ids = {"a": [0, 1, 2, 32768, 32769, 65536, 10**9, -5], "b": [0, 2, 32768, 10**9, 7, -5, -40000], "c": []}
+    rows = [(i, s) for s, all_ in ids.items() for i in all_ * 2] + [(None, "a"), (99, "d")]
+    sets = catalog.bitmaps(spark.createDataFrame(rows, "shot_id long, signal string"))
+    assert {r.shot_id for r in catalog.having_all(sets, ["a", "b", "b"]).collect()} == {*ids["a"]} & {*ids["b"]}
+    assert catalog.having_all(sets, ["a", "c"]).collect() == []
+    assert {r.signal: r.n_shots for r in catalog.signal_counts(sets).collect()} == {"a": 8, "b": 7, "d": 1}
+    every = {*ids["a"], *ids["b"], 99}
+    got = sorted(tuple(r) for r in catalog.lacking(sets, ["a", "c"]).collect())
+    assert got == sorted([(i, "a") for i in every - {*ids["a"]}] + [(i, "c") for i in every])
+    none = catalog.bitmaps(spark.createDataFrame([], "shot_id long, signal string"))
+    assert catalog.having_all(none, ["a"]).collect() == catalog.lacking(none, ["a"]).collect() == []
