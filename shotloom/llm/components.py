@@ -24,18 +24,18 @@ def _star(edges: DataFrame, small: bool, n_edges: int) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): root is the least node that can be reached; only nodes with a link appear.
 
-    Each round is written to the shared folder, so that a lost executor costs one round."""
+    Rounds go on until one changes nothing; their number grows with the logarithm of the links' longest path.  Each round is
+    written to the shared folder, so that a lost executor costs one round."""
     u, v = links.columns[:2]
     edges = materialize(links.where(F.col(u) != F.col(v)).select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(edges)
-    for _ in range(most_rounds):
+    while True:
         edges = materialize(_star(materialize(_star(edges, False, before[0])), True, before[0]))
         after = mark(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = after
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
