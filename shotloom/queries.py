@@ -702,13 +702,44 @@ def shape_inventory(spark, d):
     return profiling.shape_inventory(_made(spark, d, FORECAST))
 
 
-@query()
+COVARIANCE = f"""{VEC}, m AS (SELECT vec_id, avg(x) AS m FROM vecn GROUP BY 1), imputed AS (SELECT shot_id, vec_id, c, coalesce(x, m) AS x FROM vecn JOIN m USING (vec_id)),
+ cen AS MATERIALIZED (SELECT shot_id, vec_id, c, x - avg(x) OVER (PARTITION BY c) AS x FROM imputed),
+ cov0 AS MATERIALIZED (SELECT a.c AS i, b.c AS j, sum(a.x * b.x) / (count(*) - 1) AS v FROM cen a JOIN cen b USING (vec_id) GROUP BY ALL)"""
+
+
+def _component_sql(k: int) -> str:
+    """Eigenpairs eig(component, lambda, i, v) of cov0: power iteration whose powers come from squaring, then deflation."""
+    parts = []
+    for c in range(1, k + 1):
+        parts.append(f"""power{c}(step, i, j, v) AS (SELECT 0, i, j, v / (SELECT sum(v) FROM cov{c - 1} WHERE i = j) FROM cov{c - 1}
+ UNION ALL SELECT a.step + 1, a.i, b.i, sum(a.v * b.v) / any_value(t.s) FROM power{c} a JOIN power{c} b ON a.j = b.j, (SELECT sum(v * v) AS s FROM power{c}) t WHERE a.step < 18 GROUP BY a.step, a.i, b.i),
+ last{c} AS MATERIALIZED (SELECT i, j, v FROM power{c} WHERE step = 18), vec{c} AS MATERIALIZED (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM last{c} WHERE j = (SELECT arg_max(i, v) FROM last{c} WHERE i = j)),
+ val{c} AS MATERIALIZED (SELECT sum(a.v * m.v * b.v) AS l FROM cov{c - 1} m JOIN vec{c} a ON a.i = m.i JOIN vec{c} b ON b.i = m.j),
+ cov{c} AS MATERIALIZED (SELECT m.i, m.j, m.v - l * a.v * b.v AS v FROM cov{c - 1} m JOIN vec{c} a ON a.i = m.i JOIN vec{c} b ON b.i = m.j, val{c})""")
+    eig = " UNION ALL ".join(f"SELECT {c} AS component, l, i, v FROM vec{c}, val{c}" for c in range(1, k + 1))
+    return ",\n ".join([*parts, f"eig AS ({eig})"])
+
+
+COMPONENTS = f"""WITH RECURSIVE {COVARIANCE},
+ {_component_sql(5)}, ratios AS (SELECT component, any_value(l) / (SELECT sum(v) FROM cov0 WHERE i = j) AS ratio FROM eig GROUP BY 1)"""
+RATIOS = COMPONENTS + " SELECT component, CAST(CAST(round(ratio, 9) AS FLOAT) AS DOUBLE) AS ratio, CAST(CAST(round(sum(ratio) OVER (ORDER BY component), 9) AS FLOAT) AS DOUBLE) AS cumulative FROM ratios"
+
+
+@query(RATIOS)
 def pca_variance(spark, d):
     rows = pca.stack(views.vectors(spark, d))
     return pca.explained_variance(pca.fit(rows)[1], spark).select("component", r("ratio").alias("ratio"), r("cumulative").alias("cumulative"))
 
 
-@query()
+@query(RATIOS)
+def pca_block_variance(spark, d):
+    """The same shares from passes over the rows, without a covariance matrix."""
+    found = pca.block_fit(workspace.keep(pca.stack(views.vectors(spark, d))))
+    return pca.variance_table(spark, found.ratios).select("component", r("ratio").alias("ratio"), r("cumulative").alias("cumulative"))
+
+
+@query(COMPONENTS + """, score AS (SELECT vec_id, component, sum(x * v) AS s FROM cen JOIN eig ON i = c GROUP BY ALL), kept AS (SELECT vec_id, sum(s * s) AS s2 FROM score GROUP BY 1)
+ SELECT shot_id, CAST(vec_id AS INTEGER) AS t_idx, CAST(CAST(round(sqrt(greatest(0, sum(x * x) - any_value(s2)) / count(*)), 9) AS FLOAT) AS DOUBLE) AS error FROM cen JOIN kept USING (vec_id) GROUP BY shot_id, vec_id""")
 def pca_reconstruct_error(spark, d):
     return pca.reconstruction_error(pca.stack(views.vectors(spark, d))).select("shot_id", "t_idx", r("error").alias("error"))
 

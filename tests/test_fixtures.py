@@ -425,6 +425,29 @@ def test_pca(spark):
     assert np.allclose([back[i] for i in range(60)], x)
 
 
+@pytest.mark.parametrize(("n", "d", "spread"), [(400, 120, 0.0), (40, 120, 0.0), (300, 9, 0.0), (400, 150, 0.02)])
+def test_block_pca(spark, n, d, spread):
+    """Flat and steep spectra, more channels than rows, fewer channels than a block; restarts after three blocks."""
+    x = np.random.default_rng(1).standard_normal((n, d)) * np.exp(-spread * np.arange(d)) + 3
+    rows = spark.createDataFrame([(1, i, [float(v) for v in row]) for i, row in enumerate(x)], "shot_id long, t_idx int, values array<double>").repartition(3).persist()
+    found = pca.block_fit(rows, 4, blocks=3)
+    _, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert found.ratios == pytest.approx((s**2 / (s**2).sum())[:4], rel=1e-9)
+    assert np.abs(np.einsum("ij,ji->i", vt[:4], found.axes)) == pytest.approx(np.ones(4), abs=1e-6)
+    assert np.allclose(found.axes.T @ found.axes, np.eye(4), atol=1e-10) and np.allclose(found.mean, x.mean(0))
+
+
+def test_block_pca_without_variance(spark):
+    rows = lambda data: spark.createDataFrame([(1, i, v) for i, v in enumerate(data)], "shot_id long, t_idx int, values array<double>")
+    assert pca.block_fit(rows([])).ratios.tolist() == []
+    assert pca.block_fit(rows([[1.0, 2.0]])).ratios.tolist() == [0, 0]
+    assert pca.block_fit(rows([[1.0, 2.0]] * 5), 1).ratios.tolist() == [0]
+    one = pca.block_fit(rows([[float(i), 1.0, 2.0 * i] for i in range(9)]), 2)
+    assert one.ratios == pytest.approx([1, 0], abs=1e-12) and np.abs(one.axes[:, 0]) == pytest.approx(np.array([1, 0, 2]) / 5**0.5)
+    with pytest.raises(ValueError, match="not settled"):
+        pca.block_fit(rows(np.random.default_rng(0).standard_normal((60, 50)).tolist()), 2, blocks=2, most_passes=4)
+
+
 def test_hooks(spark):
     df = spark.createDataFrame([(1, 0), (1, 1)], "shot_id long, window_index int")
     assert hooks.map_windows(df, lambda p: p[p.window_index == 1], "shot_id long, window_index int").count() == 1
