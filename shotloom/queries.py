@@ -13,7 +13,7 @@ from .operators import baselines, batching, blocks, clean, metrics, pca, profili
 from .plans import evaluation, hooks, runs, transforms, views, workspace
 from .sources import catalog, tables
 from .sources import samples as scans
-from .streaming import live
+from .streaming import live, rollup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -887,6 +887,31 @@ def stream_metric_rollup(spark, d):
     return done.select("task", "shot_id", "feature_name", "n", *(r(c).alias(c) for c in ("RMSE_mean", "MAE_mean", "nan_fraction_mean")))
 
 
+def _rolled_up(spark, d):
+    """Windows of two forecasts as a stream of files that is stopped after the first half and started again."""
+    source, mark = workspace.folder(spark), workspace.folder(spark)
+    sig = workspace.keep(_sig(spark, d))
+    meta = workspace.keep(views.event_meta(spark, sig))
+    tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
+    averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean).withColumn("task", F.explode(tasks))
+    every = workspace.keep(evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist).unionByName(averaged))
+    for half in (0, 1):
+        every.where(F.pmod(F.xxhash64("shot_id", "window_index"), F.lit(2)) == half).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        rollup.start(rollup.rolled_up(stream, meta, buckets=4), mark).awaitTermination()
+    return mark
+
+
+@query(REPORT + f" SELECT task, feature_name, n_shots, {ROUND_SQL} FROM (SELECT * FROM signals UNION ALL BY NAME SELECT *, task AS feature_name FROM tasks)")
+def stream_task_report(spark, d):
+    return _rounded(rollup.report(spark, _rolled_up(spark, d)), "task", "feature_name", "n_shots")
+
+
+@query(REPORT + GROUP_ROWS)
+def stream_group_report(spark, d):
+    return _rounded(rollup.live_group_report(spark, _rolled_up(spark, d), _groups(spark)), "group_id", "task", "n_shots", "level")
+
+
 def _event_stream(spark, d, close=False):
     """The events as a stream of files; with ``close`` a last one far in the future, which lets the watermark pass the rest."""
     source = workspace.folder(spark)
