@@ -6,7 +6,9 @@ changes a count by one.  A comparison is numpy exclusive-or and bit counts over
 the four 16-bit quarters, where bounds on these counts skip most sub-tile pairs; the rest are compared in full, so
 no link is lost.  Of the links between two tiles a spanning forest leaves the task, never all pairs.
 
-Pairs of tiles are found by their names alone and dealt out before a tile's fingerprints join them.  A fingerprint that
+Up to BAND tiles of a cell travel together as a band.  Pairs of bands are found by their names alone; a pair carries one band
+of fingerprints, so what is shuffled falls with the size of a band, and the pairs of a band are spread over tasks by a salt
+whose number grows with the bands.  Inside a pair, tiles are compared two by two.  A fingerprint that
 many documents share is one entry of a tile, and its documents are joined by broadcast (see common.join_hot).
 
 Defined results: a null text counts as empty; texts without words share the fingerprint zero and link like any other; a
@@ -31,6 +33,7 @@ from .components import components
 RADIUS = 3
 SHINGLE = 3
 TILE = 16384
+BAND = 32  # tiles: 4 MB of fingerprints
 SUB = 256
 
 
@@ -119,7 +122,14 @@ def compare(a: np.ndarray, b: np.ndarray, same: bool, radius: int = RADIUS) -> t
     return nodes[[k for k, _ in out]], nodes[[r for _, r in out]]
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def compare_bands(x: list[np.ndarray], y: list[np.ndarray] | None, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Spanning forests of the links between each tile of one band and each of the other (or of a band with itself)."""
+    for i, one in enumerate(x):
+        for two in x[i:] if y is None else y:
+            yield compare(one, two, two is one, radius)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, band: int = BAND) -> DataFrame:
     """(u, v): links that connect the same fingerprints as all pairs within the radius.  fps: distinct, column fp."""
     spark = fps.sparkSession
     half = lambda c: F.bit_count(c).cast("int")
@@ -127,32 +137,35 @@ def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
     full = {(r.a, r.b): -(-r.n // tile) for r in cells.groupBy("a", "b").agg(F.count("*").alias("n")).collect() if r.n > tile}  # 33 * 33 cells at most
     parts = spark.createDataFrame([(a, b, n) for (a, b), n in full.items()], "a int, b int, parts long") if full else spark.createDataFrame([], "a int, b int, parts long")
     dealt = cells.join(F.broadcast(parts), ["a", "b"], "left").withColumn("k", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))))
-    tiles = materialize(dealt.groupBy("a", "b", "k").agg(F.collect_list("fp").alias("x")))
+    tiles = dealt.groupBy("a", "b", "k").agg(F.collect_list("fp").alias("x"))
+    bands = materialize(tiles.groupBy("a", "b", F.floor(F.col("k") / band).alias("g")).agg(F.collect_list("x").alias("x")))
+    salts = -(-max(1, sum(-(-n // band) for n in full.values())) // 64)
 
     steps = [(p, q) for p in range(radius + 1) for q in range(-radius, radius + 1) if p + abs(q) <= radius and (p > 0 or q >= 0)]
     step = F.explode(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in steps)))
-    near = tiles.select("a", "b", "k", step.alias("s")).select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("k").alias("k0"), (F.col("a") + F.col("s.p")).alias("a"), (F.col("b") + F.col("s.q")).alias("b"))
+    near = bands.select("a", "b", "g", step.alias("s")).select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("g").alias("g0"), (F.col("a") + F.col("s.p")).alias("a"), (F.col("b") + F.col("s.q")).alias("b"))
     same_cell = (F.col("a0") == F.col("a")) & (F.col("b0") == F.col("b"))
-    pairs = near.join(tiles.select("a", "b", "k"), ["a", "b"]).where(~same_cell | (F.col("k0") <= F.col("k")))
-    pairs = pairs.withColumn("same", same_cell & (F.col("k0") == F.col("k")))
+    pairs = near.join(bands.select("a", "b", "g"), ["a", "b"]).where(~same_cell | (F.col("g0") <= F.col("g")))
+    pairs = pairs.withColumn("same", same_cell & (F.col("g0") == F.col("g"))).withColumn("salt", F.pmod(F.xxhash64("a0", "b0", "g0"), F.lit(salts)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialize(pairs.repartition(n, "a0", "b0", "k0", "a", "b", "k"))  # names of tiles, spread evenly
-    one = tiles.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("k").alias("k0"), "x")
-    two = tiles.select("a", "b", "k", F.col("x").alias("y"))
-    pairs = pairs.join(one, ["a0", "b0", "k0"]).join(two, ["a", "b", "k"]).select("x", F.when(~F.col("same"), F.col("y")).alias("y"))
+    pairs = materialize(pairs.repartition(n, "a0", "b0", "g0", "a", "b", "g"))  # names of bands, spread evenly
+    one = bands.select(F.col("a").alias("a0"), F.col("b").alias("b0"), F.col("g").alias("g0"), "x")
+    two = bands.select("a", "b", "g", F.col("x").alias("y"))
+    if salts > 1:
+        two = two.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<long>")))
+    pairs = pairs.join(one, ["a0", "b0", "g0"]).join(two, ["a", "b", "g"] + ["salt"] * (salts > 1)).select("x", F.when(~F.col("same"), F.col("y")).alias("y"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        views = lambda tiles: [np.asarray(t, dtype="<i8").view("<u8") for t in tiles]
         for batch in batches:
             us, vs = [np.empty(0, "<u8")], [np.empty(0, "<u8")]
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                one = np.asarray(x, dtype="<i8").view("<u8")
-                same = y is None
-                u, v = compare(one, one if same else np.asarray(y, dtype="<i8").view("<u8"), same, radius)
-                us.append(u)
-                vs.append(v)
+                for u, v in compare_bands(views(x), None if y is None else views(y), radius):
+                    us.append(u)
+                    vs.append(v)
             yield pd.DataFrame({"u": np.concatenate(us).view("<i8"), "v": np.concatenate(vs).view("<i8")})
 
-    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="64"):
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="8"):  # pairs of up to 8 MB
         return materialize(pairs.mapInPandas(run, "u long, v long"))
 
 

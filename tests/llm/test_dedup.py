@@ -197,8 +197,10 @@ def test_links_on_random_bits(spark):
             fps.add(y)
     fps = sorted(fps)
     df = spark.createDataFrame([(x - 2**64 if x >= 2**63 else x,) for x in fps], "fp long")
-    for tile in (8, 10_000):
-        pairs = components.components(simhash.links(df, tile=tile)).collect()
+    cell = Counter(((x >> 32).bit_count(), (x & 0xFFFFFFFF).bit_count()) for x in fps)
+    assert sum(n for n in cell.values() if n > 1) > 64  # with tiles and bands of one the pairs of a band are spread by salts
+    for tile, band in ((1, 1), (2, 3), (10_000, 32)):
+        pairs = components.components(simhash.links(df, tile=tile, band=band)).collect()
         root = {p.node % 2**64: p.root % 2**64 for p in pairs}
         got = defaultdict(set)
         for x in fps:
