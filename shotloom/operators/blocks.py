@@ -21,6 +21,7 @@ from .kernel import Block, Meta, Series
 from .windows import cut_counts, width
 
 SAMPLE = "struct<t_idx:int,time:double,values:array<double>>"
+SAMPLES_AT_ONCE = 300_000  # samples of rows that the kernel takes together, about
 
 
 def known(meta: DataFrame, wanted: list[str]) -> dict[str, Meta]:
@@ -97,83 +98,159 @@ def blocked(samples: DataFrame, meta: dict[str, Meta], task: dict, seconds: floa
     return out.where(F.col("info").isNotNull()).withColumn("block_length", F.lit(length))
 
 
-def _samples(column: pa.ListArray, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """t_idx, time and values (time x channels, None without any vector) of a row, by t_idx."""
-    a, b = column.offsets[row].as_py(), column.offsets[row + 1].as_py()
-    if a == b:
-        return np.zeros(0, np.int64), np.zeros(0), None
-    inside = column.values.slice(a, b - a)
-    t_idx, time, vectors = (inside.field(k) for k in range(3))
-    t_idx, order = t_idx.to_numpy(), None
-    if len(t_idx) > 1 and (np.diff(t_idx) <= 0).any():
-        order = np.argsort(t_idx, kind="stable")
-        t_idx = t_idx[order]
-    at = vectors.offsets.to_numpy()
-    size = np.diff(at)
-    gone = np.asarray(vectors.is_null())
-    flat = vectors.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(float)
-    time = time.to_numpy()
-    channels = size[~gone]
-    if not len(channels):
-        return t_idx, time if order is None else time[order], None
-    if (channels != channels[0]).any():
-        raise ValueError("samples of a signal differ in channels")
-    values = np.full((len(size), channels[0]), np.nan)
-    values[~gone] = flat.reshape(-1, channels[0])
-    return (t_idx, time, values) if order is None else (t_idx, time[order], values[order])
-
-
-def _vector(x: list | None, n: int) -> np.ndarray:
-    return np.full(n, np.nan) if x is None else np.array(x, float)
-
-
-def _block(batch: pa.RecordBatch, row: int, wanted: list[str], meta: dict[str, Meta], task: dict, every_output: bool) -> Block | None:
-    columns = {n: batch.column(k) for k, n in enumerate(batch.schema.names)}
-    shot = columns["shot_id"][row].as_py()
-    series: dict[str, Series | None] = {}
-    if "block" not in columns:
-        for s in wanted:
-            t_idx, time, values = _samples(columns[s], row)
-            m = meta.get(s)
-            if len(t_idx) and m:
-                series[s] = Series(time[0], m.dt, np.full((len(t_idx), m.width), np.nan) if values is None else values)
-            else:
-                series[s] = None
-        return kernel.whole(shot, series, task, every_output)
-    info = {x["signal"]: x for x in columns["info"][row].as_py()}
-    for s in wanted:
-        if s not in info:
-            series[s] = None
-            continue
-        i, m = info[s], meta[s]
-        t_idx, _, values = _samples(columns[s], row)
-        if i["n"] != i["i1"] - i["i0"] + 1 or (len(t_idx) and len(t_idx) != t_idx[-1] - t_idx[0] + 1):
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    return lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)  # no lists may have no offsets
+
+
+class _Samples:
+    """A column of packed samples: of each row the samples by t_idx, and how many channels they have (-1 without any vector)."""
+
+    def __init__(self, column: pa.ListArray):
+        self.at = _offsets(column)
+        self.n = np.diff(self.at)
+        inside = column.values.slice(self.at[0], self.at[-1] - self.at[0])
+        self.at = self.at - self.at[0]
+        t_idx, time, vectors = (inside.field(k) for k in range(3))
+        self.t_idx, self.time = t_idx.to_numpy(), time.to_numpy()
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        offsets = _offsets(vectors)
+        size, self.there = np.diff(offsets), ~np.asarray(vectors.is_null())
+        self.first = offsets[:-1] - offsets[0]
+        self.flat = vectors.values.slice(offsets[0], offsets[-1] - offsets[0]).to_numpy(zero_copy_only=False).astype(float)
+        if ((np.diff(self.t_idx) <= 0) & (np.diff(row) == 0)).any():
+            order = np.lexsort((self.t_idx, row))
+            self.t_idx, self.time, self.there, self.first, size = (x[order] for x in (self.t_idx, self.time, self.there, self.first, size))
+        self.channels = np.full(len(self.n), -1)
+        self.channels[row[self.there]] = size[self.there]
+        if (self.channels[row] != size)[self.there].any():
+            raise ValueError("samples of a signal differ in channels")
+
+    def values(self, rows: np.ndarray, width: int) -> np.ndarray:
+        """Samples x channels of some rows, NaN where missing."""
+        at = np.repeat(self.at[rows] - np.cumsum(self.n[rows]) + self.n[rows], self.n[rows]) + np.arange(self.n[rows].sum())
+        out, there = np.full((len(at), width), np.nan), self.there[at]
+        out[there] = self.flat[self.first[at[there]][:, None] + np.arange(width)]
+        return out
+
+
+def _parts(batch: pa.RecordBatch, wanted: list[str]) -> Iterator[pa.RecordBatch]:
+    """Slices of rows that hold about so many samples together; a row of more is a slice of its own."""
+    upto = np.cumsum(sum(np.diff(_offsets(batch.column(s))).astype(np.int64) for s in wanted) + np.zeros(batch.num_rows, np.int64))
+    at = 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SAMPLES_AT_ONCE, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def _alike(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Rows that agree in all columns."""
+    kinds, kind = np.unique(np.stack(columns, axis=1), axis=0, return_inverse=True)
+    for j in range(len(kinds)):
+        yield np.flatnonzero(kind.ravel() == j)
+
+
+def _shots(batch: pa.RecordBatch, wanted: list[str], meta: dict[str, Meta], task: dict, every_output: bool) -> Iterator[Block]:
+    """Whole shots, those together whose signals have the same channels."""
+    shot, samples = batch.column("shot_id").cast(pa.int64()), {s: _Samples(batch.column(s)) for s in wanted}
+    lacking = np.full(batch.num_rows, -1)
+    width = {s: np.where(x.n > 0, np.where(x.channels < 0, meta[s].width, x.channels), -1) if s in meta else lacking for s, x in samples.items()}
+    for rows in _alike([lacking, *width.values()]):
+        series: dict[str, Series | None] = {}
+        for s, x in samples.items():
+            wide = int(width[s][rows[0]])
+            series[s] = Series(x.time[x.at[rows]], meta[s].dt, x.values(rows, wide), own=x.n[rows]) if wide >= 0 else None
+        block = kernel.whole(shot.take(pa.array(rows)), series, task, every_output)
+        if block is not None:
+            yield block
+
+
+def _blocks(batch: pa.RecordBatch, wanted: list[str], meta: dict[str, Meta], task: dict) -> Iterator[Block]:
+    """Blocks of shots, those together whose signals have the same channels."""
+    shot, samples = batch.column("shot_id").cast(pa.int64()), {s: _Samples(batch.column(s)) for s in wanted}
+    carried = batch.column("info")
+    at = _offsets(carried)
+    told = carried.values.slice(at[0], at[-1] - at[0])
+    row, fields = np.repeat(np.arange(len(at) - 1), np.diff(at)), {told.type.field(j).name: told.field(j) for j in range(told.type.num_fields)}
+    of = np.asarray(fields["signal"].to_numpy(zero_copy_only=False), object)
+    info, edges, width = {}, {}, {}
+    for s, x in samples.items():
+        mine = np.flatnonzero(of == s)
+        here = np.zeros(batch.num_rows, bool)
+        here[row[mine]] = True
+        info[s] = {c: _spread(fields[c].take(pa.array(mine)).to_numpy(zero_copy_only=False), row[mine], batch.num_rows) for c in ("t0", "i0", "i1", "n")}
+        i0, i1, n = (info[s][c].astype(np.int64) for c in ("i0", "i1", "n"))
+        some = x.n > 0
+        first, last = (np.append(x.t_idx, 0)[np.where(some, k, -1)].astype(np.int64) for k in (x.at[:-1], x.at[1:] - 1))
+        if (here & ((n != i1 - i0 + 1) | (some & (x.n != last - first + 1)))).any():
             raise ValueError("samples of a shot in blocks must be numbered without gaps")
-        wide = len(values[0]) if values is not None else next((len(i[k]) for k in ("head", "tail") if i[k] is not None), m.width)
-        values = np.full((len(t_idx), wide), np.nan) if values is None else values
-        base = int(t_idx[0]) - i["i0"] if len(t_idx) else 1
-        series[s] = Series(i["t0"], m.dt, values, i["n"], base, _vector(i["head"], wide), _vector(i["tail"], wide))
-    n, k, length = (columns[c][row].as_py() for c in ("n_windows", "block", "block_length"))
-    out = Block(shot, series, columns["start"][row].as_py(), columns["first_cut"][row].as_py(), 0, n)
+        info[s]["base"] = np.where(some, first - i0, 1)
+        edges[s] = [_Vectors(fields[c].take(pa.array(mine)), row[mine], batch.num_rows) for c in ("head", "tail")]
+        wide = np.where(x.channels >= 0, x.channels, np.where(edges[s][0].size >= 0, edges[s][0].size, edges[s][1].size))
+        width[s] = np.where(here, np.where(wide < 0, meta[s].width if s in meta else 0, wide), -1)
+    number, start, first_cut, n_windows, length = (batch.column(c).to_numpy() for c in ("block", "start", "first_cut", "n_windows", "block_length"))
     stride = float(task["stride"])
-    near = np.arange(max(0, int((k * length - out.first_cut) // stride) - 1), min(n, int(((k + 1) * length - out.first_cut) // stride) + 3))
-    mine = near[np.floor(kernel.cut_times(out, near, task) / length) == k]
-    if not len(mine):
-        return None
-    out.lo, out.hi = int(mine[0]), int(mine[-1]) + 1
+    near = [np.maximum(0, (number * length - first_cut) // stride - 1).astype(np.int64), np.minimum(n_windows, (((number + 1) * length - first_cut) // stride + 3).astype(np.int64))]
+    lo, hi = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+    for k, w in Block(shot, {}, start, first_cut, *near).windows():
+        mine = np.floor(kernel.cut_times(Block(shot, {}, start, first_cut, lo, hi), w, task, k) / length[k]) == number[k]
+        k, w = k[mine], w[mine]
+        first = np.flatnonzero(np.r_[True, np.diff(k) > 0]) if len(k) else k
+        lo[k[first]] = w[first]
+        hi[k[first]] = w[first] + np.diff(np.r_[first, len(k)])
+    for rows in _alike([np.full(batch.num_rows, -1), *width.values()]):
+        rows = rows[hi[rows] > lo[rows]]
+        if not len(rows):
+            continue
+        series: dict[str, Series | None] = {}
+        for s, x in samples.items():
+            wide = int(width[s][rows[0]])
+            if wide < 0:
+                series[s] = None
+                continue
+            i = {c: v[rows] for c, v in info[s].items()}
+            head, tail = (e.values(rows, wide) for e in edges[s])
+            series[s] = Series(i["t0"], meta[s].dt, x.values(rows, wide), i["n"].astype(np.int64), i["base"], head, tail, own=x.n[rows])
+        yield Block(shot.take(pa.array(rows)), series, start[rows], first_cut[rows], lo[rows], hi[rows])
+
+
+def _spread(values: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Values at their rows, zero elsewhere."""
+    out = np.zeros(n, values.dtype)
+    out[row] = values
     return out
 
 
-def run(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, emit: Callable[[Block, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``emit`` on the fit windows of each packed row."""
+class _Vectors:
+    """A vector or none for some of n rows; size -1 for none."""
+
+    def __init__(self, vectors: pa.ListArray, row: np.ndarray, n: int):
+        at = _offsets(vectors)
+        there = ~np.asarray(vectors.is_null())
+        self.size, self.first = _spread(np.where(there, np.diff(at), -1) + 1, row, n) - 1, _spread(at[:-1] - at[0], row, n)
+        self.flat = vectors.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False).astype(float)
+
+    def values(self, rows: np.ndarray, width: int) -> np.ndarray:
+        out, there = np.full((len(rows), width), np.nan), self.size[rows] >= 0
+        if (self.size[rows][there] != width).any():
+            raise ValueError("samples of a signal differ in channels")
+        out[there] = self.flat[self.first[rows[there]][:, None] + np.arange(width)]
+        return out
+
+
+def run(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, emit: Callable[[Block, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``emit`` (block, windows, their rows in the block) on the fit windows of packed rows, many rows at once."""
     wanted, every_output = kernel.names(task, "input", "actuator", "output"), filled is not None
+    cut = "block" in rows.columns
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in range(b.num_rows):
-                block = _block(b, row, wanted, meta, task, every_output)
-                if block is not None and len(w := kernel.fit(block, task, filled)):
-                    yield from emit(block, w)
+            for part in _parts(b, wanted):
+                for block in _blocks(part, wanted, meta, task) if cut else _shots(part, wanted, meta, task, every_output):
+                    for k, w in block.windows():
+                        fine = kernel.is_fit(block, w, task, filled, k)
+                        if fine.any():
+                            yield from emit(block, w[fine], k[fine])
 
     return rows.mapInArrow(over, schema)
 
@@ -185,8 +262,8 @@ WINDOWS = "shot_id long, window_index int, t_cut double, role string, signal str
 
 
 def scores(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, told: list[str], vector: kernel.Vector) -> DataFrame:
-    return run(rows, meta, task, filled, lambda block, w: kernel.score(block, w, task, meta, told, vector), SCORES)
+    return run(rows, meta, task, filled, lambda block, w, k: kernel.score(block, w, task, meta, told, vector, k), SCORES)
 
 
 def windows(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None) -> DataFrame:
-    return run(rows, meta, task, filled, lambda block, w: kernel.written(block, w, task, meta), WINDOWS)
+    return run(rows, meta, task, filled, lambda block, w, k: kernel.written(block, w, task, meta, k), WINDOWS)

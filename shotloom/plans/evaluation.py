@@ -53,13 +53,13 @@ def make_transformed(samples: DataFrame, meta: DataFrame, task: dict, members: d
 def window_ranges(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, block: float | None = None) -> DataFrame:
     """Windows of a task as index ranges, without values."""
     known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
-    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w: kernel.ranges(b, w, task), blocks.RANGES)
+    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w, k: kernel.ranges(b, w, task, k), blocks.RANGES)
 
 
 def fit_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = False, block: float | None = None) -> DataFrame:
     """(shot_id, window_index, t_cut) of the windows that a screen lets pass."""
     known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
-    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w: kernel.chosen(b, w, task), blocks.CHOSEN)
+    return blocks.run(packed_rows(samples, known, task, filled, block), known, task, filled, lambda b, w, k: kernel.chosen(b, w, task, k), blocks.CHOSEN)
 
 
 def autoregressive_task(task: dict) -> dict | None:
