@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans import workspace
@@ -11,6 +11,7 @@ from .clean import is_outlier
 
 HELD = 1_000_000  # cells of a (shot, variable) whose counted values an aggregate may hold
 BUCKETS, FEW = 1024, 10_000
+LEAST_PARTS = 16  # of a range, unless there are fewer buckets
 
 
 def shot_stats(cells: DataFrame, median: bool = True, held: int = HELD) -> DataFrame:
@@ -34,31 +35,42 @@ def shot_stats(cells: DataFrame, median: bool = True, held: int = HELD) -> DataF
     return cells.groupBy(*keys).agg(*sums).join(middle, keys, "left")
 
 
+def parts_of(n: Column, buckets: int, few: int) -> Column:
+    """Equal parts of a range of n cells: four for every ``few`` cells."""
+    return F.least(F.lit(buckets), F.greatest(F.lit(LEAST_PARTS), F.ceil(n / few) * 4))
+
+
 def selected_medians(cells: DataFrame, groups: DataFrame, buckets: int = BUCKETS, few: int = FEW) -> DataFrame:
     """(shot_id, variable, median), exact, of a small table of groups (shot_id, variable, n, lo, hi), by distributed selection.
 
-    Of each group one or two ranks are sought.  A pass counts the cells between lo and hi by equal parts of that range; the part
-    that holds a rank, down to its least and largest cell, is the next range.  lo and hi lie in different parts, so ranges
-    shrink until they hold one value or ``few`` cells, which are then put in order: after two or three passes for most data.  No
-    pass but the last moves cells."""
+    Of each group one or two ranks are sought.  A pass counts the cells between lo and hi by equal parts of that range; the parts
+    that hold a rank, down to their least and largest cell, are the next ranges: one if both ranks lie in it.  lo and hi lie in
+    different parts, so ranges shrink until they hold one value or ``few`` cells, which are then put in order: after two or three
+    passes for most data.  A range has some parts for every ``few`` of its cells, ``buckets`` at most, so that counts are far fewer
+    than the cells.  No pass but the last moves cells."""
     x, keys = F.col("value"), ["shot_id", "variable"]
     ranks = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)))
-    state = groups.where("n > 0").select(*keys, F.explode(ranks).alias("rank"), "n", "lo", "hi")
-    columns = [*keys, "target", "rank", "n", "lo", "hi"]
-    state = workspace.keep(state.withColumn("target", F.to_json(F.struct(*keys, "rank"))).select(columns))
+    columns = [*keys, "ranks", "n", "lo", "hi"]
+    state = workspace.keep(groups.where("n > 0").withColumn("ranks", ranks).select(columns))
     wide = (F.col("lo") < F.col("hi")) & (F.col("n") > few)
     while not (rest := state.where(wide)).isEmpty():
-        part = F.least(F.lit(buckets - 1), F.floor((x / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets))
-        inside = cells.join(F.broadcast(rest.drop("n")), keys).where(x.between(F.col("lo"), F.col("hi")))  # two rows a group
-        counts = inside.groupBy(*keys, "target", "rank", part.alias("part")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
-        upto = F.sum("n").over(Window.partitionBy("target").orderBy("part"))  # over the parts of a range
-        found = counts.withColumn("upto", upto).where((F.col("upto") - F.col("n") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
-        narrowed = found.withColumn("rank", F.col("rank") - F.col("upto") + F.col("n")).select(columns)
+        ranges = rest.withColumn("parts", parts_of(F.col("n"), buckets, few))
+        part = F.least(F.col("parts") - 1, F.floor((x / 2 - F.col("from") / 2) / (F.col("to") / 2 - F.col("from") / 2) * F.col("parts")))
+        bounds = ranges.select(*keys, F.col("lo").alias("from"), F.col("hi").alias("to"), "parts")
+        inside = cells.join(F.broadcast(bounds), keys).where(x.between(F.col("from"), F.col("to")))  # two ranges a group at most
+        counts = inside.groupBy(*keys, "from", "to", part.alias("part")).agg(F.count("*").alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+        upto = F.sum("n").over(Window.partitionBy(*keys, "from", "to").orderBy("part"))  # over the parts of a range
+        sought = ranges.select(*keys, F.col("lo").alias("from"), F.col("hi").alias("to"), "ranks")
+        placed = counts.withColumn("before", upto - F.col("n")).join(F.broadcast(sought), [*keys, "from", "to"])
+        here = F.transform(F.filter("ranks", lambda k: (k > F.col("before")) & (k <= F.col("before") + F.col("n"))), lambda k: k - F.col("before"))
+        narrowed = placed.withColumn("ranks", here).where(F.size("ranks") > 0).select(columns)
         state = workspace.keep(state.where(~wide).unionByName(narrowed))
-    left = state.where("lo < hi")
-    inside = cells.join(F.broadcast(left.drop("n")), keys).where(x.between(F.col("lo"), F.col("hi")))
-    ordered = inside.groupBy(*keys, "target", "rank").agg(F.array_sort(F.collect_list(x)).alias("few")).select(*keys, F.element_at("few", F.col("rank").cast("int")).alias("at"))
-    return state.where("lo = hi").select(*keys, F.col("lo").alias("at")).unionByName(ordered).groupBy(*keys).agg(F.avg("at").alias("median"))
+    left = state.where("lo < hi").select(*keys, "ranks", F.col("lo").alias("from"), F.col("hi").alias("to"))
+    inside = cells.join(F.broadcast(left), keys).where(x.between(F.col("from"), F.col("to")))
+    ordered = inside.groupBy(*keys, "from").agg(F.array_sort(F.collect_list(x)).alias("few"), F.first("ranks").alias("ranks"))
+    found = ordered.select(*keys, F.explode(F.transform("ranks", lambda k: F.element_at("few", k.cast("int")))).alias("at"))
+    single = state.where("lo = hi").select(*keys, F.explode(F.transform("ranks", lambda k: F.col("lo"))).alias("at"))
+    return single.unionByName(found).groupBy(*keys).agg(F.avg("at").alias("median"))
 
 
 def pooled(stats: DataFrame) -> DataFrame:
