@@ -896,9 +896,9 @@ def _rolled_up(spark, d):
     averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean).withColumn("task", F.explode(tasks))
     every = workspace.keep(evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist).unionByName(averaged))
     for half in (0, 1):
-        every.where(F.pmod(F.xxhash64("shot_id", "window_index"), F.lit(2)) == half).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 1).parquet(source)
-        rollup.start(rollup.rolled_up(stream, meta, buckets=4), mark).awaitTermination()
+        every.where(F.pmod(F.xxhash64("shot_id", "window_index"), F.lit(2)) == half).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 64).parquet(source)
+        rollup.start(rollup.rolled_up(stream, meta), mark).awaitTermination()
     return mark
 
 

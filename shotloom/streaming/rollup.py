@@ -125,8 +125,9 @@ class RollUp(StatefulProcessor):
                 moments[own, feature] = _Moments(int(known[0]), known[1]) if known is not None else _Moments()
             return moments[own, feature]
 
+        some = self.shots.exists()  # without any shot there is none to look up
         for shot, features in fresh.items():
-            known = self.shots.getValue((shot,))
+            known = self.shots.getValue((shot,)) if some else None
             held = {f: list(s) for f, s in zip(known[0], known[1], strict=True)} if known is not None else {}
             before = {f: _metrics(s) for f, s in held.items()}
             for f, sums in features.items():
