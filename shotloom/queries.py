@@ -486,13 +486,18 @@ def _metric_rows(df: DataFrame) -> DataFrame:
     return df.select(F.lit("forecast").alias("task"), "shot_id", "window_index", "feature_name", *(r(c).alias(c) for c in ("RMSE", "MAE", "nan_fraction")))
 
 
-def _shots(spark, d):
+def _forecasts(spark, d):
+    """Window metrics of the three tasks, and what is known of the signals."""
     tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
     sig = workspace.keep(_sig(spark, d))  # samples and signals are read by both forecasts
     meta = workspace.keep(views.event_meta(spark, sig))
     persisted = evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist)
     averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean)
-    every = persisted.unionByName(averaged.withColumn("task", F.explode(tasks)))
+    return persisted.unionByName(averaged.withColumn("task", F.explode(tasks))), meta
+
+
+def _shots(spark, d):
+    every, meta = _forecasts(spark, d)
     return workspace.keep(metrics.shot_metrics(every, meta))  # a few rows per shot, which reports read twice
 
 
@@ -1114,9 +1119,8 @@ def windows_test_mode(spark, d):
 @query(REPORT + """, joined AS (SELECT * FROM tasks JOIN groups USING (task)) SELECT 'windows' AS level, count(*) AS n FROM w UNION ALL SELECT 'shots', count(*) FROM sm UNION ALL SELECT 'signals', count(*) FROM signals
  UNION ALL SELECT 'tasks', count(*) FROM tasks UNION ALL SELECT 'groups', (SELECT count(*) FROM joined) + (SELECT count(DISTINCT group_id) FROM joined)""")
 def metric_levels_csv(spark, d):
-    tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
-    every = _persisted(spark, d).unionByName(_averaged(spark, d).withColumn("task", F.explode(tasks)))
-    paths = tables.write_levels(every, views.event_meta(spark, _sig(spark, d)), _groups(spark), workspace.folder(spark))
+    every, meta = _forecasts(spark, d)
+    paths = tables.write_levels(every, meta, _groups(spark), workspace.folder(spark))
     parts = [spark.read.option("header", True).csv(path).agg(F.lit(level).alias("level"), F.count("*").alias("n")) for level, path in paths.items()]
     return reduce(DataFrame.unionByName, parts)
 

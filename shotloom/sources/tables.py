@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names
 from ..operators import metrics
+from ..plans import workspace
 from ..schema import METRICS, SIGNAL_META
 
 
@@ -72,6 +73,7 @@ def write_levels(windows: DataFrame, meta: DataFrame, groups: DataFrame, path: s
     spark, out = windows.sparkSession, {level: f"{path}/{level}" for level in LEVELS}
 
     def put(level: str, rows: DataFrame, columns: list[str], by: str | None = "task") -> DataFrame:
+        rows = workspace.keep(rows)  # checked and written without being made twice
         metrics.validate(rows, columns)
         write_csv(rows, out[level], by)
         back = spark.read.option("header", True).csv(out[level])

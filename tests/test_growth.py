@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from shotloom import queries
-from shotloom.operators import stats
+from shotloom.operators import metrics, stats
 from shotloom.streaming import rollup
 
 SF = "/root/testdata/sf0.001"
@@ -16,6 +16,13 @@ def test_counted_parts_are_far_fewer_than_the_cells(spark):
     assert [r.p for r in sizes.select(stats.parts_of(F.col("n"), 4, 100).alias("p")).collect()] == [4] * 4
 
 
+def test_levels_are_made_once(spark, monkeypatch):
+    plans, check = [], metrics.validate
+    monkeypatch.setattr(metrics, "validate", lambda rows, *of: (plans.append(rows._jdf.queryExecution().executedPlan().toString()), check(rows, *of)))
+    queries.metric_levels_csv(spark, SF).collect()
+    assert len(plans) == 5 and not any("Exchange" in p or "MapInArrow" in p for p in plans)
+
+
 def test_the_stream_is_spread_over_buckets(spark):
     mark = queries._rolled_up(spark, SF)
     assert rollup.state(spark, mark, "totals").select("bucket").distinct().count() > 4
