@@ -658,8 +658,9 @@ def window_batch_ids_by_shot(spark, d):
 
 @query(SHUFFLED + " SELECT CAST(shuffle_rank // 64 AS BIGINT) AS batch_id, role, signal, count(*) AS n_values, count(value) AS n_present FROM win JOIN sh USING (shot_id, window_index) GROUP BY ALL")
 def window_batches(spark, d):
-    made = _made(spark, d, FORECAST)
-    out = batching.batches(made, batching.batch_ids(made, 64, 42))
+    sig, meta = _sig(spark, d), views.event_meta(spark)
+    cut = evaluation.fit_windows(sig, meta, FORECAST, None)  # batches are dealt without the windows' values
+    out = batching.batches(evaluation.make_windows(sig, meta, FORECAST), batching.batch_ids(cut, 64, 42))
     flat = F.flatten(F.flatten("values"))
     return out.select("batch_id", "role", "signal", F.size(flat).cast("long").alias("n_values"), F.size(F.filter(flat, lambda x: x.isNotNull())).cast("long").alias("n_present"))
 

@@ -23,6 +23,12 @@ def test_levels_are_made_once(spark, monkeypatch):
     assert len(plans) == 5 and not any("Exchange" in p or "MapInArrow" in p for p in plans)
 
 
+def test_batches_are_dealt_without_values(spark):
+    plan = queries.window_batches(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    made = [line for line in plan.splitlines() if "MapInArrow" in line]
+    assert sum("values" in line for line in made) == 1 < len(made)
+
+
 def test_the_stream_is_spread_over_buckets(spark):
     mark = queries._rolled_up(spark, SF)
     assert rollup.state(spark, mark, "totals").select("bucket").distinct().count() > 4
