@@ -83,3 +83,19 @@ def test_values_are_taken_out_without_a_trace():
     assert spreads[2] <= 1e-30
     m.change([None, math.inf, 1.0, 1.0, 1.0], 1)
     assert math.isnan(m.finished()[1][1]) and m.finished()[0][1] == 21
+
+
+def test_many_shots_share_an_entry_of_the_state(spark, tmp_path):
+    meta = spark.createDataFrame([("x", 2.0)], "signal string, std double")
+    source, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    for part in range(2):
+        rows = [("a", shot, part, "x", float(shot), 1.0, 0.0, "") for shot in range(300)]
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source)
+        rollup.start(rollup.rolled_up(stream, meta, buckets=2, pieces=3), mark, parts=2).awaitTermination()
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    raw = spark.read.format("statestore").option("stateVarName", "shots").load(mark)
+    assert raw.count() <= 2 * 3 and set(r.partition_id for r in raw.select("partition_id").collect()) <= {0, 1}
+    shots = rollup.state(spark, mark, "shots").collect()
+    assert sorted(r.shot_id for r in shots) == list(range(300)) and all(r.features == ["x"] and r.sums[0][:2] == [2.0, 2.0 * r.shot_id**2] for r in shots)
+    same(spark, mark, spark.read.parquet(source), meta)
