@@ -41,6 +41,12 @@ def packed(samples: DataFrame, wanted: list[str]) -> DataFrame:
     return samples.where(F.col("signal").isin(wanted) & F.col("time").isNotNull()).groupBy("shot_id").agg(*_columns(wanted))
 
 
+def unpacked(rows: DataFrame, wanted: list[str]) -> DataFrame:
+    """The samples (shot_id, signal, t_idx, time, values) of packed shots."""
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("signal"), F.col(f"`{s}`").alias("rows")) for s in wanted)))
+    return rows.select("shot_id", each.alias("one")).select("shot_id", "one.signal", F.inline("one.rows"))
+
+
 def reach(task: dict, meta: dict[str, Meta]) -> float:
     """Seconds that a window reaches to either side of its cut, and two samples of the slowest signal more."""
     before = max(float(task["input_length"]), -float(task["delta"]))

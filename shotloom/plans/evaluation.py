@@ -80,6 +80,12 @@ def steady_metrics(rows: DataFrame, known: dict[str, kernel.Meta], task: dict, f
     return metrics.from_sums(blocks.scores(rows, known, task, filled, told, how.vector))
 
 
+def evaluate_packed(packed: DataFrame, known: dict[str, kernel.Meta], name: str, task: dict, how: Steady, filled: bool | None = False) -> DataFrame:
+    """Window metrics of a steady forecast over shots that are packed already, perhaps with columns of more signals."""
+    rows = packed.select("shot_id", *(F.col(f"`{s}`") for s in signals_of(task["roles"], "input", "actuator", "output")))
+    return steady_metrics(rows, known, task, filled, how).select(F.lit(name).alias("task"), "*")
+
+
 def evaluate(samples: DataFrame, meta: DataFrame, name: str, task: dict, predict: Predictor | Steady, filled: bool | None = False, block: float | None = None) -> DataFrame:
     """Window metrics of a predictor on a task; ``block`` as in make_windows."""
     if isinstance(predict, Steady):

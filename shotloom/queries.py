@@ -486,13 +486,19 @@ def _metric_rows(df: DataFrame) -> DataFrame:
     return df.select(F.lit("forecast").alias("task"), "shot_id", "window_index", "feature_name", *(r(c).alias(c) for c in ("RMSE", "MAE", "nan_fraction")))
 
 
+def _packed(spark, d):
+    """Shots packed and written once, whatever the number of forecasts, and what is known of their signals."""
+    packed = runs.pack_shots(_sig(spark, d), views.EVENT_SIGNALS)
+    return packed, workspace.keep(views.event_meta(spark, blocks.unpacked(packed, views.EVENT_SIGNALS)))
+
+
 def _forecasts(spark, d):
     """Window metrics of the three tasks, and what is known of the signals."""
     tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
-    sig = workspace.keep(_sig(spark, d))  # samples and signals are read by both forecasts
-    meta = workspace.keep(views.event_meta(spark, sig))
-    persisted = evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist)
-    averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean)
+    packed, meta = _packed(spark, d)
+    known = blocks.known(meta, views.EVENT_SIGNALS)
+    persisted = evaluation.evaluate_packed(packed, known, "persist", AUTO_ONLY, evaluation.persist)
+    averaged = evaluation.evaluate_packed(packed, known, "mean", MEAN_ONLY, evaluation.mean)
     return persisted.unionByName(averaged.withColumn("task", F.explode(tasks))), meta
 
 
@@ -896,11 +902,8 @@ def stream_metric_rollup(spark, d):
 def _rolled_up(spark, d):
     """Windows of two forecasts as a stream of files that is stopped after the first half and started again."""
     source, mark = workspace.folder(spark), workspace.folder(spark)
-    sig = workspace.keep(_sig(spark, d))
-    meta = workspace.keep(views.event_meta(spark, sig))
-    tasks = F.when(F.col("window_index") >= 5, F.array(F.lit("mean"), F.lit("late"))).otherwise(F.array(F.lit("mean")))
-    averaged = evaluation.evaluate(sig, meta, "mean", MEAN_ONLY, evaluation.mean).withColumn("task", F.explode(tasks))
-    every = workspace.keep(evaluation.evaluate(sig, meta, "persist", AUTO_ONLY, evaluation.persist).unionByName(averaged))
+    every, meta = _forecasts(spark, d)
+    every = workspace.keep(every)
     for half in (0, 1):
         every.where(F.pmod(F.xxhash64("shot_id", "window_index"), F.lit(2)) == half).write.mode("append").parquet(source)
         stream = spark.readStream.schema(every.schema).option("maxFilesPerTrigger", 64).parquet(source)

@@ -32,3 +32,9 @@ def test_batches_are_dealt_without_values(spark):
 def test_the_stream_is_spread_over_buckets(spark):
     mark = queries._rolled_up(spark, SF)
     assert rollup.state(spark, mark, "totals").select("bucket").distinct().count() > 4
+
+
+def test_shots_are_packed_once_for_both_forecasts(spark):
+    every, _ = queries._forecasts(spark, SF)
+    plan = every._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") >= 2 and "Exchange" not in plan
