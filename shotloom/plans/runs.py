@@ -53,11 +53,17 @@ def run_tasks(samples: DataFrame, meta: DataFrame, tasks: dict[str, dict], basel
     window is fit), skipped (the baseline has nothing to tell of it) or failed, with the reason; n_shots and n_windows count
     what was scored.  The samples are shuffled once for all tasks.  A few tasks run side by side, and
     one that fails leaves the others as they are."""
-    spark = samples.sparkSession
+    own = (baseline.rewrite(task) for task in tasks.values())
+    wanted = sorted({s for task in own if task for s in signals_of(task["roles"], "input", "actuator", "output")})
+    return run_packed(pack_shots(samples, wanted) if wanted else samples, meta, tasks, baseline, path, filled)
+
+
+def run_packed(packed: DataFrame, meta: DataFrame, tasks: dict[str, dict], baseline: Baseline, path: str, filled: bool | None = False) -> DataFrame:
+    """run_tasks over shots that are packed already, with a column for each signal of the tasks, perhaps for more."""
+    spark = packed.sparkSession
     own = {name: baseline.rewrite(task) for name, task in tasks.items()}
     todo = {name: task for name, task in own.items() if task}
     wanted = sorted({s for task in todo.values() for s in signals_of(task["roles"], "input", "actuator", "output")})
-    packed = pack_shots(samples, wanted) if todo else None
     known = blocks.known(meta, wanted) if todo else {}
     told = {name: ("skipped", "no output is an input too") for name in own if name not in todo}
 

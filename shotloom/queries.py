@@ -574,9 +574,8 @@ def _run_sql(sql: Callable[[dict], str], rewrite: Callable[[dict], dict | None])
 
 
 def _run(spark, d, baseline):
-    sig, path = _sig(spark, d), workspace.folder(spark)
-    status = runs.run_tasks(sig, views.event_meta(spark, sig), RUN_TASKS, baseline, path)
-    return status, path
+    (packed, meta), path = _packed(spark, d), workspace.folder(spark)
+    return runs.run_packed(packed, meta, RUN_TASKS, baseline, path), path, meta
 
 
 @query(_run_sql(_persist_sql, evaluation.autoregressive_task) + f""" SELECT u.task, CASE WHEN u.task = '1-2' THEN 'skipped' WHEN count(w.shot_id) = 0 THEN 'empty' ELSE 'done' END AS status, count(DISTINCT w.shot_id) AS n_shots,
@@ -587,8 +586,8 @@ def task_run_status(spark, d):
 
 @query(_run_sql(_mean_sql, lambda task: evaluation.mean_task(task, "view")) + f", {SHOT_LEVEL}, {TASK_LEVEL}, groups AS (SELECT task, CAST(left(task, 1) AS INTEGER) AS group_id FROM tasks)" + GROUP_ROWS)
 def task_run_report(spark, d):
-    _, path = _run(spark, d, runs.averages("view"))
-    shots = workspace.keep(metrics.shot_metrics(runs.run_metrics(spark, path, list(RUN_TASKS)), views.event_meta(spark, _sig(spark, d))))
+    _, path, meta = _run(spark, d, runs.averages("view"))
+    shots = workspace.keep(metrics.shot_metrics(runs.run_metrics(spark, path, list(RUN_TASKS)), meta))
     groups = spark.createDataFrame([(name, int(name[0])) for name in RUN_TASKS], "task string, group_id int")
     return _rounded(metrics.group_report(metrics.task_rows(shots), groups), "group_id", "task", "n_shots", "level")
 

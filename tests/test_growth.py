@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from shotloom import queries
 from shotloom.operators import metrics, stats
+from shotloom.plans import views
 from shotloom.streaming import rollup
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +39,10 @@ def test_shots_are_packed_once_for_both_forecasts(spark):
     every, _ = queries._forecasts(spark, SF)
     plan = every._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") >= 2 and "Exchange" not in plan
+
+
+def test_a_run_reads_the_events_once(spark, monkeypatch):
+    reads, read = [], views.read
+    monkeypatch.setattr(views, "read", lambda spark, d, name: (reads.append(name), read(spark, d, name))[1])
+    queries.task_run_report(spark, SF)
+    assert reads == ["events"]
