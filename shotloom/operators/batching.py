@@ -116,7 +116,7 @@ def per_partition_order(windows: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def first_windows(windows: DataFrame, n: int) -> DataFrame:
-    """The first windows of each shot."""
+    """The first windows of each shot, from one pass over the windows; rows without a shot or a number are left out."""
     w = Window.partitionBy("shot_id").orderBy("window_index")
-    keep = windows.select("shot_id", "window_index").distinct().withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
-    return windows.join(keep, ["shot_id", "window_index"], "left_semi")
+    numbered = windows.where(F.col("shot_id").isNotNull() & F.col("window_index").isNotNull())
+    return numbered.withColumn("_k", F.dense_rank().over(w)).where(F.col("_k") <= n).drop("_k")

@@ -244,8 +244,15 @@ class _Vectors:
         return out
 
 
-def run(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, emit: Callable[[Block, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``emit`` (block, windows, their rows in the block) on the fit windows of packed rows, many rows at once."""
+def _leading(k: np.ndarray, first: int) -> np.ndarray:
+    """Which entries are among the first of their row; the entries of a row lie together."""
+    at = np.arange(len(k))
+    return at - np.maximum.accumulate(np.where(np.r_[True, np.diff(k) != 0][: len(k)], at, 0)) < first
+
+
+def run(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, emit: Callable[[Block, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, first: int | None = None) -> DataFrame:
+    """``emit`` (block, windows, their rows in the block) on the fit windows of packed rows, many rows at once; ``first``: on so many
+    of each row only, those with the least numbers."""
     wanted, every_output = kernel.names(task, "input", "actuator", "output"), filled is not None
     cut = "block" in rows.columns
 
@@ -255,8 +262,11 @@ def run(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None,
                 for block in _blocks(part, wanted, meta, task) if cut else _shots(part, wanted, meta, task, every_output):
                     for k, w in block.windows():
                         fine = kernel.is_fit(block, w, task, filled, k)
-                        if fine.any():
-                            yield from emit(block, w[fine], k[fine])
+                        k, w = k[fine], w[fine]
+                        if first is not None:
+                            k, w = (x[_leading(k, first)] for x in (k, w))
+                        if len(w):
+                            yield from emit(block, w, k)
 
     return rows.mapInArrow(over, schema)
 
@@ -271,5 +281,5 @@ def scores(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | No
     return run(rows, meta, task, filled, lambda block, w, k: kernel.score(block, w, task, meta, told, vector, k), SCORES)
 
 
-def windows(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None) -> DataFrame:
-    return run(rows, meta, task, filled, lambda block, w, k: kernel.written(block, w, task, meta, k), WINDOWS)
+def windows(rows: DataFrame, meta: dict[str, Meta], task: dict, filled: bool | None, first: int | None = None) -> DataFrame:
+    return run(rows, meta, task, filled, lambda block, w, k: kernel.written(block, w, task, meta, k), WINDOWS, first)

@@ -36,11 +36,12 @@ def packed_rows(samples: DataFrame, known: dict[str, kernel.Meta], task: dict, f
     return blocks.blocked(samples, known, task, block, every_output=filled is not None)
 
 
-def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, block: float | None = None) -> DataFrame:
+def make_windows(samples: DataFrame, meta: DataFrame, task: dict, filled: bool | None = None, custom: Callable[[DataFrame], DataFrame] | None = None, block: float | None = None, first: int | None = None) -> DataFrame:
     """Windows of a task; ``filled`` screens them (False: sparse, True: filled, as in test mode; None: not at all); ``custom``
-    maps them and may drop some; ``block`` cuts shots into blocks of so many seconds, for shots of very unequal length."""
+    maps them and may drop some; ``block`` cuts shots into blocks of so many seconds, for shots of very unequal length; ``first``
+    makes only the first so many fit windows of each shot, or of each block (batching.first_windows then leaves those of the shot)."""
     known = blocks.known(meta, signals_of(task["roles"], "input", "actuator", "output"))
-    out = blocks.windows(packed_rows(samples, known, task, filled, block), known, task, filled)
+    out = blocks.windows(packed_rows(samples, known, task, filled, block), known, task, filled, first)
     return custom(out) if custom else out
 
 

@@ -357,8 +357,8 @@ def _spans(spark, d):
     return blocks.shot_spans(_sig(spark, d), known, FORECAST)
 
 
-def _made(spark, d, task, filled=None):
-    return evaluation.make_windows(_sig(spark, d), views.event_meta(spark), task, filled=filled)
+def _made(spark, d, task, filled=None, first=None):
+    return evaluation.make_windows(_sig(spark, d), views.event_meta(spark), task, filled=filled, first=first)
 
 
 def _rows(made: DataFrame) -> DataFrame:
@@ -875,7 +875,7 @@ def append_sink(spark, d):
 
 @query(f"WITH {_window_sql(FORECAST)} SELECT shot_id, window_index, signal FROM (SELECT DISTINCT shot_id, window_index, signal FROM win) WHERE window_index < 2")
 def first_windows(spark, d):
-    return batching.first_windows(_made(spark, d, FORECAST), 2).select("shot_id", "window_index", "signal")
+    return batching.first_windows(_made(spark, d, FORECAST, first=2), 2).select("shot_id", "window_index", "signal")
 
 
 @query("SELECT o_orderkey AS shot_id, o_orderpriority AS priority, md5(o_orderkey || '-0-42') AS key, true AS in_order FROM orders")

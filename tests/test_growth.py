@@ -1,10 +1,11 @@
 """What a step moves or holds grows with its input, not faster, and no task or group gets it all."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from shotloom import queries
-from shotloom.operators import metrics, stats
-from shotloom.plans import views
+from shotloom.operators import batching, metrics, stats
+from shotloom.plans import evaluation, views
 from shotloom.streaming import rollup
 
 SF = "/root/testdata/sf0.001"
@@ -46,3 +47,17 @@ def test_a_run_reads_the_events_once(spark, monkeypatch):
     monkeypatch.setattr(views, "read", lambda spark, d, name: (reads.append(name), read(spark, d, name))[1])
     queries.task_run_report(spark, SF)
     assert reads == ["events"]
+
+
+@pytest.mark.parametrize("block", [None, 10.0])
+def test_first_windows_are_made_alone_and_once(spark, block):
+    plan = queries.first_windows(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    sig, meta, key = queries._sig(spark, SF).localCheckpoint(), views.event_meta(spark), ["shot_id", "window_index", "role", "signal"]
+    every, few = (evaluation.make_windows(sig, meta, queries.FORECAST, filled=False, block=block, first=n) for n in (None, 2))
+    got, want = (sorted((str(r) for r in batching.first_windows(w, 2).select(*key, "values").collect())) for w in (few, every))
+    assert got == want and len(got) > 20
+    numbers = sorted({(r.shot_id, r.window_index) for r in every.select("shot_id", "window_index").distinct().collect()})
+    least = {shot: [w for s, w in numbers if s == shot][:2] for shot in {s for s, _ in numbers}}
+    assert {(r.shot_id, r.window_index) for r in batching.first_windows(few, 2).select(*key).collect()} == {(s, w) for s, ws in least.items() for w in ws}
+    assert few.count() == len(got) if block is None else few.count() < every.count()
